@@ -31,11 +31,11 @@ def classify(
     return chain.otherwise(otherwise)
 
 
-def lookup(code: Column, mapping: Mapping[str, str]) -> Column:
-    """Text for a code, NULL for an unknown one."""
+def lookup(code: Column, mapping: Mapping[str | int, str | int]) -> Column:
+    """Value for a code, NULL for an unknown one."""
     chain = None
-    for key, text in mapping.items():
-        chain = F.when(code == key, text) if chain is None else chain.when(code == key, text)
+    for key, value in mapping.items():
+        chain = F.when(code == key, value) if chain is None else chain.when(code == key, value)
     return chain
 
 
@@ -45,13 +45,9 @@ def max_label(code: Column, mapping: Mapping[str, str]) -> Column:
     Aggregates the alphabetical rank instead of the text, so the aggregate keeps a
     fixed-width buffer and Spark can hash it instead of sorting.
     """
-    labels = sorted(set(mapping.values()))
-    rank = {label: i + 1 for i, label in enumerate(labels)}
-    ranks = None
-    for key, text in mapping.items():
-        hit = code == key
-        ranks = F.when(hit, rank[text]) if ranks is None else ranks.when(hit, rank[text])
-    return F.element_at(F.array(*[F.lit(label) for label in labels]), F.max(ranks))
+    rank = {label: i for i, label in enumerate(sorted(set(mapping.values())))}
+    found = F.max(lookup(code, {key: rank[text] for key, text in mapping.items()}))
+    return lookup(found, {i: label for label, i in rank.items()})
 
 
 def latest(value: Column, at: Column, *ties: Column) -> Column:

@@ -41,6 +41,7 @@ _NEEDED = (
     "cp_redelivery_cost",
     "cp_care_ticket_cost",
 )
+LABELS = ("cany_ind", "care_cost_reason_group", "eta_care_reasons")
 _CANCEL = ("order_status_cancel_ind", "cancel_group", "cancel_reason_name", "cancel_contact_reason")
 
 
@@ -126,13 +127,21 @@ def stages_a(
     )
     stages["o2"] = order_reasoned(stages["o"])
     stages["o3"] = order_detail(stages["o2"], tables["cancel_reason_map"], "a")
-    stages["final_output"] = summarise(
-        stages["o3"].withColumn("cany_ind", market(F.col("CA_Market"), F.col("NYC_Market"))),
-        ["cany_ind", reason_group(), eta_flag()],
-    )
+    stages["final_output"] = summarise(labelled(stages["o3"]), LABELS)
     return stages
 
 
+def labelled(orders: DataFrame) -> DataFrame:
+    """Orders with the three dimensions of the report."""
+    return orders.withColumns(
+        {
+            "cany_ind": market(F.col("CA_Market"), F.col("NYC_Market")),
+            "care_cost_reason_group": reason_group(),
+            "eta_care_reasons": eta_flag(),
+        }
+    )
+
+
 def report_a(tables: Tables, params: Params) -> DataFrame:
     """The report alone; same rows as ``stages_a(..)["final_output"]``, less work.
 
