@@ -352,12 +352,6 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
-def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The report inputs and the driver tables that the profiles read directly."""
-    raw = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("lineitem", "part")}
-    return fixture_tables(spark, sf_dir) | raw
-
-
 def entry(spark: SparkSession) -> DataFrame:
     """Report A on the smallest tables."""
     return report_a(fixture_tables(spark, "/root/testdata/sf0.001"), PARAMS)
@@ -367,7 +361,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query by name; each reads its tables from ``sf_dir``."""
 
     def bind(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, sf_dir: query(_tables(spark, sf_dir))
+        return lambda spark, sf_dir: query(fixture_tables(spark, sf_dir))
 
     return {name: bind(query) for name, query in QUERIES.items()}
 

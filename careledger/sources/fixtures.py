@@ -11,7 +11,31 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-BASE_TABLES = ("customer", "events", "lineitem", "nation", "orders", "part", "region")
+# Driver tables that the inputs are derived from, with their schemas as Spark DDL.
+BASE_TABLES = {
+    "customer": (
+        "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    ),
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+        "props string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+        "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "part": (
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+        "p_retailprice double"
+    ),
+    "region": "r_regionkey int, r_name string",
+}
 
 SELECTS = {
     "contact_reason_primary": """
@@ -202,10 +226,32 @@ SELECTS = {
 }
 
 
-def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+class FixtureTables(dict):
+    """Input tables by name, each derived when first asked for.
+
+    The driver tables it is made of can be asked for by name too.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        super().__init__()
+        self._spark, self._dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name in SELECTS:
+            text = SELECTS[name]
+            used = {base: self[base] for base in BASE_TABLES if re.search(rf"\b{base}\b", text)}
+            self[name] = self._spark.sql(_bind(text), **used)
+        elif name in BASE_TABLES:
+            reader = self._spark.read.schema(BASE_TABLES[name])
+            self[name] = reader.parquet(f"{self._dir}/{name}.parquet")
+        else:
+            raise KeyError(name)
+        return self[name]
+
+
+def fixture_tables(spark: SparkSession, sf_dir: str) -> FixtureTables:
     """The 18 input tables over the driver tables in ``sf_dir``."""
-    base = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in BASE_TABLES}
-    return {name: spark.sql(_bind(text), **base) for name, text in SELECTS.items()}
+    return FixtureTables(spark, sf_dir)
 
 
 def _bind(text: str) -> str:
