@@ -143,14 +143,40 @@ def recent_orders(profit: DataFrame, window: RollingWindow) -> DataFrame:
     )
 
 
+def normal_reason(df: DataFrame, text: str, name: str, fallback: bool = True) -> DataFrame:
+    """Adds the normalised form of a reason; without a rule the text in lower case.
+
+    Done on each side before the join: fewer rows than orders, and the rules stay
+    out of the long generated method of the join chain, which the JVM would not
+    compile beyond 8 kB.
+    """
+    lowered = F.col("_lowered")
+    rules = classify(lowered, fixed.REASON_RULES, lowered if fallback else F.lit(None))
+    return df.withColumn("_lowered", F.lower(text)).select(*df.columns, rules.alias(name))
+
+
+def adjustment_columns(adjustments: DataFrame) -> DataFrame:
+    """The latest adjustment with the rule its reason matches and its contact reason."""
+    ruled = normal_reason(
+        adjustments, "adjustment_reason_name", "adjustment_rule", fallback=False
+    )
+    return normal_reason(ruled, "adj_contact_reason", "adj_contact_normal")
+
+
+def claim_columns(claims: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """The normalised reason of a claim or concession, as ``name``."""
+    return normal_reason(claims, "fg_reason", name).select(*keys, name)
+
+
 def cancel_columns(cancelled: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What the order stage takes from the cancellations, with a presence flag."""
-    return cancelled.select(
+    return normal_reason(cancelled, "cancel_contact_reason", "cancel_contact_normal").select(
         *keys,
         "order_status_cancel_ind",
         "cancel_group",
         "cancel_reason_name",
         "cancel_contact_reason",
+        "cancel_contact_normal",
         "cancel_time_utc",
         F.lit(True).alias("cancel_fact_ind"),
     )
@@ -164,20 +190,13 @@ def cancelled_late(cancel_time: Column, limit: Column, dropoff: Column) -> Colum
 def order_joined(joined: DataFrame, cost_map: DataFrame, report: str, columns: Sequence[str]) -> DataFrame:
     """The joined order stage: labels, flags, normalised reasons and cost parts.
 
-    ``joined`` is the profit fact with all sides attached, claims and concessions
-    as ``claim_reason`` and ``concession_reason``. ``columns`` picks the output.
+    ``joined`` is the profit fact with all sides attached, the sides of reasons as
+    the functions above give them. ``columns`` picks the output.
     """
     costs = cost_map.select(
         F.col("scr").alias("latest_contact_reason"), "care_cost_reason", "care_cost_group"
     )
-    # Lower-cased once here; the rules below test each text many times.
-    texts = joined.join(costs, "latest_contact_reason", "left").withColumns(
-        {
-            "_adjustment": F.lower("adjustment_reason_name"),
-            "_contact": F.lower(F.coalesce("cancel_contact_reason", "adj_contact_reason")),
-            "_concession": F.lower(F.coalesce("claim_reason", "concession_reason")),
-        }
-    )
+    texts = joined.join(costs, "latest_contact_reason", "left")
     derived = _derived(texts.columns, report)
     return texts.select(
         *[derived[name]().alias(name) if name in derived else F.col(name) for name in columns]
@@ -195,14 +214,17 @@ def _derived(available: Sequence[str], report: str) -> dict[str, Callable[[], Co
         return F.when((F.col("ghd_late_ind") == 1) | late, 1).otherwise(0)
 
     def adjustment_reason() -> Column:
-        own, contact = F.col("_adjustment"), F.col("_contact")
-        by_contact = classify(contact, fixed.REASON_RULES, F.coalesce(contact, own))
-        return classify(own, fixed.REASON_RULES, by_contact)
+        # Texts such as "refund for 3 items" match no rule: the contact says more.
+        return F.coalesce(
+            "adjustment_rule",
+            "cancel_contact_normal",
+            "adj_contact_normal",
+            F.lower("adjustment_reason_name"),
+        )
 
     def concession_reason() -> Column:
-        text = F.col("_concession")
-        nothing_paid = F.when(F.col("cp_care_concession_awarded_amount") == 0, F.lit(None))
-        return classify(text, fixed.REASON_RULES, text, chain=nothing_paid)
+        paid = F.coalesce(F.col("cp_care_concession_awarded_amount") != 0, F.lit(True))
+        return F.when(paid, F.coalesce("claim_normal", "concession_normal"))
 
     def label(flag: str, yes: str, no: str) -> Column:
         return F.when(F.col(flag), yes).otherwise(no)

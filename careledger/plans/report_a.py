@@ -14,7 +14,9 @@ from careledger.operators.deliveries import delivery_legs
 from careledger.operators.joins import Side, hot_orders, join_order_sides
 from careledger.operators.orders import (
     JOINED_A,
+    adjustment_columns,
     cancel_columns,
+    claim_columns,
     managed_orders,
     order_detail,
     order_joined,
@@ -42,7 +44,7 @@ _NEEDED = (
     "cp_care_ticket_cost",
 )
 LABELS = ("cany_ind", "care_cost_reason_group", "eta_care_reasons")
-_CANCEL = ("order_status_cancel_ind", "cancel_group", "cancel_reason_name", "cancel_contact_reason")
+_CANCEL = ("order_status_cancel_ind", "cancel_group", "cancel_reason_name", "cancel_contact_normal")
 
 
 def market(ca: Column, flagged: Column) -> Column:
@@ -97,9 +99,9 @@ def event_stages(
 def reason_sides(stages: Mapping[str, DataFrame], keys: Sequence[str]) -> list[Side]:
     """The sides with one row per order, reduced to the columns in use."""
     return [
-        Side(stages["adj"]),
-        Side(stages["ghg"].select(*keys, F.col("fg_reason").alias("claim_reason"))),
-        Side(stages["care_fg"].select(*keys, F.col("fg_reason").alias("concession_reason"))),
+        Side(adjustment_columns(stages["adj"])),
+        Side(claim_columns(stages["ghg"], keys, "claim_normal")),
+        Side(claim_columns(stages["care_fg"], keys, "concession_normal")),
     ]
 
 
@@ -178,7 +180,11 @@ def counted_orders(
     keys = ["order_uuid", *window.keys]
     hot = _hot(tables, params, window)
     stages = event_stages(tables, params, window, hot)
-    outcomes = stages["cancels"].groupBy(*keys, *_CANCEL).agg(F.count("*").alias("_cancels"))
+    outcomes = (
+        cancel_columns(stages["cancels"], keys)
+        .groupBy(*keys, *_CANCEL)
+        .agg(F.count("*").alias("_cancels"))
+    )
     joined = join_order_sides(
         managed_orders(tables["order_profit"], window),
         [

@@ -73,7 +73,7 @@ _CANCEL = (
     "order_status_cancel_ind",
     "cancel_group",
     "cancel_reason_name",
-    "cancel_contact_reason",
+    "cancel_contact_normal",
     "cancel_fact_ind",
 )
 
