@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careledger.functions import fixed_values as fixed
-from careledger.functions.columns import classify
+from careledger.functions.columns import classify, matchable
 from careledger.functions.windows import PaddedWindow, RollingWindow
 from careledger.operators import checks, events, orders
 from careledger.operators.deliveries import delivery_first_leg, delivery_legs
@@ -86,15 +86,14 @@ def reason_normalised(t: Tables) -> DataFrame:
         .groupBy("source", "text")
         .agg(F.count("*").alias("n"))
     )
-    lowered = F.lower("text")
-    return texts.select(
-        "source", "text", "n", classify(lowered, fixed.REASON_RULES, lowered).alias("normal")
-    )
+    return orders.normal_reason(texts, "text", "normal")
 
 
 def reason_group(t: Tables) -> DataFrame:
-    return reason_normalised(t).withColumn(
-        "reason_group", classify(F.col("normal"), fixed.GROUP_RULES, F.lit(fixed.NOT_GROUPED))
+    rows = reason_normalised(t)
+    group = classify(F.col("_match"), fixed.GROUP_RULES, F.lit(fixed.NOT_GROUPED))
+    return rows.withColumn("_match", matchable(F.col("normal"))).select(
+        *rows.columns, group.alias("reason_group")
     )
 
 

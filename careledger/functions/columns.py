@@ -18,11 +18,21 @@ def mentions(text: Column, pattern: str) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(phrase) for phrase in pattern.split("|")])
 
 
+def matchable(text: Column) -> Column:
+    """``text`` in lower case and never NULL, for :func:`classify`.
+
+    No rule matches the empty text, so NULL behaves as before, and the generated
+    code of the rules needs no NULL handling: about half its size.
+    """
+    return F.coalesce(F.lower(text), F.lit(""))
+
+
 def classify(
     text: Column, rules: Sequence[tuple[str, str]], otherwise: Column, chain: Column | None = None
 ) -> Column:
-    """Fold ordered ``(pattern, result)`` rules over lower-cased text into one CASE.
+    """Fold ordered ``(pattern, result)`` rules over :func:`matchable` text into one CASE.
 
+    The text should be a column of its own, as every phrase of every rule reads it.
     ``chain`` is a CASE already begun, whose branches come before the rules.
     """
     for pattern, result in rules:

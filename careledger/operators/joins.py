@@ -71,30 +71,46 @@ def join_order_sides(
     sides: Sequence[Side],
     keys: Sequence[str],
     hot: Sequence[str] = (),
-    counted: bool = False,
-    slots: int = 32,
     keep_null: bool = True,
 ) -> DataFrame:
-    """``base`` joined to every side on ``keys``; the first key is the order.
+    """``base`` joined to every side on ``keys``; the first key is the order."""
+    return reduce(
+        DataFrame.unionByName,
+        join_order_branches(base, sides, keys, hot, counted=False, keep_null=keep_null),
+    )
+
+
+def join_order_branches(
+    base: DataFrame,
+    sides: Sequence[Side],
+    keys: Sequence[str],
+    hot: Sequence[str] = (),
+    counted: bool = True,
+    keep_null: bool = True,
+    slots: int = 32,
+) -> list[DataFrame]:
+    """The joined rows as parts that share no order: the usual ones first.
 
     ``counted`` keeps a ``copies`` column instead of repeating rows, for callers
-    that aggregate next. Rows of ``base`` without an order match nothing, so with
-    an outer join they skip the exchange, where they would share one partition;
-    ``keep_null=False`` leaves them out.
+    that aggregate next. Hot orders are a part of their own. So are rows of
+    ``base`` without an order: with outer joins they match nothing and skip the
+    exchange, where they would share one partition. ``keep_null=False`` leaves
+    them out.
     """
     keys = list(keys)
     order = F.col(keys[0])
-    if not hot:
-        cold = [_chain(base.filter(order.isNotNull()), sides, keys, counted)]
-    else:
+    known = base.filter(order.isNotNull())
+    if hot:
         is_hot = order.isin(*hot)
-        cold = [
-            _chain(base.filter(order.isNotNull() & ~is_hot), _only(sides, ~is_hot), keys, counted),
-            _hot_chain(base.filter(is_hot), _only(sides, is_hot), keys, counted, slots),
+        parts = [
+            _chain(known.filter(~is_hot), _only(sides, ~is_hot), keys, counted),
+            _hot_chain(known.filter(is_hot), _only(sides, is_hot), keys, counted, slots),
         ]
+    else:
+        parts = [_chain(known, sides, keys, counted)]
     if keep_null and all(side.how == "left" for side in sides):
-        cold.append(_unmatched(base.filter(order.isNull()), sides, keys, counted))
-    return reduce(DataFrame.unionByName, cold)
+        parts.append(_unmatched(base.filter(order.isNull()), sides, keys, counted))
+    return parts
 
 
 def left_join_unique(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careledger.functions import fixed_values as fixed
-from careledger.functions.columns import classify
+from careledger.functions.columns import classify, matchable
 from careledger.functions.windows import PaddedWindow, RollingWindow, WindowSet
 from careledger.operators.deliveries import is_true
 
@@ -105,8 +105,19 @@ def money(amount: Column) -> Column:
     return amount.cast("decimal(18,2)")
 
 
+def cents(amount: Column) -> Column:
+    """A DECIMAL(18,2) amount as whole cents, which add up as plain longs."""
+    return (amount * 100).cast("bigint")
+
+
+def from_cents(total: Column) -> Column:
+    """A sum of :func:`cents` as DECIMAL(18,2); a larger sum would not fit that type either."""
+    return (total.cast("decimal(18,0)") * F.lit(0.01).cast("decimal(2,2)")).cast("decimal(18,2)")
+
+
 def or_zero(name: str) -> Column:
-    return money(F.coalesce(F.col(name), F.lit(0)))
+    # Both branches have one type, so no wider decimal is made.
+    return F.coalesce(F.col(name), money(F.lit(0)))
 
 
 def ticket_cost() -> Column:
@@ -150,9 +161,9 @@ def normal_reason(df: DataFrame, text: str, name: str, fallback: bool = True) ->
     out of the long generated method of the join chain, which the JVM would not
     compile beyond 8 kB.
     """
-    lowered = F.col("_lowered")
-    rules = classify(lowered, fixed.REASON_RULES, lowered if fallback else F.lit(None))
-    return df.withColumn("_lowered", F.lower(text)).select(*df.columns, rules.alias(name))
+    otherwise = F.lower(text) if fallback else F.lit(None)
+    rules = classify(F.col("_match"), fixed.REASON_RULES, otherwise)
+    return df.withColumn("_match", matchable(F.col(text))).select(*df.columns, rules.alias(name))
 
 
 def adjustment_columns(adjustments: DataFrame) -> DataFrame:
@@ -284,7 +295,8 @@ def order_detail(reasoned: DataFrame, reason_map: DataFrame, report: str) -> Dat
     rows = reasoned.withColumns(
         {
             "_text": F.lower("adjustment_and_cancel_reason_combined"),
-            "_concession": F.lower("fg_reason"),
+            "_match": matchable(F.col("adjustment_and_cancel_reason_combined")),
+            "_concession": matchable(F.col("fg_reason")),
         }
     ).join(groups, "_text", "left")
     own = F.col("cancel_group")
@@ -301,7 +313,7 @@ def order_detail(reasoned: DataFrame, reason_map: DataFrame, report: str) -> Dat
             F.col("adjustment_and_cancel_reason_combined"),
         ).otherwise(F.col("fg_reason"))
     }
-    added = {"adjustment_group": group("_text"), "fg_group": group("_concession")}
+    added = {"adjustment_group": group("_match"), "fg_group": group("_concession")}
     dropped = ()
     if report == "a":
         replaced["cp_redelivery_cost"] = or_zero("cp_redelivery_cost")

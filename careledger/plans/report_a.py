@@ -11,7 +11,7 @@ from careledger.functions import fixed_values as fixed
 from careledger.functions.windows import PaddedWindow, WindowSet
 from careledger.operators import events
 from careledger.operators.deliveries import delivery_legs
-from careledger.operators.joins import Side, hot_orders, join_order_sides
+from careledger.operators.joins import Side, hot_orders, join_order_branches, join_order_sides
 from careledger.operators.orders import (
     JOINED_A,
     adjustment_columns,
@@ -23,6 +23,7 @@ from careledger.operators.orders import (
     order_reasoned,
 )
 from careledger.params import Params
+from careledger.plans.measures import amount, copies_of, number, summarise
 
 Tables = Mapping[str, DataFrame]
 
@@ -43,6 +44,14 @@ _NEEDED = (
     "cp_redelivery_cost",
     "cp_care_ticket_cost",
 )
+MEASURES = (
+    "orders",
+    "distinct_order_uuid",
+    "total_care_cost",
+    "ghd_orders",
+    "orders_with_care_cost",
+    "cancels_osmf_definition",
+)
 LABELS = ("cany_ind", "care_cost_reason_group", "eta_care_reasons")
 _CANCEL = ("order_status_cancel_ind", "cancel_group", "cancel_reason_name", "cancel_contact_normal")
 
@@ -129,19 +138,16 @@ def stages_a(
     )
     stages["o2"] = order_reasoned(stages["o"])
     stages["o3"] = order_detail(stages["o2"], tables["cancel_reason_map"], "a")
-    stages["final_output"] = summarise(labelled(stages["o3"]), LABELS)
+    stages["final_output"] = summarise_a([labelled(stages["o3"])], LABELS)
     return stages
 
 
 def labelled(orders: DataFrame) -> DataFrame:
     """Orders with the three dimensions of the report."""
-    return orders.withColumns(
-        {
-            "cany_ind": market(F.col("CA_Market"), F.col("NYC_Market")),
-            "care_cost_reason_group": reason_group(),
-            "eta_care_reasons": eta_flag(),
-        }
-    )
+    labels = {"care_cost_reason_group": reason_group(), "eta_care_reasons": eta_flag()}
+    if "cany_ind" not in orders.columns:
+        labels["cany_ind"] = market(F.col("CA_Market"), F.col("NYC_Market"))
+    return orders.withColumns(labels)
 
 
 def report_a(tables: Tables, params: Params) -> DataFrame:
@@ -158,25 +164,30 @@ def report_a(tables: Tables, params: Params) -> DataFrame:
         .groupBy("order_uuid")
         .agg(*[F.count_if(legs == name).alias(f"_{name}") for name in fixed.MARKETS])
     )
-    detail = counted_orders(tables, params, window, Side(by_order, how="inner"))
     markets = F.array(
         *[
             F.struct(F.lit(name).alias("cany_ind"), F.col(f"_{name}").alias("legs"))
             for name in fixed.MARKETS
         ]
     )
-    rows = (
-        detail.withColumn("_leg", F.explode(F.filter(markets, lambda m: m["legs"] > 0)))
-        .withColumn("cany_ind", F.col("_leg.cany_ind"))
-        .withColumn("copies", F.col("copies") * F.col("_leg.legs"))
-    )
-    return summarise(rows, ["cany_ind", reason_group(), eta_flag()])
+
+    def by_market(orders: DataFrame) -> DataFrame:
+        rows = orders.withColumn("_leg", F.explode(F.filter(markets, lambda m: m["legs"] > 0)))
+        return rows.withColumns(
+            {"cany_ind": F.col("_leg.cany_ind"), "copies": F.col("copies") * F.col("_leg.legs")}
+        )
+
+    parts = counted_orders(tables, params, window, Side(by_order, how="inner"))
+    return summarise_a([labelled(by_market(part)) for part in parts], LABELS)
 
 
 def counted_orders(
     tables: Tables, params: Params, window: PaddedWindow | WindowSet, legs: Side
-) -> DataFrame:
-    """Orders with groups and total cost, repeated rows counted in ``copies``."""
+) -> list[DataFrame]:
+    """Orders with groups and total cost, repeated rows counted in ``copies``.
+
+    Parts that share no order, see :func:`join_order_branches`.
+    """
     keys = ["order_uuid", *window.keys]
     hot = _hot(tables, params, window)
     stages = event_stages(tables, params, window, hot)
@@ -185,7 +196,7 @@ def counted_orders(
         .groupBy(*keys, *_CANCEL)
         .agg(F.count("*").alias("_cancels"))
     )
-    joined = join_order_sides(
+    parts = join_order_branches(
         managed_orders(tables["order_profit"], window),
         [
             legs,
@@ -195,12 +206,11 @@ def counted_orders(
         ],
         keys,
         hot,
-        counted=True,
     )
     carried = [c for c in legs.rows.columns if c not in keys and c != legs.copies]
     needed = [*_NEEDED, *window.keys, *carried, "copies"]
-    orders = order_joined(joined, tables["contact_reason_cost_map"], "a", needed)
-    return order_detail(order_reasoned(orders), tables["cancel_reason_map"], "a")
+    joined = [order_joined(p, tables["contact_reason_cost_map"], "a", needed) for p in parts]
+    return [order_detail(order_reasoned(o), tables["cancel_reason_map"], "a") for o in joined]
 
 
 def reason_group() -> Column:
@@ -208,39 +218,34 @@ def reason_group() -> Column:
     chain = F.when(F.col("total_care_cost") == 0, fixed.NO_CARE_COST)
     for name in ("adjustment_group", "fg_group", "care_cost_group"):
         chain = chain.when(F.col(name) != fixed.NOT_GROUPED, F.col(name))
-    return F.lower(chain.otherwise(fixed.NOT_GROUPED)).alias("care_cost_reason_group")
+    return F.lower(chain.otherwise(fixed.NOT_GROUPED))
 
 
 def eta_flag() -> Column:
     reason = F.lower(
         F.coalesce("adjustment_and_cancel_reason_combined", "fg_reason", "care_cost_reason")
     )
-    return (
-        F.when(reason.isin(*fixed.ETA_REASONS), "ETA Issues")
-        .otherwise("Other")
-        .alias("eta_care_reasons")
-    )
+    return F.when(reason.isin(*fixed.ETA_REASONS), "ETA Issues").otherwise("Other")
 
 
-def summarise(orders: DataFrame, dimensions: Sequence[str | Column]) -> DataFrame:
+def summarise_a(parts: Sequence[DataFrame], dimensions: Sequence[str]) -> DataFrame:
     """The six measures of report A by any dimensions."""
-    copies = F.col("copies") if "copies" in orders.columns else F.lit(1).cast("bigint")
-
-    def number(condition: Column) -> Column:
-        return F.sum(F.when(condition, copies).otherwise(0))
-
+    copies = copies_of(parts[0])
+    known = F.col("order_uuid").isNotNull()
     three_parts = (
         F.col("cp_diner_adj")
         + F.col("cp_care_concession_awarded_amount")
         + F.col("cp_care_ticket_cost")
     )
-    return orders.groupBy(*dimensions).agg(
-        number(F.col("order_uuid").isNotNull()).alias("orders"),
-        F.count_distinct("order_uuid").alias("distinct_order_uuid"),
-        F.sum(F.col("total_care_cost") * copies).cast("decimal(18,2)").alias("total_care_cost"),
-        number(F.col("ghd_ind") == "ghd").alias("ghd_orders"),
-        number(three_parts < 0).alias("orders_with_care_cost"),
-        number(F.col("order_status_cancel_ind") & F.col("order_uuid").isNotNull()).alias(
-            "cancels_osmf_definition"
-        ),
-    )
+    return summarise(
+        parts,
+        dimensions,
+        distinct="distinct_order_uuid",
+        counts={
+            "orders": number(known, copies),
+            "ghd_orders": number(F.col("ghd_ind") == "ghd", copies),
+            "orders_with_care_cost": number(three_parts < 0, copies),
+            "cancels_osmf_definition": number(F.col("order_status_cancel_ind") & known, copies),
+        },
+        amounts={"total_care_cost": amount("total_care_cost", copies)},
+    ).select(*dimensions, *MEASURES)

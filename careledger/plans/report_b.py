@@ -11,11 +11,18 @@ from careledger.functions import fixed_values as fixed
 from careledger.functions.windows import RollingWindow
 from careledger.operators import events
 from careledger.operators.deliveries import delivery_first_leg
-from careledger.operators.joins import Side, hot_orders, join_order_sides, left_join_unique
+from careledger.operators.joins import (
+    Side,
+    hot_orders,
+    join_order_branches,
+    join_order_sides,
+    left_join_unique,
+)
 from careledger.operators.orders import (
     JOINED_B,
     cancel_columns,
     cancelled_late,
+    cents,
     order_detail,
     order_joined,
     order_reasoned,
@@ -23,6 +30,7 @@ from careledger.operators.orders import (
     total_cost,
 )
 from careledger.params import Params
+from careledger.plans.measures import amount, copies_of, number, summarise
 from careledger.plans.report_a import reason_sides
 
 Tables = Mapping[str, DataFrame]
@@ -46,6 +54,33 @@ DIMENSIONS = (
     "large_order_ind",
     "tri_state_ind",
 )
+REASONS = ("care_cost_reason_group", "care_cost_reason")
+MEASURES = (
+    "orders",
+    "cancels",
+    "missed_revenue_cp",
+    "cp_diner_adj",
+    "cp_care_concession_awarded_amount",
+    "cp_care_ticket_cost",
+    "redelivery_cost",
+    "cp_grubcash_care_concession_awarded_amount",
+    "cp_grubcare_refund",
+    "rr_refund",
+    "cp_total_care_cost",
+    "ghd_late_count",
+    "ghd_orders",
+    "driver_pay_cpf",
+    "tip",
+    "true_up",
+    "orders_with_adjustments",
+    "orders_with_fg",
+    "orders_with_redelivery",
+    "orders_with_gh_credit",
+    "orders_with_gh_credit_refund",
+    "orders_with_rr_refund",
+    "orders_with_care_cost",
+    "cancels_osmf_definition",
+)
 # Report columns that are plain sums, and the order column each one adds up.
 SUMS = {
     "cp_diner_adj": "cp_diner_adj",
@@ -154,7 +189,7 @@ def stages_b(tables: Tables, params: Params) -> dict[str, DataFrame]:
     stages["o"] = order_joined(joined, tables["contact_reason_cost_map"], "b", JOINED_B)
     stages["o2"] = order_reasoned(stages["o"])
     stages["o3"] = order_detail(stages["o2"], tables["cancel_reason_map"], "b")
-    stages["final_output"] = summarise(stages["o3"])
+    stages["final_output"] = summarise_b([stages["o3"]])
     return stages
 
 
@@ -174,7 +209,7 @@ def report_b(tables: Tables, params: Params) -> DataFrame:
         .groupBy(*KEYS)
         .agg(F.count("*").alias("_milestones"), F.count_if(reached).alias("_reached"))
     )
-    joined = join_order_sides(
+    parts = join_order_branches(
         recent_orders(tables["order_profit"], window),
         [
             Side(_outcomes(stages["cancels"], stages["mdf"], hot), unique=False, copies="_cancels"),
@@ -188,22 +223,26 @@ def report_b(tables: Tables, params: Params) -> DataFrame:
         ],
         KEYS,
         hot,
-        counted=True,
-    ).withColumns(
-        {
-            "reached_copies": F.col("copies") * F.coalesce("_reached", F.lit(0)),
-            "copies": F.col("copies") * F.coalesce("_milestones", F.lit(1)),
-        }
     )
+    with_milestones = {
+        "reached_copies": F.col("copies") * F.coalesce("_reached", F.lit(0)),
+        "copies": F.col("copies") * F.coalesce("_milestones", F.lit(1)),
+    }
     needed = [
         name
         for name in JOINED_B
         if name not in ("adj_contact_reason", "cancel_contact_reason", "status_cancelled_reached_ind")
     ]
-    orders = order_joined(
-        joined, tables["contact_reason_cost_map"], "b", [*needed, "copies", "reached_copies"]
+    needed += ["copies", "reached_copies"]
+    joined = [
+        order_joined(
+            part.withColumns(with_milestones), tables["contact_reason_cost_map"], "b", needed
+        )
+        for part in parts
+    ]
+    return summarise_b(
+        [order_detail(order_reasoned(o), tables["cancel_reason_map"], "b") for o in joined]
     )
-    return summarise(order_detail(order_reasoned(orders), tables["cancel_reason_map"], "b"))
 
 
 def _outcomes(cancelled: DataFrame, first_leg: DataFrame, hot: Sequence[str]) -> DataFrame:
@@ -230,79 +269,44 @@ def reason_group() -> Column:
     )
     for name in ("adjustment_group", "fg_group", "care_cost_group"):
         chain = chain.when(F.col(name) != fixed.NOT_GROUPED, F.col(name))
-    return F.lower(chain.otherwise(fixed.NOT_GROUPED)).alias("care_cost_reason_group")
+    return F.lower(chain.otherwise(fixed.NOT_GROUPED))
 
 
 def care_reason() -> Column:
     reason = F.lower(
         F.coalesce("adjustment_and_cancel_reason_combined", "fg_reason", "care_cost_reason")
     )
-    return (
-        F.when(F.col("cp_redelivery_cost") < 0, fixed.REDELIVERY_REASON)
-        .otherwise(reason)
-        .alias("care_cost_reason")
-    )
+    return F.when(F.col("cp_redelivery_cost") < 0, fixed.REDELIVERY_REASON).otherwise(reason)
 
 
-def summarise(orders: DataFrame) -> DataFrame:
+def summarise_b(parts: Sequence[DataFrame]) -> DataFrame:
     """The 24 measures of report B by its 18 dimensions."""
-    rows = orders.withColumn("_total", total_cost())
-    if "copies" in orders.columns:
-        copies, reached = F.col("copies"), F.col("reached_copies")
+    copies = copies_of(parts[0])
+    if "reached_copies" in parts[0].columns:
+        reached = F.col("reached_copies")
     else:
-        copies = F.lit(1).cast("bigint")
-        reached = F.when(F.col("status_cancelled_reached_ind"), 1).otherwise(0).cast("bigint")
-
-    def number(condition: Column) -> Column:
-        return F.sum(F.when(condition, copies).otherwise(0))
-
-    missed = F.when(
-        (reached > 0) & (F.col("cancelled_order_ind") == F.lit(False)),
-        F.col("cp_revenue") * reached,
-    )
-    measures = {
-        "orders": F.count_distinct("order_uuid"),
-        "cancels": number(F.col("cancel_fact_ind")),
-        "missed_revenue_cp": F.sum(missed).cast("decimal(18,2)"),
-        "ghd_late_count": number(F.col("ghd_late_ind") == 1),
-        "ghd_orders": number(F.col("ghd_ind") == "ghd"),
-        "orders_with_rr_refund": number(F.abs("rr_refund") > 0),
+        reached = number(F.col("status_cancelled_reached_ind"), copies)
+    missed = (reached > 0) & (F.col("cancelled_order_ind") == F.lit(False))
+    counts = {
+        "cancels": number(F.col("cancel_fact_ind"), copies),
+        "ghd_late_count": number(F.col("ghd_late_ind") == 1, copies),
+        "ghd_orders": number(F.col("ghd_ind") == "ghd", copies),
+        "orders_with_rr_refund": number(F.abs("rr_refund") > 0, copies),
         "cancels_osmf_definition": number(
-            F.col("order_status_cancel_ind") & F.col("order_uuid").isNotNull()
+            F.col("order_status_cancel_ind") & F.col("order_uuid").isNotNull(), copies
         ),
     }
-    for name, amount in SUMS.items():
-        measures[name] = F.sum(F.col(amount) * copies).cast("decimal(18,2)")
-    for name, amount in NEGATIVES.items():
-        measures[name] = number(F.col(amount) < 0)
-    return rows.groupBy(*DIMENSIONS, reason_group(), care_reason()).agg(
-        *[measures[name].alias(name) for name in MEASURES]
-    )
-
-
-MEASURES = (
-    "orders",
-    "cancels",
-    "missed_revenue_cp",
-    "cp_diner_adj",
-    "cp_care_concession_awarded_amount",
-    "cp_care_ticket_cost",
-    "redelivery_cost",
-    "cp_grubcash_care_concession_awarded_amount",
-    "cp_grubcare_refund",
-    "rr_refund",
-    "cp_total_care_cost",
-    "ghd_late_count",
-    "ghd_orders",
-    "driver_pay_cpf",
-    "tip",
-    "true_up",
-    "orders_with_adjustments",
-    "orders_with_fg",
-    "orders_with_redelivery",
-    "orders_with_gh_credit",
-    "orders_with_gh_credit_refund",
-    "orders_with_rr_refund",
-    "orders_with_care_cost",
-    "cancels_osmf_definition",
-)
+    counts |= {name: number(F.col(cost) < 0, copies) for name, cost in NEGATIVES.items()}
+    amounts = {"missed_revenue_cp": F.when(missed, cents(F.col("cp_revenue")) * reached)}
+    amounts |= {name: amount(cost, copies) for name, cost in SUMS.items()}
+    rows = [part.withColumn("_total", total_cost()) for part in parts]
+    # The reason dimension takes the name of the column it is made from.
+    rows = [
+        part.withColumns(
+            {"care_cost_reason_group": reason_group(), "care_cost_reason": care_reason()}
+        )
+        for part in rows
+    ]
+    return summarise(
+        rows, [*DIMENSIONS, *REASONS], distinct="orders", counts=counts, amounts=amounts
+    ).select(*DIMENSIONS, *REASONS, *MEASURES)

@@ -12,7 +12,7 @@ from careledger.functions.windows import WindowSet
 from careledger.operators.deliveries import delivery_legs
 from careledger.operators.joins import Side
 from careledger.params import Params
-from careledger.plans.report_a import counted_orders, summarise
+from careledger.plans.report_a import counted_orders, summarise_a
 
 
 def sweep(
@@ -35,7 +35,7 @@ def sweep(
         .groupBy("order_uuid", "window_id", *by)
         .agg(F.count("*").alias("_legs"))
     )
-    orders = counted_orders(
+    parts = counted_orders(
         tables, params, window, Side(legs, how="inner", unique=False, copies="_legs")
     )
-    return summarise(orders, ["window_id", *by])
+    return summarise_a(parts, ["window_id", *by])
