@@ -93,11 +93,15 @@ class WindowSet:
         self.windows = [(str(name), start, end) for name, start, end in windows]
         if len({name for name, _, _ in self.windows}) != len(self.windows):
             raise ValueError("window ids must be unique")
-        rows = ", ".join(
-            f"('{name}', DATE'{start.isoformat()}', DATE'{end.isoformat()}')"
+        rows = [
+            F.struct(
+                F.lit(name).alias("window_id"),
+                F.lit(start).alias("window_start"),
+                F.lit(end).alias("window_end"),
+            )
             for name, start, end in self.windows
-        )
-        table = spark.sql(f"SELECT * FROM VALUES {rows} AS w(window_id, window_start, window_end)")
+        ]
+        table = spark.range(1).select(F.inline(F.array(*rows)))
         days = table.select(
             "window_id",
             F.explode(

@@ -43,7 +43,8 @@ def _with_ticket(events: DataFrame, reasons: DataFrame, window: Window) -> DataF
     """Events with the reason columns of their ticket, if it lies in the window.
 
     Most events of some kinds have no ticket. A NULL key would gather them in one
-    task, so such rows get a second key that spreads them; they match nothing.
+    task, so such rows get a second key that spreads them; they match nothing. It is
+    a hash of the row, so a task that runs again sends every row where it went before.
     AQE splits a single ticket id that many events share.
     """
     tickets = window.within(reasons, "ticket_created_date").select(
@@ -55,7 +56,8 @@ def _with_ticket(events: DataFrame, reasons: DataFrame, window: Window) -> DataF
         "contact_reason",
     )
     no_ticket = F.col("ticket_id").isNull()
-    spread = F.when(no_ticket, F.monotonically_increasing_id() % _NULL_SPREAD).otherwise(-1)
+    row_hash = F.pmod(F.xxhash64(*events.columns), F.lit(_NULL_SPREAD))
+    spread = F.when(no_ticket, row_hash).otherwise(-1)
     return events.withColumn("_spread", spread).join(
         tickets.withColumn("_spread", F.when(no_ticket, -2).otherwise(-1).cast("bigint")),
         ["ticket_id", "_spread", *window.keys],

@@ -109,3 +109,69 @@ def test_reports_can_be_written_by_day(spark, warehouse, params, tmp_path, bag):
     assert bag(back) == bag(report)
     write_report(report_a(warehouse, params), str(tmp_path / "a"))
     assert bag(spark.read.parquet(str(tmp_path / "a"))) == bag(report_a(warehouse, params))
+
+
+def test_a_hot_ticket_is_split_at_run_time(spark, bag):
+    """One ticket id holds nine tenths of the events; AQE cuts its partition."""
+    from datetime import date
+
+    from careledger.functions.windows import PaddedWindow
+    from careledger.operators import events
+
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {key: spark.conf.get(key, None) for key in small}
+    adjustments = spark.range(0, 40_000, 1, 8).select(
+        F.col("id").alias("adjustment_id"),
+        F.concat(F.lit("o"), F.col("id") % 5000).alias("order_uuid"),
+        F.when(F.col("id") % 10 > 0, 77).otherwise(F.col("id")).alias("ticket_id"),
+        F.lit("Late Order").alias("reason"),
+        F.expr("timestamp_ntz'2024-03-05 00:00:00' + make_dt_interval(0, 0, 0, id)").alias(
+            "adjustment_timestamp_utc"
+        ),
+        F.lit(20240305).alias("adjustment_dt"),
+        F.lit("ADJUST_DOWN").alias("direction"),
+        F.lit("P").alias("payer"),
+    )
+    tickets = spark.range(2000).select(
+        F.col("id").alias("ticket_id"),
+        F.lit(date(2024, 3, 5)).alias("ticket_created_date"),
+        *[F.lit("x").alias(c) for c in ("created_time", "primary_name", "secondary_name")],
+        F.concat(F.lit("r"), F.col("id")).alias("contact_reason"),
+    )
+    window = PaddedWindow(date(2024, 3, 1), date(2024, 3, 31))
+    expected = bag(events.latest_adjustment(adjustments, tickets, window, "P"))
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        found = events.latest_adjustment(adjustments, tickets, window, "P")
+        assert bag(found) == expected
+        found.collect()
+        assert "skew=true" in plan(found)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_tables_from_the_catalog(spark, tables, params, bag):
+    from careledger.sources.tables import TABLES, catalog_tables
+
+    names = {name: f"v_{name}" for name in TABLES}
+    for name, view in names.items():
+        tables[name].createOrReplaceTempView(view)
+    found = report_a(catalog_tables(spark, names), params)
+    assert bag(found) == bag(report_a(tables, params))
+
+
+def test_window_names_are_plain_text(spark, tables, params):
+    from datetime import date
+
+    from careledger import sweep
+
+    found = sweep(tables, params, [("it's", date(1997, 1, 1), date(1997, 12, 31))])
+    assert {r.window_id for r in found.select("window_id").collect()} == {"it's"}

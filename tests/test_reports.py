@@ -105,7 +105,7 @@ def test_a_repeated_map_row_repeats_rows_but_not_orders(all_tables, params):
     doubled = {
         **all_tables,
         "cancel_reason_map": reason_map.unionByName(
-            reason_map.filter("cancel_reason_name = 'Change of Plans'").withColumn(
+            reason_map.filter("cancel_reason_name = 'Payment Issues'").withColumn(
                 "cancel_reason_id", F.lit(77)
             )
         ),
@@ -115,7 +115,7 @@ def test_a_repeated_map_row_repeats_rows_but_not_orders(all_tables, params):
         for t in (all_tables, doubled)
     )
     rows = before.join(after, "adjustment_and_cancel_reason_combined").select(
-        (F.col("adjustment_and_cancel_reason_combined") == "change of plans").alias("hit"),
+        (F.col("adjustment_and_cancel_reason_combined") == "payment issues").alias("hit"),
         (before["orders"] * F.when(F.col("hit"), 2).otherwise(1) == after["orders"]).alias("rows_ok"),
         (before["distinct_order_uuid"] == after["distinct_order_uuid"]).alias("orders_ok"),
     )

@@ -8,6 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from careledger import fixture_tables
 from careledger.functions import fixed_values as fixed
 from careledger.functions.columns import latest, minutes_between, whole_seconds
 from careledger.functions.windows import PaddedWindow, RollingWindow, WindowSet, months_before
@@ -186,7 +187,9 @@ def test_guarantee_claims_take_the_alphabetical_maximum(spark):
     assert found == {"both": "Price - GHG", "late": "Late Delivery - GHG", "other": None}
 
 
-def test_delivery_window_uses_the_local_day(tables, params):
+def test_delivery_window_uses_the_local_day(spark, params):
+    # These tables have orders on both edges of the window.
+    tables = fixture_tables(spark, "/root/testdata/sf0.01")
     window = PaddedWindow(params.start, params.end)
     legs = delivery_legs(tables["deliveries"], window, params.flagged_regions)
     row = legs.agg(F.min("date2").alias("lo"), F.max("date2").alias("hi")).first()
