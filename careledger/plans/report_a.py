@@ -53,6 +53,17 @@ MEASURES = (
     "cancels_osmf_definition",
 )
 LABELS = ("cany_ind", "care_cost_reason_group", "eta_care_reasons")
+_PROFIT = (
+    "managed_delivery_ind",
+    "cp_diner_adj",
+    "cp_care_concession_awarded_amount",
+    "cp_diner_care_tickets",
+    "cp_driver_care_tickets",
+    "cp_restaurant_care_tickets",
+    "cp_gh_internal_care_tickets",
+    "cp_redelivery_cost",
+    "cp_grub_care_refund",
+)
 _CANCEL = ("order_status_cancel_ind", "cancel_group", "cancel_reason_name", "cancel_contact_normal")
 
 
@@ -197,7 +208,8 @@ def counted_orders(
         .agg(F.count("*").alias("_cancels"))
     )
     parts = join_order_branches(
-        managed_orders(tables["order_profit"], window),
+        # Only what is needed, so that equal rows of a hot order become one.
+        managed_orders(tables["order_profit"], window).select(*keys, *_PROFIT),
         [
             legs,
             Side(outcomes, unique=False, copies="_cancels"),
