@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from datetime import date
 from functools import reduce
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,11 @@ from careledger.plans.sweep import sweep
 from careledger.sources.fixtures import fixture_tables
 from oracle import oracle_queries
 
+# The training-data operators can be left out of an installation.
+HAS_CORPUS = find_spec("careledger.llm") is not None and find_spec("corpus_pipeline") is not None
+if HAS_CORPUS:
+    from careledger.llm.catalog import corpus_queries, corpus_sql
+
 Tables = Mapping[str, DataFrame]
 
 PARAMS = Params(
@@ -362,9 +368,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: query(fixture_tables(spark, sf_dir))
 
-    return {name: bind(query) for name, query in QUERIES.items()}
+    named = {name: bind(query) for name, query in QUERIES.items()}
+    return named | (corpus_queries() if HAS_CORPUS else {})
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results as DuckDB SQL over the driver's tables."""
-    return oracle_queries(SWEEP)
+    return oracle_queries(SWEEP) | (corpus_sql() if HAS_CORPUS else {})
