@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from careledger.llm.exact_dedup import exact_groups
+from careledger.llm.packing import pack
 from careledger.llm.shared import table
 
+def tokenizer_file(name: str) -> str:
+    """The installed vocabulary file of this name."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -34,12 +42,17 @@ FROM ranked
 """
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def corpus_queries() -> dict[str, Query]:
     import corpus_pipeline
 
     return {
         "pipeline": corpus_pipeline.run,
         "op6_exact_dedup": op6_exact_dedup,
+        "op10_packing": op10_packing,
     }
 
 
