@@ -2,8 +2,8 @@
 
 Texts are folded first: compatibility forms, look-alike letters of other scripts, accents,
 and digits that stand for letters all become plain letters, other signs become spaces.
-The lexicon holds words, and beginnings of words, with the share of labelled rows in
-favour as weight. One Aho-Corasick automaton finds all of them, and the exception
+The lexicon holds words, and beginnings of words, weighted by how far the labelled rows
+with them lean to toxic. One Aho-Corasick automaton finds all of them, and the exception
 phrases that cancel a hit inside them, in a single pass over a text. The sum of weights
 is normalised by the length of the text.
 """
@@ -33,7 +33,7 @@ WORDS_PER_HIT = 400
 PREFIXES = range(4, 9)
 #: Families of toxic rows that must have a pattern; a family shares its least shingle.
 LEAST_FAMILIES = 4
-LEAST_SHARE = 0.8
+LEAST_SHARE = 0.6
 
 # Letters that look like others, and signs that stand for letters.
 LOOKALIKES = {
@@ -154,7 +154,7 @@ def _select(support: dict[str, int], against: dict[str, int]) -> dict[str, float
     for feature, n in support.items():
         share = n / (n + against.get(feature, 0))
         if feature and share >= LEAST_SHARE and n >= least:
-            weights[feature] = share
+            weights[feature] = 2 * share - 1
     # A beginning gives way to a longer pattern with nearly all of its families ...
     best_longer: dict[str, int] = {}
     for feature in weights:
