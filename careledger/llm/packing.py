@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from careledger.llm.shared import cut, documents_of
-from careledger.llm.tokens import WordTokenizer
+from careledger.llm.tokens import word_tokenizer
 
 Run = tuple[int, int]  # a length, how often it stands in the sequence
 
@@ -151,7 +151,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) ->
     """
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = word_tokenizer(tokenizer_path)
         part = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         end, wide = np.array([end_id], "<u4").tobytes(), 4 * capacity
