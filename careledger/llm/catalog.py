@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from careledger.llm.chat_format import conversation_digests
 from careledger.llm.exact_dedup import exact_groups
 from careledger.llm.fingerprints import fingerprints
+from careledger.llm.minhash import near_groups
 from careledger.llm.packing import pack
 from careledger.llm.shared import table
 from careledger.llm.toxicity import toxicity_scores
@@ -52,6 +53,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = r"""
 WITH p AS (
     SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
@@ -137,6 +142,7 @@ def corpus_queries() -> dict[str, Query]:
         "op3_toxicity": op3_toxicity,
         "op5_warc": op5_warc,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_minhash": op7_minhash,
         "op9_chat_format": op9_chat_format,
         "op10_packing": op10_packing,
     }
