@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from careledger.llm.chat_format import conversation_digests
 from careledger.llm.exact_dedup import exact_groups
 from careledger.llm.fingerprints import fingerprints
+from careledger.llm.masked_lm import pseudo_likelihood
 from careledger.llm.minhash import near_groups
 from careledger.llm.packing import pack
+from careledger.llm.piece_sampling import sampled_round_trip
 from careledger.llm.shared import table
 from careledger.llm.toxicity import toxicity_scores
 from careledger.llm.url_filters import Rule, judge, page_edges
@@ -49,6 +51,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_round_trip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"))
 
@@ -94,6 +100,10 @@ FROM ranked
 """
 
 
+def op8_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.range(2).select(
@@ -140,9 +150,11 @@ def corpus_queries() -> dict[str, Query]:
         "op1_fingerprints": op1_fingerprints,
         "op2_url_filters": op2_url_filters,
         "op3_toxicity": op3_toxicity,
+        "op4_piece_sampling": op4_piece_sampling,
         "op5_warc": op5_warc,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_minhash": op7_minhash,
+        "op8_masked_lm": op8_masked_lm,
         "op9_chat_format": op9_chat_format,
         "op10_packing": op10_packing,
     }

@@ -200,7 +200,7 @@ def _matcher(weights: dict[str, float], exceptions: Sequence[str]):
 
 
 def scored(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = EXCEPTIONS) -> DataFrame:
-    """``docs`` with ``toxicity``: a struct of score (0 to 1) and hits.
+    """``docs`` with ``_toxicity``: a struct of score (0 to 1) and hits.
 
     The lexicon is learned here, from labelled rows of ``docs`` that are not held out. A null
     or empty text scores 0; without labels every text does. Repeated rows score alike.
@@ -213,7 +213,7 @@ def scored(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = EXCEP
         for texts in series:
             yield pd.DataFrame([score(t) for t in texts], columns=["score", "hits"])
 
-    return docs.withColumn("toxicity", toxicity(whole()))
+    return docs.withColumn("_toxicity", toxicity(whole()))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -221,7 +221,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored(docs.select("doc_id", "text"), labels).select(
         "doc_id",
         held_out().alias("held_out"),
-        F.col("toxicity.score").alias("score"),
-        F.when(F.col("toxicity.score") >= THRESHOLD, 1).otherwise(0).alias("predicted"),
-        F.col("toxicity.hits").alias("hits"),
+        F.col("_toxicity.score").alias("score"),
+        F.when(F.col("_toxicity.score") >= THRESHOLD, 1).otherwise(0).alias("predicted"),
+        F.col("_toxicity.hits").alias("hits"),
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    return scored(docs, labels).filter(F.col("_toxicity.score") < THRESHOLD).select(*docs.columns)

@@ -6,21 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from careledger.llm.catalog import tokenizer_file
 from careledger.llm.exact_dedup import exact_unique
+from careledger.llm.minhash import near_unique
+from careledger.llm.packing import pack
 from careledger.llm.shared import cut, table
+from careledger.llm.toxicity import without_toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents go."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of equal texts stays."""
     return exact_unique(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies stays."""
+    return near_unique(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What stays is cut into pieces and packed into sequences."""
+    return pack(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+#: Each stage works on all that the one before kept.
 STAGES: list[tuple[str, Stage]] = [
-    ("exact_dedup", exact),
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("packing", packing),
 ]
 
-#: The first and last stage are not expressible in SQL.
+#: SQL has no tokenizer and no learned lexicon; the tests compare with brute force.
 ORACLE_SQL = None
 
 
