@@ -47,6 +47,64 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, page_edges(pages), URL_RULES)
 
 
+OP2_SQL = r"""
+WITH RECURSIVE rules(verdict, host, path) AS (
+    VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+           ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), raw AS (
+    SELECT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+    FROM (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL)
+), canonical AS (
+    SELECT url, CASE WHEN contains(url, '://') THEN
+        'https://' || regexp_replace(host, '^(www|m)\.', '')
+        || regexp_replace(path, '(/index)?(\.html?|/+)?$', '')
+        || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END
+        ELSE url END AS target
+    FROM (SELECT *, [x for x in string_split(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '&')
+                         if x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref)(=|$)')] AS kept FROM raw)
+), tags AS (
+    SELECT url, unnest(regexp_extract_all(html, '(?is)(<(?:link|meta)[^>]*>)', 1)) AS tag
+    FROM pages WHERE url IS NOT NULL AND html IS NOT NULL
+), declared AS (
+    SELECT url, regexp_extract(tag, '(?is)href\s*=\s*["'']?([^"''>\s]+)', 1) AS target FROM tags
+    WHERE regexp_matches(tag, '(?is)^<link') AND regexp_matches(tag, '(?is)rel\s*=\s*["'']?canonical')
+    UNION ALL
+    SELECT url, regexp_extract(tag, '(?is)content\s*=\s*["''][^"'']*url\s*=\s*([^"'']*)', 1) FROM tags
+    WHERE regexp_matches(tag, '(?is)^<meta') AND regexp_matches(tag, '(?is)http-equiv\s*=\s*["'']?refresh')
+), edges AS (
+    SELECT url AS a, target AS b FROM canonical UNION SELECT target, url FROM canonical
+    UNION SELECT url, target FROM declared WHERE contains(target, '://')
+    UNION SELECT target, url FROM declared WHERE contains(target, '://')
+), reach(url, other) AS (
+    SELECT a, a FROM edges UNION SELECT r.url, e.b FROM reach r JOIN edges e ON r.other = e.a
+), nodes AS (
+    SELECT url, min(other) AS component FROM reach GROUP BY url
+), parts AS (
+    SELECT url, component, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+    FROM nodes
+), fitted AS (
+    SELECT p.url, any_value(p.component) AS component, any_value(p.host) AS host, any_value(p.path) AS path,
+           arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
+           arg_max(r.verdict, length(r.host || r.path)) AS verdict
+    FROM parts p LEFT JOIN rules r
+      ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+    GROUP BY p.url
+), blocked AS (
+    SELECT component FROM fitted GROUP BY component
+    HAVING count(*) FILTER (verdict = 'block') > 0 AND count(*) FILTER (verdict = 'allow') = 0
+)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+       coalesce(verdict, CASE WHEN b.component IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+       f.component AS alias,
+       CASE WHEN verdict IS NOT NULL THEN 'rule' WHEN b.component IS NOT NULL THEN 'alias' ELSE 'default' END AS decided_by
+FROM pages p LEFT JOIN fitted f ON p.url = f.url LEFT JOIN blocked b ON f.component = b.component
+"""
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -100,6 +158,29 @@ FROM ranked
 """
 
 
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, [x for x in string_split_regex(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END AS s
+    FROM words
+), shingles AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b
+      ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id, s.doc_id = r.component_id AS kept
+FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r ON s.doc_id = r.doc_id
+"""
+
+
 def op8_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood(table(spark, sf_dir, "documents"))
 
@@ -161,4 +242,10 @@ def corpus_queries() -> dict[str, Query]:
 
 
 def corpus_sql() -> dict[str, str]:
-    return {"op5_warc": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op9_chat_format": OP9_SQL}
+    return {
+        "op2_url_filters": OP2_SQL,
+        "op5_warc": OP5_SQL,
+        "op6_exact_dedup": OP6_SQL,
+        "op7_minhash": OP7_SQL,
+        "op9_chat_format": OP9_SQL,
+    }
