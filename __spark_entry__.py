@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careledger.functions import fixed_values as fixed
-from careledger.functions.columns import classify, matchable
+from careledger.functions.columns import classify, matchable, sql_text
 from careledger.functions.windows import PaddedWindow, RollingWindow
 from careledger.operators import checks, events, orders
 from careledger.operators.deliveries import delivery_first_leg, delivery_legs
@@ -97,7 +97,7 @@ def reason_normalised(t: Tables) -> DataFrame:
 
 def reason_group(t: Tables) -> DataFrame:
     rows = reason_normalised(t)
-    group = classify(F.col("_match"), fixed.GROUP_RULES, F.lit(fixed.NOT_GROUPED))
+    group = classify("_match", fixed.GROUP_RULES, sql_text(fixed.NOT_GROUPED))
     return rows.withColumn("_match", matchable(F.col("normal"))).select(
         *rows.columns, group.alias("reason_group")
     )

@@ -9,13 +9,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def mentions(text: Column, pattern: str) -> Column:
-    """True where ``text`` contains any phrase of ``pattern`` ("a|b|c").
+def sql_text(text: str) -> str:
+    """``text`` as a literal of an SQL expression."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def mentions(name: str, pattern: str) -> str:
+    """SQL: the column holds any phrase of ``pattern`` ("a|b|c").
 
     The patterns are plain phrases, so a byte search does what an unanchored
     regular expression would do, without leaving Spark's binary strings.
     """
-    return reduce(lambda a, b: a | b, [text.contains(phrase) for phrase in pattern.split("|")])
+    return " OR ".join(f"contains({name}, {sql_text(phrase)})" for phrase in pattern.split("|"))
 
 
 def matchable(text: Column) -> Column:
@@ -28,25 +33,21 @@ def matchable(text: Column) -> Column:
 
 
 def classify(
-    text: Column, rules: Sequence[tuple[str, str]], otherwise: Column, chain: Column | None = None
+    name: str, rules: Sequence[tuple[str, str]], otherwise: str, first: str | None = None
 ) -> Column:
-    """Fold ordered ``(pattern, result)`` rules over :func:`matchable` text into one CASE.
+    """Ordered ``(pattern, result)`` rules over a :func:`matchable` column as one CASE.
 
-    The text should be a column of its own, as every phrase of every rule reads it.
-    ``chain`` is a CASE already begun, whose branches come before the rules.
+    One SQL text, parsed once: built from Column calls, each phrase would cost a call
+    into the JVM. ``otherwise`` is SQL; ``first`` is a WHEN branch before the rules.
     """
-    for pattern, result in rules:
-        hit = mentions(text, pattern)
-        chain = F.when(hit, result) if chain is None else chain.when(hit, result)
-    return chain.otherwise(otherwise)
+    whens = [f"WHEN {mentions(name, pattern)} THEN {sql_text(result)}" for pattern, result in rules]
+    return F.expr(" ".join(["CASE", *([first] if first else []), *whens, f"ELSE {otherwise} END"]))
 
 
 def lookup(code: Column, mapping: Mapping[str | int, str | int]) -> Column:
     """Value for a code, NULL for an unknown one."""
-    chain = None
-    for key, value in mapping.items():
-        chain = F.when(code == key, value) if chain is None else chain.when(code == key, value)
-    return chain
+    (first, value), *others = mapping.items()
+    return reduce(lambda chain, item: chain.when(code == item[0], item[1]), others, F.when(code == first, value))
 
 
 def max_label(code: Column, mapping: Mapping[str, str]) -> Column:

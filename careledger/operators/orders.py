@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careledger.functions import fixed_values as fixed
-from careledger.functions.columns import classify, matchable
+from careledger.functions.columns import classify, matchable, sql_text
 from careledger.functions.windows import PaddedWindow, RollingWindow, WindowSet
 from careledger.operators.deliveries import is_true
 
@@ -143,7 +143,8 @@ def total_cost() -> Column:
 
 def managed_orders(profit: DataFrame, window: PaddedWindow | WindowSet) -> DataFrame:
     """Report A's orders: managed deliveries with an order date in the padded window."""
-    return window.within(profit, "order_date").filter(is_true(F.col("managed_delivery_ind")))
+    # A bare flag: a filter drops NULL anyway, and only this form reaches the scan.
+    return window.within(profit, "order_date").filter("managed_delivery_ind")
 
 
 def recent_orders(profit: DataFrame, window: RollingWindow) -> DataFrame:
@@ -161,9 +162,8 @@ def normal_reason(df: DataFrame, text: str, name: str, fallback: bool = True) ->
     out of the long generated method of the join chain, which the JVM would not
     compile beyond 8 kB.
     """
-    otherwise = F.lower(text) if fallback else F.lit(None)
-    rules = classify(F.col("_match"), fixed.REASON_RULES, otherwise)
-    return df.withColumn("_match", matchable(F.col(text))).select(*df.columns, rules.alias(name))
+    rules = classify("_match", fixed.REASON_RULES, f"lower({text})" if fallback else "NULL")
+    return df.withColumn("_match", matchable(F.col(text))).withColumn(name, rules).drop("_match")
 
 
 def adjustment_columns(adjustments: DataFrame) -> DataFrame:
@@ -299,12 +299,13 @@ def order_detail(reasoned: DataFrame, reason_map: DataFrame, report: str) -> Dat
             "_concession": matchable(F.col("fg_reason")),
         }
     ).join(groups, "_text", "left")
-    own = F.col("cancel_group")
-    fallback = F.coalesce("_map_group", F.lit(fixed.NOT_GROUPED))
+    gate = (
+        f"WHEN cancel_group IS NOT NULL AND cancel_group <> {sql_text(fixed.OTHER_GROUP)} THEN _map_group"
+    )
+    fallback = f"coalesce(_map_group, {sql_text(fixed.NOT_GROUPED)})"
 
     def group(text: str) -> Column:
-        gate = F.when(own.isNotNull() & (own != fixed.OTHER_GROUP), F.col("_map_group"))
-        return classify(F.col(text), fixed.GROUP_RULES, fallback, chain=gate)
+        return classify(text, fixed.GROUP_RULES, fallback, gate)
 
     # One select: the concession group reads the reason before the reason is filled.
     replaced = {

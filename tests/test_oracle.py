@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as catalog
+from oracle import oracle_queries
 
 SF_DIR = "/root/testdata/sf0.001"
-ORACLE = catalog.oracle_sql()
+ORACLE = oracle_queries(catalog.SWEEP)
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +21,7 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(ORACLE) == set(catalog.queries())
+    assert set(ORACLE) == set(catalog.QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

@@ -35,7 +35,7 @@ def no_small_sides(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_no_query_multiplies_out_or_leaves_the_jvm(spark, name):
     text = plan(catalog.queries()[name](spark, "/root/testdata/sf0.001"))
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|PythonUDF|InPandas|EvalPython", text)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from careledger.functions import fixed_values as fixed
-from careledger.functions.columns import classify, lookup, matchable, max_label
+from careledger.functions.columns import classify, lookup, matchable, max_label, sql_text
 from careledger.operators.orders import normal_reason
 
 
@@ -48,7 +48,7 @@ def test_reason_rules(texts):
 
 
 def test_group_rules(texts):
-    group = classify(F.col("m"), fixed.GROUP_RULES, F.lit(fixed.NOT_GROUPED))
+    group = classify("m", fixed.GROUP_RULES, sql_text(fixed.NOT_GROUPED))
     for row in texts.withColumn("m", matchable(F.col("text"))).withColumn("g", group).collect():
         assert row.g == first_match(row.text, fixed.GROUP_RULES, fixed.NOT_GROUPED), row.text
 
