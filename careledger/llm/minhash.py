@@ -5,10 +5,11 @@ ring by one step per coordinate, so two permutations yield a signature of any le
 bands make candidates, and every link is confirmed on the full shingle sets.
 
 No bucket is expanded into all its pairs. First each member is compared with the least
-member of its bucket only, and the links found are contracted to components. Then just
-those pairs are left whose members share a bucket but no component. So each candidate
-pair is either confirmed, refused, or known to be connected, while a group of
-thousands of near copies costs a few comparisons per member.
+member of its bucket only, and the links found are contracted to components. Then
+buckets with several components are left; of their members those pairs are compared that
+share one of their rarest shingles, which every link does. So each candidate pair is either
+confirmed, refused, or known to be connected, while a group of thousands of near
+copies costs a few comparisons per member.
 """
 
 from __future__ import annotations
@@ -156,16 +157,59 @@ def _links(signed: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
         "bucket", "rep", F.coalesce("component", "rep").alias("label")
     )
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    open_ = cut(labelled.join(mixed, "bucket", "left_semi"), "open")
-    one, other = open_.alias("one"), open_.alias("other")
-    apart = (F.col("one.bucket") == F.col("other.bucket")) & (F.col("one.label") < F.col("other.label"))
-    rest = (
+    open_ = cut(labelled.join(mixed, "bucket", "left_semi").select("rep", "label").distinct(), "open")
+    rest = _rare_pairs(open_, texts).join(stars, ["a", "b"], "left_anti")
+    return first.union(cut(_verified(rest, texts), "links"))
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [shingles(text.as_py()).view(np.int64) for text in batch.column("text")]
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.cumsum([0, *map(len, found)], dtype=np.int32)), pa.array(np.concatenate(found))
+        )
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("label"), lists], ["rep", "label", "shingles"])
+
+
+def _rare_pairs(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): pairs with different labels that can be links, of documents that share buckets.
+
+    Linked sets have one of their rarest shingles in common: of n shingles, in an order that
+    is the same for all, the first n - ceil(0.85 n) + 1 of both overlap, and none that
+    stands before the first common one is in the other. Near copies that are not linked
+    differ in many shingles which hardly another text has, and those come first. So the
+    pairs left are few where a bucket holds many texts, and no link is lost.
+    """
+    sets = open_.join(texts, "rep").mapInArrow(_shingled, "rep long, label long, shingles array<long>")
+    rows = sets.select("rep", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    ordered = (
+        rows.join(often.filter("often > 1"), "shingle", "left")
+        .groupBy("rep", "label", "n")
+        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "shingle"))).alias("s"))
+    )
+    prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    first = ordered.select(
+        "rep", "label", "n", F.posexplode(F.slice("s", F.lit(1), prefix.cast("int"))).alias("before", "x")
+    )
+    tokens = cut(
+        first.filter("x.often > 1").select("rep", "label", "n", "before", F.col("x.shingle").alias("token")), "tokens"
+    )
+    mixed = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+    both = tokens.join(mixed, "token", "left_semi")
+    one, other = both.alias("one"), both.alias("other")
+    # From the first common shingle on, what is left of both must still be enough.
+    left = F.least(F.col("one.n") - F.col("one.before"), F.col("other.n") - F.col("other.before"))
+    apart = (
+        (F.col("one.token") == F.col("other.token"))
+        & (F.col("one.label") < F.col("other.label"))
+        & ((100 + PERCENT) * left >= PERCENT * (F.col("one.n") + F.col("other.n")))
+    )
+    return (
         one.join(other, apart)
         .select(F.least("one.rep", "other.rep").alias("a"), F.greatest("one.rep", "other.rep").alias("b"))
         .distinct()
-        .join(stars, ["a", "b"], "left_anti")
     )
-    return first.union(cut(_verified(rest, texts), "links"))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
