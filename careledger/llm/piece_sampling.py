@@ -26,7 +26,7 @@ from careledger.llm.shared import documents_of
 #: How sharply frequent pieces are preferred: a piece of merge rank r weighs r ** -SHARPNESS.
 SHARPNESS = 0.7
 #: Characters that are segmented at a time, whole texts at least.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 1_000_000
 
 SPACE = "▁"
 #: Stands for a literal ``SPACE`` in a text; lone surrogates are in no valid text.
@@ -180,6 +180,7 @@ class _Lattice:
         depth = target - self._first[word[at]]  # how far into its word an edge ends
         order = np.argsort((depth << 44) | (target << 8) | length)  # no two edges are alike
         source, target, depth, weight = source[order], target[order], depth[order], weight[order]
+        length = length[order]
         code_count, code_start = code_count[order], code_start[order]
 
         total = np.zeros(int(self._last[-1]) + 1)
@@ -190,7 +191,7 @@ class _Lattice:
             heads = np.flatnonzero(np.r_[True, target[a + 1 : b] != target[a : b - 1]])
             total[target[a:b][heads]] = np.logaddexp.reduceat(score[a:b], heads)
 
-        order = np.argsort(target, kind="stable")
+        order = np.argsort((target << 8) | length)
         target = target[order]
         share = np.exp(score[order] - total[target])
         ends = np.flatnonzero(np.r_[target[1:] != target[:-1], True])
@@ -206,19 +207,23 @@ class _Lattice:
     def sample(self, words: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all occurrences in a row, and how many each has."""
         node, first = self._last[words], self._first[words]
-        active, taken = np.argsort(words, kind="stable"), []  # neighbours search the same edges
+        # In order of word, as neighbours then search the same edges.
+        active, taken, steps = np.argsort(words), [], np.zeros(len(words), np.int64)
         step = np.uint64(0)
         while len(active):
             step += np.uint64(1)
             luck = _mixed(draws[active] + step) >> np.uint64(32)
             edge = np.searchsorted(self._bounds, (node[active].astype(np.uint64) << np.uint64(32)) | luck)
             taken.append((active, edge))
+            steps[active] += 1
             node[active] = self._source[edge]
             active = active[node[active] > first[active]]
-        occurrence = np.concatenate([a for a, _ in taken][::-1])  # last step first
-        edge = np.concatenate([e for _, e in taken][::-1])
-        order = np.argsort(occurrence, kind="stable")
-        occurrence, edge = occurrence[order], edge[order]
+        # The last piece is drawn first: each goes to its place from the end of its word.
+        place = np.cumsum(steps) - 1
+        edge = np.empty(int(steps.sum()), np.int64)
+        for number, (active, drawn) in enumerate(taken):
+            edge[place[active] - number] = drawn
+        occurrence = np.repeat(np.arange(len(words)), steps)
         count = self._code_count[edge]
         places = np.repeat(self._code_start[edge] - (np.cumsum(count) - count), count) + np.arange(count.sum())
         lengths = np.bincount(occurrence, weights=count, minlength=len(words)).astype(np.int64)
