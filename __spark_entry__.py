@@ -15,6 +15,7 @@ from careledger.functions.columns import classify, matchable, sql_text
 from careledger.functions.windows import PaddedWindow, RollingWindow
 from careledger.operators import checks, events, orders
 from careledger.operators.deliveries import delivery_first_leg, delivery_legs
+from careledger.operators.joins import Side, join_order_sides, spread_left_join
 from careledger.params import Params
 from careledger.plans.report_a import labelled, market, report_a, stages_a
 from careledger.plans.report_b import report_b, stages_b
@@ -60,7 +61,8 @@ def cost_by_market(t: Tables) -> DataFrame:
     costs = orders.managed_orders(t["order_profit"], WINDOW_A).withColumn(
         "cp_care_ticket_cost", orders.ticket_cost()
     )
-    rows = costs.join(legs, "order_uuid")
+    sides = [Side(legs, how="inner", unique=False)]
+    rows = join_order_sides(costs, sides, ["order_uuid"], PARAMS.hot_orders)
     return rows.groupBy("cany_ind").agg(
         F.count("order_uuid").alias("orders"),
         F.count_distinct("order_uuid").alias("distinct_order_uuid"),
@@ -165,7 +167,7 @@ def early_filter(t: Tables) -> DataFrame:
     tickets = WINDOW_A.within(reasons(t), "ticket_created_date").select(
         "ticket_id", "contact_reason"
     )
-    joined = t["adjustments"].join(tickets, "ticket_id", "left")
+    joined = spread_left_join(t["adjustments"], tickets, ["ticket_id"])
     kept = WINDOW_A.within_int(joined, "adjustment_dt").filter(
         (F.col("direction") == fixed.REFUND_DIRECTION) & (F.col("payer") == PARAMS.platform_payer)
     )

@@ -2,6 +2,7 @@
 
 from careledger.functions.windows import PaddedWindow, RollingWindow, WindowSet
 from careledger.params import Params
+from careledger.plans.hot import find_hot_orders
 from careledger.plans.report_a import report_a, stages_a
 from careledger.plans.report_b import report_b, stages_b
 from careledger.plans.sweep import sweep
@@ -13,6 +14,7 @@ __all__ = [
     "Params",
     "RollingWindow",
     "WindowSet",
+    "find_hot_orders",
     "fixture_tables",
     "read_tables",
     "report_a",

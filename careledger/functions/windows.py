@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _DAY = timedelta(days=1)
-_BROADCAST_DAYS = 500_000
 
 
 def months_before(day: date, months: int) -> date:
@@ -111,17 +110,12 @@ class WindowSet:
             "window_end",
         )
         exact = days.filter(F.col("_day").between(F.col("window_start"), F.col("window_end")))
-        number = sum((end - start).days + 3 for _, start, end in self.windows)
-        # The number of (window, day) rows is known here, so the hint has a bound.
-        hint = F.broadcast if number <= _BROADCAST_DAYS else (lambda df: df)
-        self._padded = hint(days.select("window_id", "_day"))
-        self._padded_int = hint(
-            days.select(
-                "window_id",
-                (F.year("_day") * 10_000 + F.month("_day") * 100 + F.day("_day")).alias("_day"),
-            )
+        self._padded = days.select("window_id", "_day")
+        self._padded_int = days.select(
+            "window_id",
+            (F.year("_day") * 10_000 + F.month("_day") * 100 + F.day("_day")).alias("_day"),
         )
-        self._exact = hint(exact.select("window_id", "_day"))
+        self._exact = exact.select("window_id", "_day")
         self.first = min(start for _, start, _ in self.windows) - _DAY
         self.last = max(end for _, _, end in self.windows) + _DAY
         self._hull = _Bounds(self.first, self.last)

@@ -12,9 +12,7 @@ from pyspark.sql import functions as F
 from careledger.functions import fixed_values as fixed
 from careledger.functions.columns import latest, lookup, max_label
 from careledger.functions.windows import Window
-from careledger.operators.joins import Side, join_order_sides, left_join_unique
-
-_NULL_SPREAD = 1024
+from careledger.operators.joins import Hot, Side, join_order_sides, left_join_unique, spread_left_join
 
 
 def ticket_reasons(tickets: DataFrame, primary: DataFrame, secondary: DataFrame) -> DataFrame:
@@ -42,10 +40,8 @@ def ticket_reasons(tickets: DataFrame, primary: DataFrame, secondary: DataFrame)
 def _with_ticket(events: DataFrame, reasons: DataFrame, window: Window) -> DataFrame:
     """Events with the reason columns of their ticket, if it lies in the window.
 
-    Most events of some kinds have no ticket. A NULL key would gather them in one
-    task, so such rows get a second key that spreads them; they match nothing. It is
-    a hash of the row, so a task that runs again sends every row where it went before.
-    AQE splits a single ticket id that many events share.
+    Most events of some kinds have no ticket; they match nothing and are spread. Every
+    caller takes the same ticket columns, so one exchange of the tickets serves all.
     """
     tickets = window.within(reasons, "ticket_created_date").select(
         "ticket_id",
@@ -55,14 +51,7 @@ def _with_ticket(events: DataFrame, reasons: DataFrame, window: Window) -> DataF
         "secondary_name",
         "contact_reason",
     )
-    no_ticket = F.col("ticket_id").isNull()
-    row_hash = F.pmod(F.xxhash64(*events.columns), F.lit(_NULL_SPREAD))
-    spread = F.when(no_ticket, row_hash).otherwise(-1)
-    return events.withColumn("_spread", spread).join(
-        tickets.withColumn("_spread", F.when(no_ticket, -2).otherwise(-1).cast("bigint")),
-        ["ticket_id", "_spread", *window.keys],
-        "left",
-    )
+    return spread_left_join(events, tickets, ["ticket_id", *window.keys])
 
 
 def _tie_break(df: DataFrame, column: str, payload: Column) -> Column:
@@ -137,13 +126,15 @@ def cancels(
     self_service: DataFrame,
     window: Window,
     strict: bool = True,
-    hot: tuple[str, ...] = (),
+    hot: Hot | None = None,
+    keep_null: bool = True,
 ) -> DataFrame:
     """Cancelled orders with the mapped or overridden reason and group.
 
     Not one row per order: a repeated cancellation or map row stays repeated.
     ``strict`` makes a ticket id that is not a number an error, as a cast does;
-    otherwise it counts as "no ticket".
+    otherwise it counts as "no ticket". ``keep_null=False`` leaves out rows without an
+    order, which no order can meet.
     """
     ticket = F.col("cancellation_ticket_id")
     named = reason_map.select(
@@ -160,7 +151,16 @@ def cancels(
         window,
     )
     keys = ["order_uuid", *window.keys]
-    joined = left_join_unique(joined, self_service, keys, hot)
+    unknown = F.col("order_uuid").isNull()
+    own = left_join_unique(joined.filter(~unknown), self_service, keys, hot)
+    if keep_null:
+        codes = [c for c in self_service.columns if c not in keys]
+        own = own.unionByName(
+            joined.filter(unknown).withColumns(
+                {c: F.lit(None).cast(self_service.schema[c].dataType) for c in codes}
+            )
+        )
+    joined = own
     lost = F.lower("order_status_cancel_reason").like(fixed.NOT_RECEIVED_LIKE)
 
     def override(mapped: str, own: str, when_lost: str) -> Column:
@@ -234,9 +234,9 @@ def order_attributes(order_fact: DataFrame, merchants: DataFrame, window: Window
     """Area, delivery region and size band of an order."""
     area = F.col("modified_cbsa_name")
     size = F.col("food_and_beverage")
+    recent = order_fact.filter(window.holds(F.col("delivery_time_ct").cast("date")))
     return (
-        order_fact.filter(window.holds(F.col("delivery_time_ct").cast("date")))
-        .join(merchants.select("cust_id", "ghd_delivery_region_name"), "cust_id", "left")
+        spread_left_join(recent, merchants.select("cust_id", "ghd_delivery_region_name"), ["cust_id"])
         .select(
             "order_uuid",
             "modified_cbsa_name",
@@ -252,12 +252,19 @@ def order_attributes(order_fact: DataFrame, merchants: DataFrame, window: Window
     )
 
 
-def order_geography(locations: DataFrame, blockgroups: DataFrame) -> DataFrame:
-    """Tri-state flag of the block group where an order is dropped off."""
+def order_geography(
+    locations: DataFrame, blockgroups: DataFrame, orders: DataFrame | None = None
+) -> DataFrame:
+    """Tri-state flag of the block group where an order is dropped off.
+
+    ``orders`` leaves only the locations of its orders, before anything else is done.
+    """
+    if orders is not None:
+        locations = locations.join(orders.select("order_uuid"), "order_uuid", "left_semi")
     groups = blockgroups.filter(F.substring("blockgroup_geoid", 12, 1) != "0").select(
         F.col("blockgroup_geoid").alias("dropoff_blockgroup_geoid"), "csa_name"
     )
-    return locations.join(groups, "dropoff_blockgroup_geoid", "left").select(
+    return spread_left_join(locations, groups, ["dropoff_blockgroup_geoid"]).select(
         "order_uuid",
         F.when(F.col("csa_name") == fixed.TRI_STATE_CSA, "Tri-State")
         .otherwise("Other")
@@ -266,7 +273,7 @@ def order_geography(locations: DataFrame, blockgroups: DataFrame) -> DataFrame:
 
 
 def located_attributes(
-    attributes: DataFrame, geography: DataFrame, hot: tuple[str, ...] = ()
+    attributes: DataFrame, geography: DataFrame, hot: Hot | None = None
 ) -> DataFrame:
     """Order attributes with the tri-state flag of every location of the order.
 
@@ -279,7 +286,7 @@ def located_attributes(
 
 
 def counted_attributes(
-    attributes: DataFrame, geography: DataFrame, hot: tuple[str, ...] = ()
+    attributes: DataFrame, geography: DataFrame, hot: Hot | None = None
 ) -> DataFrame:
     """:func:`located_attributes` as distinct rows, with their number in ``_attributes``."""
     tri_state = F.col("tri_state_ind") == "Tri-State"

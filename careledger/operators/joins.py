@@ -3,22 +3,25 @@
 The profit fact and every stage are keyed by order, so the whole chain of joins
 needs one exchange per input and none in between. The price is that one order id
 that holds a large share of a table (a placeholder id, say) would end up in one
-task. Such ids are found with a small sketch and take a second path, where both
+task. Such ids, which a caller looks up beforehand, take a second path, where both
 sides of each join are cut into slots; the result is the same bag of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_CHECK_ABOVE_BYTES = 4 << 30
-_TRACKED = 8192
-_HOT_SHARE = 0.002
+#: Rows of one order that a task can take: an order with more in any table is hot.
+ROWS_PER_TASK = 1_000_000
+#: Hot orders that a run accepts, as their rows of unique sides are broadcast.
+MOST_HOT = 100_000
+
+Hot = Mapping[str, int]
 
 
 @dataclass(frozen=True)
@@ -34,43 +37,42 @@ class Side:
     copies: str | None = None
 
 
-def hot_orders(tables: Iterable[DataFrame], column: str = "order_uuid") -> tuple[str, ...]:
-    """Order ids that hold more than 0.2 % of the rows of any of ``tables``.
+def frequent_orders(
+    tables: Mapping[str, DataFrame], rows_per_task: int = ROWS_PER_TASK, column: str = "order_uuid"
+) -> dict[str, int]:
+    """Order ids with more than ``rows_per_task`` rows in one of ``tables``, with that number.
 
-    Small tables are skipped: all of their rows fit one task. For a large one a
-    frequent-items sketch reads the single column without a shuffle. The sketch
-    misses no id of that share, and no more than 500 ids can have it. An id that
-    only looks frequent is handled correctly as well.
+    One job over all tables: their rows are counted per order, in each task first. No id is
+    missed, and there are no more of them than the rows hold that bound.
     """
-    found: set[str] = set()
-    for table in tables:
-        if estimated_bytes(table) < _CHECK_ABOVE_BYTES:
-            continue
-        top = table.filter(F.col(column).isNotNull()).agg(
-            F.expr(f"approx_top_k({column}, 500, {_TRACKED})").alias("top"),
-            F.count("*").alias("n"),
-        )
-        row = top.first()
-        found.update(i["item"] for i in row["top"] or () if i["count"] > _HOT_SHARE * row["n"])
-    return tuple(sorted(found))
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The planner's size estimate of what ``df`` scans; unknown counts as large."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    except AttributeError:
-        return 1 << 62
-    return sum(
-        int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())
+    keys = [df.select(F.lit(name).alias("_table"), column) for name, df in tables.items()]
+    counts = (
+        reduce(DataFrame.union, keys)
+        .filter(F.col(column).isNotNull())
+        .groupBy("_table", column)
+        .agg(F.count("*").alias("n"))
+        .filter(F.col("n") > rows_per_task)
     )
+    return {r[column]: r["n"] for r in counts.groupBy(column).agg(F.max("n").alias("n")).collect()}
+
+
+def slots_of(hot: Hot, rows_per_task: int = ROWS_PER_TASK) -> Column:
+    """In how many slots each hot order is cut: as its rows need, as a power of two."""
+    classes: dict[int, list[str]] = {}
+    for order, rows in hot.items():
+        needed = max(2, -(-rows // rows_per_task))
+        classes.setdefault(1 << (needed - 1).bit_length(), []).append(order)
+    order = F.col("order_uuid")
+    (first, ids), *others = sorted(classes.items(), reverse=True)
+    chain = F.when(order.isin(*ids), first)
+    return reduce(lambda c, item: c.when(order.isin(*item[1]), item[0]), others, chain).otherwise(2)
 
 
 def join_order_sides(
     base: DataFrame,
     sides: Sequence[Side],
     keys: Sequence[str],
-    hot: Sequence[str] = (),
+    hot: Hot | None = None,
     keep_null: bool = True,
 ) -> DataFrame:
     """``base`` joined to every side on ``keys``; the first key is the order."""
@@ -84,10 +86,9 @@ def join_order_branches(
     base: DataFrame,
     sides: Sequence[Side],
     keys: Sequence[str],
-    hot: Sequence[str] = (),
+    hot: Hot | None = None,
     counted: bool = True,
     keep_null: bool = True,
-    slots: int = 32,
 ) -> list[DataFrame]:
     """The joined rows as parts that share no order: the usual ones first.
 
@@ -101,10 +102,11 @@ def join_order_branches(
     order = F.col(keys[0])
     known = base.filter(order.isNotNull())
     if hot:
+        _check_bound(hot)
         is_hot = order.isin(*hot)
         parts = [
             _chain(known.filter(~is_hot), _only(sides, ~is_hot), keys, counted),
-            _hot_chain(known.filter(is_hot), _only(sides, is_hot), keys, counted, slots),
+            _hot_chain(known.filter(is_hot), _only(sides, is_hot), keys, counted, slots_of(hot)),
         ]
     else:
         parts = [_chain(known, sides, keys, counted)]
@@ -114,22 +116,49 @@ def join_order_branches(
 
 
 def left_join_unique(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], hot: Sequence[str] = ()
+    left: DataFrame, right: DataFrame, keys: Sequence[str], hot: Hot | None = None
 ) -> DataFrame:
     """Left join to a side with one row per key; hot orders stay where they are.
 
-    Their rows of ``right`` are broadcast: at most one per hot id and window.
+    Their rows of ``right`` are broadcast: at most one per hot id and window. ``left``
+    should have no row without a key.
     """
     keys = list(keys)
     if not hot:
         return left.join(right, keys, "left")
-    is_hot = F.coalesce(F.col(keys[0]).isin(*hot), F.lit(False))
+    _check_bound(hot)
+    is_hot = F.col(keys[0]).isin(*hot)
     spread = left.filter(~is_hot).join(right.filter(~is_hot), keys, "left")
     return spread.unionByName(
         left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), keys, "left")
     )
 
 
+def spread_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join where many rows of ``left`` have no first key.
+
+    NULL keys would gather in one task, so such rows get a second key, as many as there are
+    shuffle partitions: a hash of the row, so a task that runs again sends every row
+    where it went before. AQE splits a single key that many rows share.
+    """
+    keys = list(keys)
+    missing = F.col(keys[0]).isNull()
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row_hash = F.pmod(F.xxhash64(*left.columns), F.lit(parts))
+    return (
+        left.withColumn("_spread", F.when(missing, row_hash).otherwise(-1))
+        .join(
+            right.filter(~missing).withColumn("_spread", F.lit(-1).cast("bigint")), [*keys, "_spread"], "left"
+        )
+        .drop("_spread")
+    )
+
+
+def _check_bound(hot: Hot) -> None:
+    if len(hot) > MOST_HOT:
+        raise ValueError(f"{len(hot)} hot orders are more than {MOST_HOT}: raise the rows per task")
+
+
 def _only(sides: Sequence[Side], condition: Column) -> list[Side]:
     return [Side(s.rows.filter(condition), s.how, s.unique, s.copies) for s in sides]
 
@@ -160,27 +189,27 @@ def _unmatched(base: DataFrame, sides: Sequence[Side], keys: list[str], counted:
     return base.withColumns(empty)
 
 
-def _slotted(df: DataFrame, slots: int, slot: str, copies: str) -> DataFrame:
+def _slotted(df: DataFrame, slots: Column, slot: str, copies: str) -> DataFrame:
     """Equal rows as one with a count, and every row's count dealt out to slots.
 
     Different rows spread by their hash. Many copies of one row become one row in
     each slot that carries its part of the count.
     """
     columns = df.columns
-    part = F.col("_part")
     return (
         df.groupBy(*columns)
         .agg(F.count("*").alias("_rows"))
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-        .withColumn(copies, F.floor((F.col("_rows") + (slots - 1) - part) / slots).cast("bigint"))
+        .withColumn("_slots", slots)
+        .withColumn("_part", F.explode(F.expr("sequence(0, _slots - 1)")))
+        .withColumn(copies, F.expr("cast(floor((_rows + _slots - 1 - _part) / _slots) AS bigint)"))
         .filter(F.col(copies) > 0)
-        .withColumn(slot, F.pmod(F.xxhash64(*columns) + part, F.lit(slots)).cast("int"))
+        .withColumn(slot, F.pmod(F.xxhash64(*columns) + F.col("_part"), F.col("_slots")).cast("int"))
         .drop("_part", "_rows")
     )
 
 
 def _hot_chain(
-    base: DataFrame, sides: Sequence[Side], keys: list[str], counted: bool, slots: int
+    base: DataFrame, sides: Sequence[Side], keys: list[str], counted: bool, slots: Column
 ) -> DataFrame:
     """The chain for few order ids with very many rows.
 
@@ -190,17 +219,17 @@ def _hot_chain(
     both. Side slots that have no row for a key are left out first, which keeps
     outer joins exact.
     """
-    joined = _slotted(base, slots, "_slot", "_n")
+    joined = _slotted(base, slots, "_slot", "_n").drop("_slots")
     for side in sides:
         if side.unique:
             joined = joined.join(F.broadcast(side.rows), keys, side.how)
             continue
         cut = _slotted(side.rows, slots, "_side_slot", "_side_n")
-        # At most one row per hot id, window and slot.
-        present = F.broadcast(cut.select(*keys, "_side_slot").distinct())
-        every = cut.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+        # At most one row per hot id, window and slot; its slots hold a task's rows each.
+        present = cut.select(*keys, "_side_slot").distinct()
+        every = cut.withColumn("_slot", F.explode(F.expr("sequence(0, _slots - 1)"))).drop("_slots")
         joined = (
-            joined.join(present, keys, side.how)
+            joined.join(F.broadcast(present), keys, side.how)
             .join(every, [*keys, "_side_slot", "_slot"], side.how)
             .withColumn("_n", F.col("_n") * F.coalesce("_side_n", F.lit(1)))
             .drop("_side_slot", "_side_n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from datetime import date
 
@@ -16,8 +17,9 @@ class Params:
     "today": it bounds tickets in both reports and fixes the rolling window of
     report B, so that a rerun of the same day gives the same rows.
 
-    ``hot_orders`` lists order ids known to hold a large share of the rows; leave
-    it ``None`` to have large inputs checked for such ids before the run.
+    ``hot_orders`` names order ids with more rows than a task can take, and how many;
+    :func:`careledger.plans.hot.find_hot_orders` finds them. Without any, every order
+    goes through the plain joins.
     """
 
     start: date
@@ -27,4 +29,4 @@ class Params:
     flagged_regions: frozenset[str] = field(default=FLAGGED_REGION_IDS)
     months: int = 6
     strict_ticket_ids: bool = True
-    hot_orders: tuple[str, ...] | None = None
+    hot_orders: Mapping[str, int] = field(default_factory=dict)

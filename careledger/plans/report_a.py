@@ -11,7 +11,7 @@ from careledger.functions import fixed_values as fixed
 from careledger.functions.windows import PaddedWindow, WindowSet
 from careledger.operators import events
 from careledger.operators.deliveries import delivery_legs
-from careledger.operators.joins import Side, hot_orders, join_order_branches, join_order_sides
+from careledger.operators.joins import Side, join_order_branches, join_order_sides
 from careledger.operators.orders import (
     JOINED_A,
     adjustment_columns,
@@ -72,25 +72,10 @@ def market(ca: Column, flagged: Column) -> Column:
     return F.when(ca == "CA", "CA").when(flagged == "DCWP", "DCWP").otherwise("ROM")
 
 
-def _hot(tables: Tables, params: Params, window: PaddedWindow | WindowSet) -> tuple[str, ...]:
-    """Given hot orders, or those found in the inputs that keep repeated orders."""
-    if params.hot_orders is not None:
-        return tuple(params.hot_orders)
-    dated = {
-        "order_profit": "order_date",
-        "deliveries": "business_day",
-        "cancellations": "cancellation_date",
-    }
-    return hot_orders(
-        tables[name].filter(window.holds(F.col(day))).select("order_uuid")
-        for name, day in dated.items()
-    )
-
-
 def event_stages(
-    tables: Tables, params: Params, window: PaddedWindow | WindowSet, hot: Sequence[str] = ()
+    tables: Tables, params: Params, window: PaddedWindow | WindowSet, keep_null: bool = True
 ) -> dict[str, DataFrame]:
-    """The stages below the order level, by name."""
+    """The stages below the order level, by name; see :func:`events.cancels`."""
     reasons = events.ticket_reasons(
         tables["tickets"], tables["contact_reason_primary"], tables["contact_reason_secondary"]
     )
@@ -109,7 +94,8 @@ def event_stages(
             own,
             window,
             params.strict_ticket_ids,
-            tuple(hot),
+            params.hot_orders,
+            keep_null,
         ),
         "mdf": delivery_legs(tables["deliveries"], window, params.flagged_regions),
         "contacts": events.contacts(reasons, window, F.lit(params.as_of)),
@@ -131,8 +117,7 @@ def stages_a(
     """Every stage by name, as lazy DataFrames; the report is ``final_output``."""
     window = window or PaddedWindow(params.start, params.end)
     keys = ["order_uuid", *window.keys]
-    hot = _hot(tables, params, window)
-    stages = event_stages(tables, params, window, hot)
+    stages = event_stages(tables, params, window)
     joined = join_order_sides(
         managed_orders(tables["order_profit"], window),
         [
@@ -142,7 +127,7 @@ def stages_a(
             Side(stages["contacts"].select(*keys, "latest_contact_reason")),
         ],
         keys,
-        hot,
+        params.hot_orders,
     )
     stages["o"] = order_joined(
         joined, tables["contact_reason_cost_map"], "a", [*JOINED_A, *window.keys]
@@ -200,8 +185,7 @@ def counted_orders(
     Parts that share no order, see :func:`join_order_branches`.
     """
     keys = ["order_uuid", *window.keys]
-    hot = _hot(tables, params, window)
-    stages = event_stages(tables, params, window, hot)
+    stages = event_stages(tables, params, window, keep_null=False)
     outcomes = (
         cancel_columns(stages["cancels"], keys)
         .groupBy(*keys, *_CANCEL)
@@ -217,7 +201,7 @@ def counted_orders(
             Side(stages["contacts"].select(*keys, "latest_contact_reason")),
         ],
         keys,
-        hot,
+        params.hot_orders,
     )
     carried = [c for c in legs.rows.columns if c not in keys and c != legs.copies]
     needed = [*_NEEDED, *window.keys, *carried, "copies"]

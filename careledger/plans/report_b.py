@@ -12,8 +12,8 @@ from careledger.functions.windows import RollingWindow
 from careledger.operators import events
 from careledger.operators.deliveries import delivery_first_leg
 from careledger.operators.joins import (
+    Hot,
     Side,
-    hot_orders,
     join_order_branches,
     join_order_sides,
     left_join_unique,
@@ -111,27 +111,30 @@ _CANCEL = (
     "cancel_contact_normal",
     "cancel_fact_ind",
 )
-
-
-def _hot(tables: Tables, params: Params, window: RollingWindow) -> tuple[str, ...]:
-    if params.hot_orders is not None:
-        return tuple(params.hot_orders)
-    dated = {
-        "order_profit": "order_date",
-        "cancellations": "cancellation_date",
-        "order_milestones": "business_day",
-        "order_attributes": "delivery_time_ct",
-    }
-    return hot_orders(
-        tables[name].filter(window.holds(F.col(day).cast("date"))).select("order_uuid")
-        for name, day in dated.items()
-    )
+_PROFIT = (
+    "managed_delivery_ind",
+    "delivery_ind",
+    "cancelled_order_ind",
+    "cp_revenue",
+    "tip",
+    "cp_diner_adj",
+    "cp_care_concession_awarded_amount",
+    "cp_diner_care_tickets",
+    "cp_driver_care_tickets",
+    "cp_restaurant_care_tickets",
+    "cp_gh_internal_care_tickets",
+    "cp_driver_pay_per_order",
+    "cp_driver_true_up",
+    "cp_redelivery_cost",
+    "cp_grubcash_care_concession_awarded_amount",
+    "cp_grub_care_refund",
+)
 
 
 def event_stages(
-    tables: Tables, params: Params, window: RollingWindow, hot: Sequence[str] = ()
+    tables: Tables, params: Params, window: RollingWindow, keep_null: bool = True
 ) -> dict[str, DataFrame]:
-    """The stages below the order level, by name."""
+    """The stages below the order level, by name; see :func:`events.cancels`."""
     reasons = events.ticket_reasons(
         tables["tickets"], tables["contact_reason_primary"], tables["contact_reason_secondary"]
     )
@@ -150,7 +153,8 @@ def event_stages(
             own,
             window,
             params.strict_ticket_ids,
-            tuple(hot),
+            params.hot_orders,
+            keep_null,
         ),
         "osmf": events.order_milestones(tables["order_milestones"], window),
         "of": events.order_attributes(tables["order_attributes"], tables["merchants"], window),
@@ -172,19 +176,20 @@ def _unique_sides(stages: Mapping[str, DataFrame]) -> list[Side]:
 def stages_b(tables: Tables, params: Params) -> dict[str, DataFrame]:
     """Every stage by name, as lazy DataFrames; the report is ``final_output``."""
     window = RollingWindow(params.as_of, params.months)
-    hot = _hot(tables, params, window)
-    stages = event_stages(tables, params, window, hot)
-    geography = events.order_geography(tables["order_locations"], tables["blockgroups"])
+    stages = event_stages(tables, params, window)
+    geography = events.order_geography(
+        tables["order_locations"], tables["blockgroups"], stages["of"]
+    )
     joined = join_order_sides(
         recent_orders(tables["order_profit"], window),
         [
             Side(cancel_columns(stages["cancels"], KEYS), unique=False),
             *_unique_sides(stages),
             Side(stages["osmf"], unique=False),
-            Side(events.located_attributes(stages["of"], geography, hot), unique=False),
+            Side(events.located_attributes(stages["of"], geography, params.hot_orders), unique=False),
         ],
         KEYS,
-        hot,
+        params.hot_orders,
     )
     stages["o"] = order_joined(joined, tables["contact_reason_cost_map"], "b", JOINED_B)
     stages["o2"] = order_reasoned(stages["o"])
@@ -200,9 +205,10 @@ def report_b(tables: Tables, params: Params) -> DataFrame:
     before the joins and never multiplied out.
     """
     window = RollingWindow(params.as_of, params.months)
-    hot = _hot(tables, params, window)
-    stages = event_stages(tables, params, window, hot)
-    geography = events.order_geography(tables["order_locations"], tables["blockgroups"])
+    stages = event_stages(tables, params, window, keep_null=False)
+    geography = events.order_geography(
+        tables["order_locations"], tables["blockgroups"], stages["of"]
+    )
     reached = F.col("status_cancelled_reached_ind")
     milestones = (
         stages["osmf"]
@@ -210,19 +216,22 @@ def report_b(tables: Tables, params: Params) -> DataFrame:
         .agg(F.count("*").alias("_milestones"), F.count_if(reached).alias("_reached"))
     )
     parts = join_order_branches(
-        recent_orders(tables["order_profit"], window),
+        # Only what is needed, so that equal rows of a hot order become one.
+        recent_orders(tables["order_profit"], window).select(
+            *KEYS, F.col("delivery_time_ct").cast("date").alias("delivery_time_ct"), *_PROFIT
+        ),
         [
-            Side(_outcomes(stages["cancels"], stages["mdf"], hot), unique=False, copies="_cancels"),
+            Side(_outcomes(stages["cancels"], stages["mdf"], params.hot_orders), unique=False, copies="_cancels"),
             *_unique_sides(stages),
             Side(milestones),
             Side(
-                events.counted_attributes(stages["of"], geography, hot),
+                events.counted_attributes(stages["of"], geography, params.hot_orders),
                 unique=False,
                 copies="_attributes",
             ),
         ],
         KEYS,
-        hot,
+        params.hot_orders,
     )
     with_milestones = {
         "reached_copies": F.col("copies") * F.coalesce("_reached", F.lit(0)),
@@ -245,7 +254,7 @@ def report_b(tables: Tables, params: Params) -> DataFrame:
     )
 
 
-def _outcomes(cancelled: DataFrame, first_leg: DataFrame, hot: Sequence[str]) -> DataFrame:
+def _outcomes(cancelled: DataFrame, first_leg: DataFrame, hot: Hot) -> DataFrame:
     """Cancellations as distinct outcomes, with their number in ``_cancels``.
 
     Whether a cancellation came after the promised time needs the first leg, so it

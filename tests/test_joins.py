@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 from careledger.operators import joins
 from careledger.operators.joins import (
     Side,
-    hot_orders,
+    frequent_orders,
     join_order_branches,
     join_order_sides,
     left_join_unique,
+    slots_of,
+    spread_left_join,
 )
 
 KEYS = ["order_uuid"]
@@ -46,7 +48,7 @@ def plain(base, sides):
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-@pytest.mark.parametrize("hot", [(), ("hot",), ("hot", "o3", "not there")])
+@pytest.mark.parametrize("hot", [{}, {"hot": 5_000_000}, {"hot": 3_000_000, "o3": 2, "not there": 10**8}])
 def test_same_bag_of_rows(frames, bag, how, hot):
     base, legs, cancels, unique = frames
     sides = [Side(legs, how, unique=False), Side(cancels, unique=False), Side(unique)]
@@ -56,11 +58,11 @@ def test_same_bag_of_rows(frames, bag, how, hot):
 def test_missing_orders_can_be_left_out(frames, bag):
     base, legs, _, _ = frames
     sides = [Side(legs, unique=False)]
-    kept = join_order_sides(base, sides, KEYS, ("hot",), keep_null=False)
+    kept = join_order_sides(base, sides, KEYS, {"hot": 4_000_000}, keep_null=False)
     assert bag(kept) == bag(plain(base.filter("order_uuid is not null"), sides))
 
 
-@pytest.mark.parametrize("hot", [(), ("hot",)])
+@pytest.mark.parametrize("hot", [{}, {"hot": 9_000_000}])
 def test_copies_count_the_rows(frames, bag, hot):
     base, legs, cancels, unique = frames
     counted = [
@@ -80,31 +82,78 @@ def test_copies_count_the_rows(frames, bag, hot):
 
 
 def test_copies_of_one_row_are_dealt_out_to_all_slots(spark):
-    df = spark.range(1000).select(F.lit("hot").alias("k"), F.lit(1).alias("v"))
-    cut = joins._slotted(df, 8, "slot", "n").collect()
+    df = spark.range(1000).select(F.lit("hot").alias("order_uuid"), F.lit(1).alias("v"))
+    cut = joins._slotted(df, F.lit(8), "slot", "n").collect()
     assert sorted(r.slot for r in cut) == list(range(8)) and {r.n for r in cut} == {125}
 
 
-def test_hot_orders_are_found(spark, monkeypatch):
-    monkeypatch.setattr(joins, "_CHECK_ABOVE_BYTES", 0)
+def test_slots_follow_the_rows(spark):
+    hot = {"a": 1_000_001, "b": 5_000_000, "c": 10**9, "d": 3}
+    df = spark.createDataFrame([(k,) for k in hot], "order_uuid string")
+    found = {r.order_uuid: r.n for r in df.select("order_uuid", slots_of(hot).alias("n")).collect()}
+    assert found == {"a": 2, "b": 8, "c": 1024, "d": 2}
+
+
+def test_frequent_orders_in_one_job(spark):
     df = spark.range(90_000).select(
         F.when(F.col("id") % 3 == 0, "hot")
         .when(F.col("id") % 3 == 1, F.concat(F.lit("o"), F.col("id")))
         .alias("order_uuid")
     )
-    assert hot_orders([df]) == ("hot",)
-    even = spark.range(20_000).select(F.col("id").cast("string").alias("order_uuid"))
-    assert hot_orders([even]) == ()
-    assert hot_orders([even.limit(0)]) == ()
+    few = spark.range(50).select(F.lit("some").alias("order_uuid"))
+    assert frequent_orders({"a": df, "b": few}, 1000) == {"hot": 30_000}
+    assert frequent_orders({"a": df, "b": few}, 49) == {"hot": 30_000, "some": 50}
+    assert frequent_orders({"a": df.limit(0)}) == {}
 
 
-def test_small_inputs_are_not_checked(spark):
-    df = spark.range(10).select(F.lit("hot").alias("order_uuid"))
-    assert hot_orders([df]) == ()
+def test_too_many_hot_orders_are_refused(frames, monkeypatch):
+    base, _, _, unique = frames
+    monkeypatch.setattr(joins, "MOST_HOT", 1)
+    with pytest.raises(ValueError, match="hot orders"):
+        left_join_unique(base, unique, KEYS, {"hot": 1, "o3": 1})
 
 
 def test_left_join_unique(frames, bag):
     base, _, _, unique = frames
-    assert bag(left_join_unique(base, unique, KEYS, ("hot", "o3"))) == bag(
-        base.join(unique, KEYS, "left")
+    known = base.filter("order_uuid is not null")
+    assert bag(left_join_unique(known, unique, KEYS, {"hot": 1, "o3": 1})) == bag(
+        known.join(unique, KEYS, "left")
     )
+
+
+def test_rows_without_a_key_are_spread(spark, frames, bag):
+    base, legs, _, _ = frames
+    assert bag(spread_left_join(base, legs, KEYS)) == bag(base.join(legs, KEYS, "left"))
+    missing = spark.range(0, 4000, 1, 4).select(F.lit(None).cast("string").alias("order_uuid"), "id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        joined = spread_left_join(missing, legs, KEYS)
+        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 1300
+
+
+def test_building_stages_starts_no_job(spark, tables, params):
+    from careledger import report_a, report_b, stages_a
+    from careledger.plans.report_b import stages_b
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    try:
+        for build in (report_a, report_b, stages_a, stages_b):
+            build(tables, params)
+        assert not tracker.getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_hot_orders_of_the_inputs(tables, params):
+    from careledger import PaddedWindow, find_hot_orders
+
+    window = PaddedWindow(params.start, params.end)
+    many = {**tables, "order_locations": tables["order_locations"].limit(1).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("k")}
+    found = find_hot_orders(many, window, 250)
+    assert list(found.values()) == [300]

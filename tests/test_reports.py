@@ -64,7 +64,7 @@ def test_stage_names_and_columns(all_tables, params):
 def test_report_a_equals_its_stages(all_tables, params, hot, bag):
     expected = bag(stages_a(all_tables, params)["final_output"])
     assert bag(report_a(all_tables, params)) == expected
-    given = dataclasses.replace(params, hot_orders=hot)
+    given = dataclasses.replace(params, hot_orders=dict.fromkeys(hot, 5_000_000))
     assert bag(report_a(all_tables, given)) == expected
     assert bag(stages_a(all_tables, given)["final_output"]) == expected
 
@@ -74,7 +74,7 @@ def test_report_b_equals_its_stages(all_tables, params, hot, bag):
     wide = dataclasses.replace(params, months=120)
     expected = bag(stages_b(all_tables, wide)["final_output"])
     assert bag(report_b(all_tables, wide)) == expected
-    given = dataclasses.replace(wide, hot_orders=hot)
+    given = dataclasses.replace(wide, hot_orders=dict.fromkeys(hot, 5_000_000))
     assert bag(report_b(all_tables, given)) == expected
 
 
@@ -84,7 +84,7 @@ def test_repeated_rows_multiply_as_in_a_join(all_tables, params, bag):
     for report, stages in ((report_a, stages_a), (report_b, stages_b)):
         expected = bag(stages(many, wide)["final_output"])
         assert bag(report(many, wide)) == expected
-        given = dataclasses.replace(wide, hot_orders=("o-400", "o-60", "o-1440"))
+        given = dataclasses.replace(wide, hot_orders={"o-400": 10**7, "o-60": 1, "o-1440": 3 * 10**6})
         assert bag(report(many, given)) == expected
         assert expected != bag(report(all_tables, wide))
 
@@ -172,7 +172,7 @@ def test_sweep_equals_single_runs(all_tables, params, bag):
         )
     found = sweep(all_tables, params, windows)
     assert bag(found) == sorted(expected) and expected
-    hot_params = dataclasses.replace(params, hot_orders=("o-400", "o-20"))
+    hot_params = dataclasses.replace(params, hot_orders={"o-400": 10**7, "o-20": 1})
     assert bag(sweep(all_tables, hot_params, windows)) == sorted(expected)
 
 

@@ -112,7 +112,7 @@ MAP = "cancel_reason_id int, cancel_reason_name string, cancel_group string"
 OWN = "order_uuid string, reason_code string, diner_ss_cancel_reason string, diner_ss_cancel_reason_group string"
 
 
-def run_cancels(spark, rows, strict=True, hot=()):
+def run_cancels(spark, rows, strict=True, hot=None):
     tickets = spark.createDataFrame(
         [
             (1, at(5), date(2024, 3, 5), "P", None, "P"),
@@ -161,7 +161,7 @@ def test_cancels_with_hot_orders_are_the_same(spark, bag):
         for o in ("o1", "o1", "o2", None)
         for t in ("1", None)
     ]
-    assert bag(run_cancels(spark, rows, hot=("o1", "zz"))) == bag(run_cancels(spark, rows))
+    assert bag(run_cancels(spark, rows, hot={"o1": 9, "zz": 9})) == bag(run_cancels(spark, rows))
 
 
 def test_ticket_ids_are_strict_unless_asked(spark):
