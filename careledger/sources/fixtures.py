@@ -1,8 +1,9 @@
 """Input tables derived from the driver's tables, as portable SQL.
 
 Every text runs unchanged on Spark and on DuckDB, so both sides of a check start
-from the same rows. A filter here decides which orders *have* an event of a kind
-(an order has no claim, or two legs); no query reads less than the whole result.
+from the same rows. Every base row gives a row: whether an order has an event of a kind
+in a window is decided by that row's date, type or decision, which the reports test. Only
+deliveries leave some orders out, the ones that are not managed.
 """
 
 from __future__ import annotations
@@ -80,37 +81,33 @@ SELECTS = {
             CASE l_suppkey % 9 WHEN 0 THEN 'Missing Item' WHEN 1 THEN 'Late Order' WHEN 2 THEN 'QUALITY_TEMP' WHEN 3 THEN 'Refund for 3 items' WHEN 4 THEN 'Incorrect_Item' WHEN 5 THEN 'Missed Delivery' WHEN 6 THEN NULL WHEN 7 THEN 'Item Removed' ELSE p_name END AS reason,
             o_orderdate + INTERVAL '1' HOUR * l_linenumber AS adjustment_timestamp_utc,
             CAST(year(o_orderdate)*10000 + month(o_orderdate)*100 + day(o_orderdate) AS INT) AS adjustment_dt,
-            CASE WHEN l_linestatus = 'O' THEN 'ADJUST_DOWN' ELSE 'ADJUST_UP' END AS direction,
+            CASE WHEN l_linestatus = 'O' AND l_returnflag = 'R' AND l_partkey % 2 = 0 THEN 'ADJUST_DOWN' ELSE 'ADJUST_UP' END AS direction,
             CASE WHEN l_suppkey % 4 = 0 THEN 'MERCHANT' ELSE 'PLATFORM' END AS payer
         FROM lineitem
         JOIN orders ON o_orderkey = l_orderkey
-        JOIN part ON p_partkey = l_partkey
-        WHERE l_returnflag = 'R' AND l_partkey % 2 = 0""",
+        JOIN part ON p_partkey = l_partkey""",
     "guarantee_claims": """
         SELECT
             'o-' || CAST(o_orderkey AS STRING) AS cart_uuid,
             CASE WHEN o_orderkey % 2 = 0 THEN 'SERVICE' WHEN o_orderkey % 27 = 0 THEN 'OTHER' ELSE 'PRICING' END AS claim_type,
             CAST(o_orderdate AS DATE) AS created_date,
-            CASE WHEN o_orderpriority = '5-LOW' THEN 'DENY' ELSE 'GRANT' END AS decision
-        FROM orders
-        WHERE o_orderkey % 9 = 0""",
+            CASE WHEN o_orderkey % 9 <> 0 THEN 'OPEN' WHEN o_orderpriority = '5-LOW' THEN 'DENY' ELSE 'GRANT' END AS decision
+        FROM orders""",
     "concessions": """
         SELECT
             CAST(l_partkey * 1000000 + l_suppkey * 100 + l_linenumber AS BIGINT) AS concession_id,
             'o-' || CAST(o_orderkey AS STRING) AS order_uuid,
             o_orderkey + 1 AS ticket_id,
             o_orderdate + INTERVAL '1' HOUR * l_linenumber AS issue_timestamp_utc,
-            CAST(year(o_orderdate)*10000 + month(o_orderdate)*100 + day(o_orderdate) AS INT) AS expiration_dt
+            CASE WHEN l_returnflag = 'A' AND l_partkey % 4 = 0 THEN CAST(year(o_orderdate)*10000 + month(o_orderdate)*100 + day(o_orderdate) AS INT) ELSE 19700101 END AS expiration_dt
         FROM lineitem
-        JOIN orders ON o_orderkey = l_orderkey
-        WHERE l_returnflag = 'A' AND l_partkey % 4 = 0""",
+        JOIN orders ON o_orderkey = l_orderkey""",
     "self_service_cancels": """
         SELECT
             'o-' || CAST(o_orderkey AS STRING) AS order_id,
             CASE o_orderkey % 7 WHEN 0 THEN 'DINER_PAYMENT_ISSUE' WHEN 1 THEN 'DINER_CHOSE_WRONG_ADDRESS' WHEN 2 THEN 'DINER_CHOSE_WRONG_ORDER_ITEMS' WHEN 3 THEN 'DINER_DOES_NOT_WANT_LATE_ORDER' WHEN 4 THEN 'DINER_DOES_NOT_WANT_THE_FOOD' ELSE 'UNKNOWN' END AS reason_code,
-            CAST(o_orderdate AS DATE) AS created_date
-        FROM orders
-        WHERE o_orderkey % 12 = 0""",
+            CASE WHEN o_orderkey % 12 = 0 THEN CAST(o_orderdate AS DATE) ELSE CAST('1970-01-01' AS DATE) END AS created_date
+        FROM orders""",
     "cancellations": """
         SELECT
             'o-' || CAST(o_orderkey AS STRING) AS order_uuid,
@@ -119,9 +116,8 @@ SELECTS = {
             CAST(1 + o_orderkey % 10 AS STRING) AS primary_cancel_reason_id,
             CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey AS STRING) END AS cancellation_ticket_id,
             CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate + INTERVAL '1' HOUR * 2 END AS cancellation_time_utc,
-            CAST(o_orderdate AS DATE) AS cancellation_date
-        FROM orders
-        WHERE o_orderkey % 6 = 0""",
+            CASE WHEN o_orderkey % 6 = 0 THEN CAST(o_orderdate AS DATE) ELSE CAST('1970-01-01' AS DATE) END AS cancellation_date
+        FROM orders""",
     "deliveries": """
         SELECT
             'o-' || CAST(o_orderkey AS STRING) AS order_uuid,
@@ -165,7 +161,7 @@ SELECTS = {
             CAST(CASE WHEN o_orderkey % 3 = 0 THEN -1.25 ELSE 0 END AS DECIMAL(18,2)) AS cp_diner_care_tickets,
             CAST(CASE WHEN o_orderkey % 15 = 0 THEN -0.75 ELSE 0 END AS DECIMAL(18,2)) AS cp_driver_care_tickets,
             CAST(CASE WHEN o_orderkey % 25 = 0 THEN -0.50 ELSE 0 END AS DECIMAL(18,2)) AS cp_restaurant_care_tickets,
-            CAST(0 AS DECIMAL(18,2)) AS cp_gh_internal_care_tickets,
+            CASE WHEN o_orderkey % 101 = 0 THEN NULL ELSE CAST(0 AS DECIMAL(18,2)) END AS cp_gh_internal_care_tickets,
             CASE WHEN o_orderkey % 50 = 0 THEN CAST(-CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.0050 AS DECIMAL(6,4)) AS DECIMAL(18,2)) WHEN o_orderkey % 2 = 1 THEN CAST(0 AS DECIMAL(18,2)) END AS cp_redelivery_cost,
             CASE WHEN o_orderkey % 40 = 0 THEN CAST(-CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.0030 AS DECIMAL(6,4)) AS DECIMAL(18,2)) WHEN o_orderkey % 3 = 1 THEN CAST(0 AS DECIMAL(18,2)) END AS cp_grub_care_refund,
             CASE WHEN o_orderkey % 35 = 0 THEN CAST(-CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.0020 AS DECIMAL(6,4)) AS DECIMAL(18,2)) END AS cp_grubcash_care_concession_awarded_amount,
@@ -183,7 +179,7 @@ SELECTS = {
         SELECT
             'o-' || CAST(o_orderkey AS STRING) AS order_uuid,
             o_custkey AS cust_id,
-            n_name AS modified_cbsa_name,
+            CASE n_nationkey WHEN 1 THEN 'New York CBSA Excluding Manhattan' WHEN 2 THEN 'New York - Manhattan' WHEN 3 THEN 'Chicago-Naperville-Elgin IL-IN-WI' ELSE n_name END AS modified_cbsa_name,
             CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.0040 AS DECIMAL(6,4)) AS DECIMAL(18,2)) AS food_and_beverage,
             o_orderdate + INTERVAL '1' HOUR * (o_orderkey % 30) AS delivery_time_ct
         FROM orders
@@ -192,11 +188,10 @@ SELECTS = {
     "merchants": """
         SELECT
             c_custkey AS cust_id,
-            r_name AS ghd_delivery_region_name
+            CASE WHEN c_custkey % 10 <> 0 THEN r_name END AS ghd_delivery_region_name
         FROM customer
         JOIN nation ON n_nationkey = c_nationkey
-        JOIN region ON r_regionkey = n_regionkey
-        WHERE c_custkey % 10 <> 0""",
+        JOIN region ON r_regionkey = n_regionkey""",
     "transactions": """
         SELECT
             'o-' || CAST(o_orderkey AS STRING) AS order_uuid,
@@ -204,8 +199,7 @@ SELECTS = {
             CAST(o_orderdate AS DATE) AS created_date,
             o_orderdate AS transaction_time_ct,
             CASE WHEN o_orderkey % 32 = 0 THEN 'PCI_SINGLE_REFUND' ELSE 'CAPTURE' END AS transaction_type
-        FROM orders
-        WHERE o_orderkey % 16 = 0""",
+        FROM orders""",
     "order_locations": """
         SELECT
             'o-' || CAST(o_orderkey AS STRING) AS order_uuid,

@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 from datetime import date
 
-from careledger.functions import fixed_values as fixed
 from careledger.sources.fixtures import SELECTS
+from oracle import texts as fixed
 
 
 def literal(text: str) -> str:
@@ -122,10 +122,10 @@ STEPS = {
     "clocked_deliveries": """
         SELECT d.*,
                coalesce(dropoff_complete_time_local, eta_at_order_placement_time_local,
-                        order_created_time_local + INTERVAL 60 MINUTE) AS local_at,
+                        order_created_time_local + INTERVAL 1 HOUR) AS local_at,
                coalesce(dropoff_complete_time_utc, eta_at_order_placement_time_utc,
-                        order_created_time_utc + INTERVAL 60 MINUTE) AS utc_at,
-               eta_at_order_placement_time_utc + INTERVAL 600 SECOND AS late_after
+                        order_created_time_utc + INTERVAL 1 HOUR) AS utc_at,
+               eta_at_order_placement_time_utc + INTERVAL 10 MINUTE AS late_after
         FROM in_deliveries d""",
     "st_leg": f"""
         SELECT w.window_id, d.order_uuid, d.region_uuid, d.region_name, d.mealtime, d.delivery_eta_type,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from careledger.functions import fixed_values as fixed
+from oracle import texts as fixed
 from oracle.ctes import AS_OF, MEASURES_A, build, in_list, windows
 
 DAY = timedelta(days=1)
