@@ -253,7 +253,33 @@ def join_audit(t: Tables) -> DataFrame:
             c("blockgroup_geoid"),
         ),
     ]
-    return reduce(DataFrame.unionByName, [checks.join_audit(*audit) for audit in audits])
+    return checks.join_audits(audits)
+
+
+def join_audit_b(t: Tables) -> DataFrame:
+    """The joins that only report B has, on the stages that it really joins."""
+    stages = stages_b(t, PARAMS)
+    order, profit = F.col("order_uuid"), t["order_profit"]
+    names = {"first_leg": "mdf", "merchant_refunds": "rest_refunds", "milestones": "osmf", "attributes": "of"}
+    return checks.join_audits(
+        [(f"profit-{name}", profit, stages[stage], order, order) for name, stage in names.items()]
+        + [("windowed_attributes-locations", stages["of"], t["order_locations"], order, order)]
+    )
+
+
+def checks_b(t: Tables) -> DataFrame:
+    """The column checks over the order detail of report B."""
+    detail, stage = stages_b(t, PARAMS)["o3"], "order_detail_b"
+    costs = {"cp_diner_adj": True, "cp_care_ticket_cost": True, "cp_redelivery_cost": True, "tip": False}
+    found = [
+        checks.in_window(detail, stage, ["date1"], WINDOW_B),
+        checks.value_range(detail, stage, {"tip": (0, 50), "rr_refund": (0, 5)}),
+        checks.sign_check(detail, stage, costs),
+        checks.allowed_values(
+            detail, stage, {"tri_state_ind": ("Tri-State", "Other"), "ghd_ind": ("ghd", "non-ghd")}
+        ),
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 def _detail_a(t: Tables) -> DataFrame:
@@ -355,7 +381,16 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         report_a(t, PARAMS), ["cany_ind", "care_cost_reason_group", "eta_care_reasons"]
     ),
     "join_audit": join_audit,
-    "stage_counts": lambda t: checks.stage_counts(stages_a(t, PARAMS)),
+    "stage_counts": lambda t: checks.stage_counts(stages_a(t, PARAMS), same={"o2": "o"}),
+    "order_reasoned_b": lambda t: stages_b(t, PARAMS)["o2"],
+    "join_audit_b": join_audit_b,
+    "check_report_b": checks_b,
+    "stage_counts_b": lambda t: checks.stage_counts(stages_b(t, PARAMS), same={"o2": "o"}),
+    "check_percentiles": lambda t: checks.counted_percentiles(
+        _detail_a(t),
+        "order_detail_a",
+        {"total_care_cost": 0, "tip": 1, "diner_ty_eta": 1, "cp_care_concession_awarded_amount": 0},
+    ),
 }
 
 

@@ -193,6 +193,32 @@ def percentiles(
     )
 
 
+def counted_percentiles(
+    df: DataFrame, stage: str, columns: Mapping[str, int], at: Sequence[float] = (0.25, 0.5, 0.75)
+) -> DataFrame:
+    """Exact percentiles of values rounded to a scale, and the share of NULLs.
+
+    ``columns`` maps a name to the decimals that count. Equal values are counted per task
+    before the shuffle; the last step merges one count per different value.
+    """
+    entries = F.array(
+        *[
+            F.struct(F.lit(name).alias("column_name"), F.round(F.col(name).cast("double"), scale).alias("value"))
+            for name, scale in columns.items()
+        ]
+    )
+    counts = df.select(F.inline(entries)).groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    points = F.array(*[F.lit(float(p)) for p in at])
+    found = counts.groupBy("column_name").agg(
+        F.percentile("value", points, F.col("n")).alias("found"),
+        F.round(F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("null_share"),
+    )
+    marks = F.arrays_zip(points.alias("percentile"), F.col("found").alias("value"))
+    return found.select(F.lit(stage).alias("stage"), "column_name", "null_share", F.inline(marks)).withColumn(
+        "value", F.round("value", 4)
+    )
+
+
 def time_order(df: DataFrame, stage: str, pairs: Iterable[tuple[str, str]]) -> DataFrame:
     """Pairs of times in the wrong order; detail counts the pairs compared."""
     return _long(
@@ -278,20 +304,34 @@ def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def join_audit(
-    name: str, left: DataFrame, right: DataFrame, left_key: Column, right_key: Column
-) -> DataFrame:
-    """Sizes of both inputs of an equi-join and of its result, without joining them.
+Audit = tuple[str, DataFrame, DataFrame, Column, Column]
+
+
+def join_audits(audits: Iterable[Audit]) -> DataFrame:
+    """Sizes of both inputs of equi-joins and of their results, without joining them.
 
-    Both sides' keys go through one grouped count, so a key with very many rows is
-    combined before the exchange and its pairs are multiplied, never made.
+    An audit is a name, both sides and their keys. All keys of all audits go through one
+    grouped count, so a key with very many rows is combined before the exchange and
+    its pairs are multiplied, never made.
     """
     zero = F.lit(0).cast("bigint")
     one = F.lit(1).cast("bigint")
-    keys = left.select(left_key.alias("key"), one.alias("l"), zero.alias("r")).unionByName(
-        right.select(right_key.alias("key"), zero.alias("l"), one.alias("r"))
+    audits = list(audits)
+
+    def keys(name: str, side: DataFrame, key: Column, left: bool) -> DataFrame:
+        return side.select(
+            F.lit(name).alias("join_name"),
+            key.cast("string").alias("key"),
+            (one if left else zero).alias("l"),
+            (zero if left else one).alias("r"),
+        )
+
+    sides = [keys(name, df, key, left) for name, x, y, kx, ky in audits for df, key, left in ((x, kx, True), (y, ky, False))]
+    counts = (
+        reduce(DataFrame.union, sides)
+        .groupBy("join_name", "key")
+        .agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     )
-    counts = keys.groupBy("key").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     known = F.col("key").isNotNull()
     pairs = F.when(known, F.col("l").cast("decimal(19,0)") * F.col("r").cast("decimal(19,0)"))
     # Rows of a left join: every left row at least once.
@@ -308,36 +348,49 @@ def join_audit(
         "inner_rows": F.coalesce(F.sum(pairs), F.lit(0)).cast("decimal(38,0)"),
         "left_join_rows": F.coalesce(F.sum(kept), F.lit(0)).cast("decimal(38,0)"),
     }
-    sizes = counts.agg(
-        *[
-            (F.coalesce(column, zero) if not name.endswith("_rows") else column).alias(name)
-            for name, column in total.items()
-        ]
+    found = counts.groupBy("join_name").agg(*[column.alias(name) for name, column in total.items()])
+    names = found.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(audit[0]) for audit in audits])).alias("join_name")
     )
+    sizes = names.join(found, "join_name", "left")  # a join of two empty inputs has a row too
     return sizes.select(
-        F.lit(name).alias("join_name"),
-        *total,
-        F.when(F.col("left_rows") >= F.col("right_rows"), "left")
+        "join_name",
+        *[F.coalesce(F.col(n), F.lit(0).cast(found.schema[n].dataType)).alias(n) for n in total],
+        F.when(F.coalesce("left_rows", zero) >= F.coalesce("right_rows", zero), "left")
         .otherwise("right")
         .alias("larger_side"),
     )
 
 
-def stage_counts(stages: Mapping[str, DataFrame], key: str = "order_uuid") -> DataFrame:
-    """Rows, distinct keys, NULL keys and repeated rows of every stage that has the key."""
-    found = [
-        df.agg(
+def join_audit(
+    name: str, left: DataFrame, right: DataFrame, left_key: Column, right_key: Column
+) -> DataFrame:
+    """:func:`join_audits` of a single join."""
+    return join_audits([(name, left, right, left_key, right_key)])
+
+
+def stage_counts(
+    stages: Mapping[str, DataFrame], key: str = "order_uuid", same: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Rows, distinct keys, NULL keys and repeated rows of every stage that has the key.
+
+    ``same`` names stages that have the very rows of another one, which is then read once.
+    """
+    twins = dict(same or {})
+
+    def counted(stage: str, df: DataFrame) -> DataFrame:
+        names = [stage, *[twin for twin, of in twins.items() if of == stage]]
+        return df.agg(
             F.count("*").alias("rows"),
             F.count_distinct(key).alias("keys"),
             F.count_if(F.col(key).isNull()).alias("null_keys"),
         ).select(
-            F.lit(stage).alias("stage"),
+            F.explode(F.array(*map(F.lit, names))).alias("stage"),
             "rows",
             "keys",
             "null_keys",
             (F.col("rows") - F.col("null_keys") - F.col("keys")).alias("repeated_rows"),
         )
-        for stage, df in stages.items()
-        if key in df.columns
-    ]
+
+    found = [counted(s, df) for s, df in stages.items() if key in df.columns and s not in twins]
     return reduce(DataFrame.unionByName, found)

@@ -481,4 +481,87 @@ def oracle_queries(sweep_rows) -> dict[str, str]:
                 ]
             )
         ),
+        "order_reasoned_b": b("SELECT * FROM reasoned_b"),
+        "join_audit_b": b(
+            "\nUNION ALL\n".join(
+                audit(*row)
+                for row in [
+                    ("profit-first_leg", "in_order_profit", "order_uuid", "st_first_leg", "order_uuid"),
+                    ("profit-merchant_refunds", "in_order_profit", "order_uuid", "st_refund", "order_uuid"),
+                    ("profit-milestones", "in_order_profit", "order_uuid", "st_milestone", "order_uuid"),
+                    ("profit-attributes", "in_order_profit", "order_uuid", "st_attribute", "order_uuid"),
+                    (
+                        "windowed_attributes-locations",
+                        "st_attribute",
+                        "order_uuid",
+                        "in_order_locations",
+                        "order_uuid",
+                    ),
+                ]
+            )
+        ),
+        "check_report_b": b(
+            "\nUNION ALL\n".join(
+                long_form("detail_b", "order_detail_b", check, columns)
+                for check, columns in {
+                    "in_window": {"date1": (f"date1 < DATE '{CUTOFF.isoformat()}'", span("date1"))},
+                    "value_range": {
+                        c: (f"{c} < 0 OR {c} > {high}", span(c) + " || " + counted(" nulls", f"{c} IS NULL"))
+                        for c, high in (("tip", 50), ("rr_refund", 5))
+                    },
+                    "sign": {
+                        c: (
+                            f"{c} {'<' if c == 'tip' else '>'} 0",
+                            counted("negative", f"{c} < 0") + " || " + counted(" positive", f"{c} > 0"),
+                        )
+                        for c in ("cp_diner_adj", "cp_care_ticket_cost", "cp_redelivery_cost", "tip")
+                    },
+                    "allowed_values": {
+                        c: (f"{c} NOT IN ({in_list(values)})", counted("nulls", f"{c} IS NULL"))
+                        for c, values in (
+                            ("tri_state_ind", ("Tri-State", "Other")),
+                            ("ghd_ind", ("ghd", "non-ghd")),
+                        )
+                    },
+                }.items()
+            )
+        ),
+        "stage_counts_b": b(
+            "\nUNION ALL\n".join(
+                f"SELECT '{stage}' AS stage, count(*) AS \"rows\", count(DISTINCT order_uuid) AS keys,"
+                f" count(*) FILTER (WHERE order_uuid IS NULL) AS null_keys,"
+                f" count(order_uuid) - count(DISTINCT order_uuid) AS repeated_rows FROM {frame}"
+                for stage, frame in [
+                    ("adj", "st_adjustment"),
+                    ("ghg", "st_claim"),
+                    ("care_fg", "st_concession"),
+                    ("diner_ss_cancels", "st_self_service"),
+                    ("cancels", "st_cancel"),
+                    ("osmf", "st_milestone"),
+                    ("of", "st_attribute"),
+                    ("mdf", "st_first_leg"),
+                    ("rest_refunds", "st_refund"),
+                    ("contacts", "st_contact"),
+                    ("o", "joined_b"),
+                    ("o2", "reasoned_b"),
+                    ("o3", "detail_b"),
+                ]
+            )
+        ),
+        "check_percentiles": a(
+            "\nUNION ALL\n".join(
+                f"""SELECT 'order_detail_a' AS stage, '{c}' AS column_name,
+                       round(count(*) FILTER (WHERE {e} IS NULL) / count(*), 6) AS null_share,
+                       CAST({p} AS DOUBLE) AS percentile,
+                       round(quantile_cont(round(CAST({e} AS DOUBLE), {scale}), {p}), 4) AS value
+                FROM detail_a"""
+                for c, e, scale in [
+                    ("total_care_cost", "total", 0),
+                    ("tip", "tip", 1),
+                    ("diner_ty_eta", "diner_ty_eta", 1),
+                    ("cp_care_concession_awarded_amount", "cp_care_concession_awarded_amount", 0),
+                ]
+                for p in (0.25, 0.5, 0.75)
+            )
+        ),
     }
