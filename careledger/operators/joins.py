@@ -134,17 +134,19 @@ def left_join_unique(
     )
 
 
-def spread_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def spread_left_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
     """Left join where many rows of ``left`` have no first key.
 
     NULL keys would gather in one task, so such rows get a second key, as many as there are
-    shuffle partitions: a hash of the row, so a task that runs again sends every row
-    where it went before. AQE splits a single key that many rows share.
+    shuffle partitions: a hash of the row, or of its columns ``by``, so a task that runs
+    again sends every row where it went before. AQE splits a single key that many share.
     """
     keys = list(keys)
     missing = F.col(keys[0]).isNull()
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    row_hash = F.pmod(F.xxhash64(*left.columns), F.lit(parts))
+    row_hash = F.pmod(F.xxhash64(*(by or left.columns)), F.lit(parts))
     return (
         left.withColumn("_spread", F.when(missing, row_hash).otherwise(-1))
         .join(

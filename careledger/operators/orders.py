@@ -16,6 +16,7 @@ from careledger.functions import fixed_values as fixed
 from careledger.functions.columns import classify, matchable, sql_text
 from careledger.functions.windows import PaddedWindow, RollingWindow, WindowSet
 from careledger.operators.deliveries import is_true
+from careledger.operators.joins import spread_left_join
 
 # Columns of the joined order stage, per report.
 JOINED_A = (
@@ -207,7 +208,8 @@ def order_joined(joined: DataFrame, cost_map: DataFrame, report: str, columns: S
     costs = cost_map.select(
         F.col("scr").alias("latest_contact_reason"), "care_cost_reason", "care_cost_group"
     )
-    texts = joined.join(costs, "latest_contact_reason", "left")
+    # Most orders have no contact.
+    texts = spread_left_join(joined, costs, ["latest_contact_reason"], by=["order_uuid"])
     derived = _derived(texts.columns, report)
     return texts.select(
         *[derived[name]().alias(name) if name in derived else F.col(name) for name in columns]
@@ -298,7 +300,9 @@ def order_detail(reasoned: DataFrame, reason_map: DataFrame, report: str) -> Dat
             "_match": matchable(F.col("adjustment_and_cancel_reason_combined")),
             "_concession": matchable(F.col("fg_reason")),
         }
-    ).join(groups, "_text", "left")
+    )
+    # Most orders have no reason either.
+    rows = spread_left_join(rows, groups, ["_text"], by=["order_uuid"])
     gate = (
         f"WHEN cancel_group IS NOT NULL AND cancel_group <> {sql_text(fixed.OTHER_GROUP)} THEN _map_group"
     )
