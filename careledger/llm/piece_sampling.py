@@ -193,12 +193,13 @@ class _Lattice:
 
         order = np.argsort((target << 8) | length)
         target = target[order]
-        share = np.exp(score[order] - total[target])
+        # Shares as whole numbers, whose sums are the same in any company of words.
+        share = (np.exp(score[order] - total[target]) * 2.0**32).astype(np.int64)
         ends = np.flatnonzero(np.r_[target[1:] != target[:-1], True])
         run = np.cumsum(share)
-        before = np.r_[0.0, run[ends[:-1]]]
-        upto = np.minimum((run - np.repeat(before, np.diff(np.r_[-1, ends]))) * 2.0**32, 2.0**32 - 1)
-        bound = upto.astype(np.uint64)
+        before = np.r_[0, run[ends[:-1]]]
+        upto = run - np.repeat(before, np.diff(np.r_[-1, ends]))
+        bound = np.minimum(upto, 2**32 - 1).astype(np.uint64)
         bound[ends] = np.uint64(2**32 - 1)
         self._bounds = (target.astype(np.uint64) << np.uint64(32)) | bound
         self._source = source[order]
