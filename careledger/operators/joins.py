@@ -144,16 +144,12 @@ def spread_left_join(
     again sends every row where it went before. AQE splits a single key that many share.
     """
     keys = list(keys)
-    missing = F.col(keys[0]).isNull()
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    row_hash = F.pmod(F.xxhash64(*(by or left.columns)), F.lit(parts))
-    return (
-        left.withColumn("_spread", F.when(missing, row_hash).otherwise(-1))
-        .join(
-            right.filter(~missing).withColumn("_spread", F.lit(-1).cast("bigint")), [*keys, "_spread"], "left"
-        )
-        .drop("_spread")
-    )
+    hashed = ", ".join(f"`{name}`" for name in (by or left.columns))
+    # As SQL texts: fewer calls into the JVM than columns would take.
+    spread = F.expr(f"if(`{keys[0]}` IS NULL, pmod(xxhash64({hashed}), {parts}), -1L)")
+    known = right.filter(f"`{keys[0]}` IS NOT NULL").withColumn("_spread", F.expr("-1L"))
+    return left.withColumn("_spread", spread).join(known, [*keys, "_spread"], "left").drop("_spread")
 
 
 def _check_bound(hot: Hot) -> None:

@@ -232,6 +232,7 @@ def test_groups_follow_the_truth_table(spark):
     reason_map = spark.createDataFrame(
         [(i, text.title(), group) for i, (text, group) in enumerate(names.items())], MAP
     )
+    reasoned = reasoned.withColumn("order_uuid", F.col("id").cast("string"))
     found = {r.id: r for r in orders.order_detail(reasoned, reason_map, "a").collect()}
     assert len(found) == len(rows)
     for i, group, text, reason, amount in rows:
