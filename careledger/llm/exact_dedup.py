@@ -93,12 +93,18 @@ def exact_unique(docs: DataFrame) -> DataFrame:
     Of rows that repeat doc_id, text and length one stays.
     """
     winners = text_groups(docs).select(
-        F.col("digest").alias("_digest"), F.col("keep_id").alias("_id"), F.col("keep_chars").alias("_chars")
+        F.col("digest").alias("_digest"),
+        F.col("keep_id").alias("_id"),
+        F.xxhash64("digest", "keep_id", "keep_chars").alias("_winner"),
+    )
+    # One hash as the key: it spreads the copies of a text, and the rows stay where the join
+    # puts them when repeated ones are dropped.
+    rows = docs.withColumn("_of", F.unhex(F.sha2(squeezed(whole()), 256))).withColumn(
+        "_key", F.xxhash64("_of", "doc_id", F.length(whole()))
     )
-    rows = docs.withColumn("_of", F.unhex(F.sha2(squeezed(whole()), 256))).withColumn("_long", F.length(whole()))
     same = (
-        F.col("doc_id").eqNullSafe(F.col("_id"))
+        (F.col("_key") == F.col("_winner"))
         & (F.col("_of") == F.col("_digest"))
-        & (F.col("_long") == F.col("_chars"))
+        & F.coalesce(F.col("doc_id") == F.col("_id"), F.col("doc_id").isNull() & F.col("_id").isNull())
     )
-    return rows.join(winners, same, "left_semi").dropDuplicates(["doc_id", "_of"]).select(*docs.columns)
+    return rows.join(winners, same, "left_semi").dropDuplicates(["_key", "_of", "doc_id"]).select(*docs.columns)
