@@ -28,7 +28,7 @@ class WordTokenizer:
     The first ``keep`` different words are remembered; later ones are encoded each time.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
