@@ -26,7 +26,7 @@ from careledger.llm.shared import documents_of
 #: How sharply frequent pieces are preferred: a piece of merge rank r weighs r ** -SHARPNESS.
 SHARPNESS = 0.7
 #: Characters that are segmented at a time, whole texts at least.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 
 SPACE = "▁"
 #: Stands for a literal ``SPACE`` in a text; lone surrogates are in no valid text.
