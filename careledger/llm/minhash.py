@@ -50,7 +50,7 @@ def shingles(text: bytes) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(words) <= SHINGLE_WORDS:
+    if len(words) < SHINGLE_WORDS:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     rolled = np.zeros(len(words) - SHINGLE_WORDS + 1, np.uint64)

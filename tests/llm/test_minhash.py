@@ -83,6 +83,12 @@ def test_odd_rows(make_docs, odd_rows):
     assert found == brute(odd_rows)
 
 
+def test_five_words_and_more_of_the_same(make_docs):
+    rows = [(n, " ".join(["ha"] * n)) for n in (4, 5, 6, 9)] + [(20, "a b c d e"), (21, "a b c d e f")]
+    found = sorted(map(tuple, mh.near_groups(make_docs(rows)).collect()), key=repr)
+    assert found == brute(rows) and {r[0]: r[2] for r in found}[9] == 5
+
+
 def test_unique_keeps_columns(make_docs, odd_rows):
     docs = make_docs(odd_rows)
     left = mh.near_unique(docs)
