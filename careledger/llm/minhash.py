@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,13 @@ from careledger.llm.components import components
 from careledger.llm.shared import cut, documents_of
 
 SHINGLE_WORDS = 5
-#: Links: 100 * intersection >= PERCENT * union.
+#: Links: 100 * intersection >= percent * union; PERCENT unless a caller says otherwise.
 PERCENT = 85
 #: 44 bands of 8: a pair at the bound is missed once in a million times; a pair at 0.3,
 #: such as two texts that share a passage, meets in a band three times in a thousand.
 BANDS, ROWS = 44, 8
+#: Bands and their rows for links from 0.8 on: a pair at the bound is missed as rarely.
+LAYOUT_80 = (60, 7)
 #: Shingles whose whole signature is computed at a time.
 _BLOCK = 256
 
@@ -69,29 +72,27 @@ def _permuted(x: np.ndarray, multipliers: tuple[np.uint32, np.uint32]) -> np.nda
     return x
 
 
-_SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)[:, None]
-
-
-def signature(hashes: np.ndarray) -> np.ndarray:
+def signature(hashes: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
     """The circulant MinHash of a non-empty set: coordinate k uses the second permutation k steps on."""
     ring = _permuted((hashes ^ (hashes >> np.uint64(32))).astype(np.uint32), _FIRST)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    least = np.full(size, np.iinfo(np.uint32).max, np.uint32)
+    shifts = np.arange(size, dtype=np.uint32)[:, None]
     for start in range(0, len(ring), _BLOCK):
-        shifted = ring[start : start + _BLOCK] + _SHIFTS
+        shifted = ring[start : start + _BLOCK] + shifts
         np.minimum(least, _permuted(shifted, _SECOND).min(axis=1), out=least)
     return least
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
+def bands(hashes: np.ndarray, layout: tuple[int, int] = (BANDS, ROWS)) -> np.ndarray:
     """One 64-bit key per band, different for equal contents of different bands."""
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for column in signature(hashes).reshape(BANDS, ROWS).T:
+    keys = np.arange(layout[0], dtype=np.uint64)
+    for column in signature(hashes, layout[0] * layout[1]).reshape(layout).T:
         keys = (keys ^ column) * _MIX
         keys ^= keys >> np.uint64(31)
     return keys.view(np.int64)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], layout: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, digests, keys = [], [], []
         for text in batch.column("text"):
@@ -99,7 +100,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = shingles(content)
             counts.append(len(found))
             digests.append(hashlib.sha256(content).digest())
-            keys.append(bands(found) if len(found) else np.empty(0, np.int64))
+            keys.append(bands(found, layout) if len(found) else np.empty(0, np.int64))
         offsets = np.cumsum([0, *map(len, keys)], dtype=np.int32)
         flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays(
@@ -113,7 +114,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Of (a, b, text_a, text_b) rows the pairs whose full sets are alike enough."""
     last, own = None, None
     for batch in batches:
@@ -125,19 +126,20 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last, own = a, shingles(text_a.as_py())
             other = shingles(text_b.as_py())
             both = len(np.intersect1d(own, other, assume_unique=True))
-            if 100 * both >= PERCENT * (len(own) + len(other) - both):
+            if 100 * both >= percent * (len(own) + len(other) - both):
                 keep.append(i)
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The (a, b) pairs that are links. Texts go to their pairs, first to ``b``, then to ``a``."""
     right = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
     both = right.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_near, "a long, b long").distinct()
+    near = partial(_near, percent=percent)
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(near, "a long, b long").distinct()
 
 
-def _links(signed: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+def _links(signed: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that connect the same documents as all links together."""
     reps = signed.join(classes, "digest").filter("doc_id = rep").select("rep", "bands").distinct()
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
@@ -150,7 +152,7 @@ def _links(signed: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
     stars = members.filter("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    first = cut(_verified(stars, texts), "links")
+    first = cut(_verified(stars, texts, percent), "links")
 
     found = components(first, "a", "b")
     labelled = members.join(found, members["rep"] == found["node"], "left").select(
@@ -158,8 +160,8 @@ def _links(signed: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
     )
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
     open_ = cut(labelled.join(mixed, "bucket", "left_semi").select("rep", "label").distinct(), "open")
-    rest = _rare_pairs(open_, texts).join(stars, ["a", "b"], "left_anti")
-    return first.union(cut(_verified(rest, texts), "links"))
+    rest = _rare_pairs(open_, texts, percent).join(stars, ["a", "b"], "left_anti")
+    return first.union(cut(_verified(rest, texts, percent), "links"))
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,11 +173,11 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("label"), lists], ["rep", "label", "shingles"])
 
 
-def _rare_pairs(open_: DataFrame, texts: DataFrame) -> DataFrame:
+def _rare_pairs(open_: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs with different labels that can be links, of documents that share buckets.
 
     Linked sets have one of their rarest shingles in common: of n shingles, in an order that
-    is the same for all, the first n - ceil(0.85 n) + 1 of both overlap, and none that
+    is the same for all, the first n - ceil(n percent / 100) + 1 of both overlap, and none that
     stands before the first common one is in the other. Near copies that are not linked
     differ in many shingles which hardly another text has, and those come first. So the
     pairs left are few where a bucket holds many texts, and no link is lost.
@@ -188,7 +190,7 @@ def _rare_pairs(open_: DataFrame, texts: DataFrame) -> DataFrame:
         .groupBy("rep", "label", "n")
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "shingle"))).alias("s"))
     )
-    prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     first = ordered.select(
         "rep", "label", "n", F.posexplode(F.slice("s", F.lit(1), prefix.cast("int"))).alias("before", "x")
     )
@@ -203,7 +205,7 @@ def _rare_pairs(open_: DataFrame, texts: DataFrame) -> DataFrame:
     apart = (
         (F.col("one.token") == F.col("other.token"))
         & (F.col("one.label") < F.col("other.label"))
-        & ((100 + PERCENT) * left >= PERCENT * (F.col("one.n") + F.col("other.n")))
+        & ((100 + percent) * left >= percent * (F.col("one.n") + F.col("other.n")))
     )
     return (
         one.join(other, apart)
@@ -212,9 +214,11 @@ def _rare_pairs(open_: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = PERCENT, layout: tuple[int, int] = (BANDS, ROWS)) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
+    Texts are linked from a resemblance of ``percent`` on; ``layout`` is the number of bands
+    and of rows in each, which must suit that bound.
     A document's component is the least doc_id that links lead to. Equal texts are one
     class; only a class's row of least doc_id is compared. A null text counts as empty;
     texts without words are linked with nothing, also not with their copies. Rows without
@@ -224,12 +228,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rows = documents_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(
         rows.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
-            _signed, "doc_id long, digest binary, n_shingles long, bands array<long>"
+            partial(_signed, layout=layout), "doc_id long, digest binary, n_shingles long, bands array<long>"
         ),
         "signatures",
     )
     classes = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
-    groups = components(_links(signed, classes, rows), "a", "b")
+    groups = components(_links(signed, classes, rows, percent), "a", "b")
     own = signed.select("doc_id", "digest", "n_shingles").join(classes, "digest", "left")
     placed = own.join(groups, own["rep"] == groups["node"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
@@ -241,7 +245,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def near_unique(docs: DataFrame) -> DataFrame:
+def near_unique(docs: DataFrame, percent: int = PERCENT, layout: tuple[int, int] = (BANDS, ROWS)) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    dropped = near_groups(docs).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    dropped = near_groups(docs, percent, layout).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
     return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")

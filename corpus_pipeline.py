@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from careledger.llm.catalog import tokenizer_file
 from careledger.llm.exact_dedup import exact_unique
-from careledger.llm.minhash import near_unique
+from careledger.llm.minhash import LAYOUT_80, near_unique
 from careledger.llm.packing import pack
 from careledger.llm.shared import cut, table
 from careledger.llm.toxicity import without_toxic
@@ -27,8 +27,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies stays."""
-    return near_unique(docs)
+    """The first document of each group of near copies stays; 0.8 alike or more is near."""
+    return near_unique(docs, percent=80, layout=LAYOUT_80)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
 from careledger.llm import minhash as mh
 
 
@@ -89,6 +90,19 @@ def test_five_words_and_more_of_the_same(make_docs):
     assert found == brute(rows) and {r[0]: r[2] for r in found}[9] == 5
 
 
+def test_the_pipeline_links_from_four_fifths_on(spark, make_docs):
+    """Pairs of 0.8 exactly, of 0.82, and of a little less than 0.8."""
+    rows = []
+    for k, (common, own) in enumerate([(40, 5), (82, 9), (79, 10)] * 4):
+        head = " ".join(f"h{k}x{i}" for i in range(common + 4))
+        for side in "ab":
+            tail = " ".join(f"{side}{k}x{i}" for i in range(own))
+            rows.append((10 * k + (side == "b"), f"{head} {tail}"))
+    left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, make_docs(rows), "").collect()}
+    assert left == {i for i, _ in rows if i % 10 == 0 or i // 10 % 3 == 2}
+    assert mh.near_unique(make_docs(rows)).count() == len(rows)
+
+
 def test_unique_keeps_columns(make_docs, odd_rows):
     docs = make_docs(odd_rows)
     left = mh.near_unique(docs)
