@@ -15,8 +15,8 @@ import re
 import unicodedata
 import zlib
 from bisect import bisect_right
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Sequence, Set
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -110,50 +110,56 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS)
     return documents_of(docs).join(F.broadcast(sample), "doc_id").select("text", "toxic")
 
 
-def learn(rows: DataFrame) -> dict[str, float]:
+def learn(rows: DataFrame, exceptions: Sequence[str] = EXCEPTIONS) -> dict[str, float]:
     """Patterns with weights from (text, toxic) rows; none without toxic rows.
 
-    Candidates are what enough families of toxic rows have; only those are counted in
-    the other rows. Both counts are sums per task, then per pattern.
+    Candidates are what enough families of toxic rows have, or one family in many copies;
+    only those are counted in the other rows, in families too. Exception phrases are left
+    out before. Counts are per pattern and family, then per pattern.
     """
+    phrases = "|".join(re.escape(folded(p).strip()) for p in sorted(exceptions, key=len, reverse=True))
+    excepted = re.compile(f" (?:{phrases})(?= )") if phrases else None
 
-    def toxic_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def features(batches: Iterator[pd.DataFrame], known: Set[str] | None = None) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for text in batch["text"]:
-                words = folded(text).split()
+                plain = folded(text)
+                words = (excepted.sub(" ", plain) if excepted else plain).split()
+                found = _features(set(words)) | {""}
                 family = _family(words)
-                out += [(f, family) for f in _features(set(words)) | {""}]
+                out += [(f, family) for f in (found if known is None else found & known)]
             yield pd.DataFrame(out, columns=["feature", "family"])
 
-    toxic = rows.filter("toxic = 1").select("text").mapInPandas(toxic_features, "feature string, family long")
-    common = toxic.groupBy("feature").agg(F.count_distinct("family").alias("n")).filter(F.col("n") >= LEAST_FAMILIES)
-    support = {r["feature"]: r["n"] for r in common.collect()}
-
-    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                counts.update(_features(set(folded(text).split())) & support.keys())
-                counts[""] += 1
-        yield pd.DataFrame(list(counts.items()), columns=["feature", "n"])
-
-    counted = rows.filter("toxic = 0").select("text").mapInPandas(others, "feature string, n long")
-    against = {r["feature"]: r["n"] for r in counted.groupBy("feature").agg(F.sum("n").alias("n")).collect()}
-    return _select(support, against)
+    def by_family(toxic: int, known: Set[str] | None = None) -> DataFrame:
+        found = rows.filter(F.col("toxic") == toxic).select("text")
+        pairs = found.mapInPandas(partial(features, known=known), "feature string, family long")
+        return pairs.groupBy("feature", "family").agg(F.count("*").alias("rows"))
+
+    sums = by_family(1).groupBy("feature").agg(F.count("*").alias("n"), F.sum(1 + F.log2("rows")).alias("weight"))
+    common = sums.filter(F.col("weight") >= LEAST_FAMILIES).collect()
+    against = by_family(0, {r["feature"] for r in common} | {""}).groupBy("feature").agg(F.count("*").alias("n"))
+    return _select(
+        {r["feature"]: r["n"] for r in common},
+        {r["feature"]: r["weight"] for r in common},
+        {r["feature"]: r["n"] for r in against.collect()},
+    )
 
 
-def _select(support: dict[str, int], against: dict[str, int]) -> dict[str, float]:
+def _select(support: dict[str, int], copies: dict[str, float], against: dict[str, int]) -> dict[str, float]:
+    """``copies`` are families with a weight of 1 more for each doubling of their rows."""
     families, clean = support.get("", 0), against.get("", 0)
     if not families:
         return {}
     # So many families that no candidate is expected to have only toxic ones by chance.
     rate = min(0.5, families / (families + clean))
-    least = math.log(20 * len(support)) / -math.log(rate)
+    least = max(LEAST_FAMILIES, math.log(20 * len(support)) / -math.log(rate))
     weights = {}
     for feature, n in support.items():
         share = n / (n + against.get(feature, 0))
-        if feature and share >= LEAST_SHARE and n >= least:
+        # Copies make up for families only where no clean row has the pattern.
+        enough = n if against.get(feature, 0) else copies[feature]
+        if feature and share >= LEAST_SHARE and enough >= least:
             weights[feature] = 2 * share - 1
     # A beginning gives way to a longer pattern with nearly all of its families ...
     best_longer: dict[str, int] = {}
@@ -205,7 +211,7 @@ def scored(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = EXCEP
     The lexicon is learned here, from labelled rows of ``docs`` that are not held out. A null
     or empty text scores 0; without labels every text does. Repeated rows score alike.
     """
-    weights = learn(training_rows(docs, labels))
+    weights = learn(training_rows(docs, labels), exceptions)
 
     @F.pandas_udf("score double, hits long")
     def toxicity(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -70,6 +70,20 @@ def test_the_stage_keeps_clean_rows_and_columns(make_docs, corpus, labels, odd_r
     assert left.count() == clean + len(odd_rows)
 
 
+def test_copies_neither_hide_nor_make_a_word(spark):
+    """A toxic template, a clean one with a toxic word, and exception phrases in clean rows."""
+    draw = random.Random(4)
+    rows = [(" ".join(draw.choices(CLEAN, k=40)), 0) for _ in range(300)]
+    rows += [(" ".join([*draw.choices(CLEAN, k=40), word]), 1) for word in ("moron", "trash") for _ in range(40)]
+    rows += [("grimbol " + " ".join(CLEAN[:30]), 1)] * 400
+    rows += [("not a moron " + " ".join(CLEAN[30:60]), 0)] * 400
+    rows += [(" ".join([*draw.choices(CLEAN, k=40), "trash can"]), 0) for _ in range(200)]
+    weights = tx.learn(spark.createDataFrame(rows, "text string, toxic int"))
+    caught = {w: any(tx.folded(w)[1:].startswith(p) for p in weights) for w in ("moron", "trash", "grimbol")}
+    assert all(caught.values()), caught
+    assert not any(tx.folded(w)[1:].startswith(p) for w in CLEAN for p in weights)
+
+
 def test_without_labels_or_rows(make_docs, odd_rows, labels):
     assert {r.score for r in scores(make_docs, labels.limit(0), odd_rows)} == {0.0}
     assert scores(make_docs, labels, []) == []
