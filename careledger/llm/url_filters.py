@@ -81,11 +81,53 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.regexp_replace(F.regexp_replace(value, r"(?s)^[^=]*=\s*", ""), r"^[\"']|[\"']$", "")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; above the root there is nothing."""
+
+    def walked(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(F.array_append(kept, part))
+
+    parts = F.split(path, "/")
+    walk = F.array_join(F.aggregate(parts, F.array(F.lit("")).cast("array<string>"), walked), "/")
+    # The text before the first slash is empty and stands in the start already.
+    plain = F.regexp_replace(walk, r"^//", "/")
+    ends = path.rlike(r"/\.{1,2}$") & ~plain.endswith("/")
+    return F.when(ends, F.concat(plain, F.lit("/"))).otherwise(plain)
+
+
+def absolute_url(target: Column, page: Column) -> Column:
+    """A link's target, resolved against its page's URL; null if it names no page.
+
+    Targets with a scheme stay as they are, those with one but no ``://``, as ``mailto:``,
+    name no page, nor do relative ones on a page without ``://``.
+    """
+    scheme = F.regexp_extract(page, r"(?s)^(.*?)://", 1)
+    root = F.regexp_extract(page, r"(?s)^(.*?://[^/?#]*)", 1)
+    own = path_of(page)
+    path, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(own, r"(?s)^(.*/)", 1)
+    full = (
+        F.when(path.startswith("/"), path)
+        .when(folder == "", F.concat(F.lit("/"), path))
+        .otherwise(F.concat(folder, path))
+    )
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") | (F.instr(page, "://") == 0), F.lit(None))
+        .when(target == "", page)
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("?"), F.concat(root, own, target))
+        .when(target.startswith("#"), F.concat(F.regexp_extract(page, r"(?s)^([^#]*)", 1), target))
+        .otherwise(F.concat(root, _without_dots(full), rest))
+    )
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
     """(source, target): the redirect and canonical-link edges that pages give.
 
-    A page's canonical links, its ``refresh`` redirects, and the server redirect to the
-    canonical form of its own URL. Null URLs give none.
+    A page's canonical links, its ``refresh`` redirects, and the server redirects to the
+    canonical forms of its own URL and of those targets. Null URLs give none.
     """
     url = F.col("url")
     tags = F.regexp_extract_all("html", F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), 1)
@@ -97,9 +139,15 @@ def page_edges(pages: DataFrame) -> DataFrame:
         F.filter(tags, lambda t: t.rlike(r"(?is)^<meta\b") & t.rlike(r"(?is)http-equiv\s*=\s*[\"']?refresh\b")),
         lambda t: F.regexp_extract(_attribute(t, "content"), r"(?is)url\s*=\s*(.*)$", 1),
     )
-    found = F.filter(F.array_union(F.coalesce(linked, F.array()), F.coalesce(moved, F.array())), lambda t: t.contains("://"))
-    targets = F.array_append(found, canonical_url(url))
-    return pages.filter(url.isNotNull()).select(url.alias("source"), F.explode(targets).alias("target")).distinct()
+    declared = F.array_union(F.coalesce(linked, F.array()), F.coalesce(moved, F.array()))
+    found = F.filter(F.transform(declared, lambda t: absolute_url(F.trim(t), url)), lambda t: t.isNotNull())
+
+    def edge(source: Column, target: Column) -> Column:
+        return F.struct(source.alias("source"), target.alias("target"))
+
+    pairs = F.flatten(F.transform(found, lambda t: F.array(edge(url, t), edge(t, canonical_url(t)))))
+    edges = F.explode(F.array_append(pairs, edge(url, canonical_url(url)))).alias("edge")
+    return pages.filter(url.isNotNull()).select(edges).select("edge.source", "edge.target").distinct()
 
 
 def judge(pages: DataFrame, edges: DataFrame, rules: Sequence[Rule]) -> DataFrame:

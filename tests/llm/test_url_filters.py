@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from careledger.llm.url_filters import Rule, canonical_url, host_of, judge, page_edges, path_of
+from careledger.llm.url_filters import Rule, absolute_url, canonical_url, host_of, judge, page_edges, path_of
 
 RULES = (
     Rule("allow", "org", "/"),
@@ -60,6 +60,38 @@ def test_blocks_reach_aliases_unless_one_is_allowed(judged):
     assert found[2].decided_by == "alias" and found[2].rule is None and found[6].decided_by == "rule"
 
 
+def test_relative_targets(spark):
+    """The examples of RFC 3986, 5.4, for http, and some odd ones."""
+    base = "http://a/b/c/d;p?q"
+    want = {
+        "g:h": None, "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g",
+        "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q#s",
+        "g#s": "http://a/b/c/g#s", ";x": "http://a/b/c/;x", "": base, ".": "http://a/b/c/", "./": "http://a/b/c/",
+        "..": "http://a/b/", "../": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../g": "http://a/g",
+        "../../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.",
+        "..g": "http://a/b/c/..g", "./g/.": "http://a/b/c/g/", "g/../h": "http://a/b/c/h", "g?y/../x": "http://a/b/c/g?y/../x",
+        "/l?to=http://x/": "http://a/l?to=http://x/", "https://X/y": "https://X/y", "mailto:x": None,
+    }
+    df = spark.createDataFrame([(t, base) for t in want] + [("g", "http://h"), ("g", "none")], "t string, u string")
+    found = [r[0] for r in df.select(absolute_url(F.col("t"), F.col("u"))).collect()]
+    assert dict(zip(want, found)) == want and found[-2:] == ["http://h/g", None]
+
+
+def test_blocks_reach_relative_and_canonical_targets(judged):
+    to = '<link rel="canonical" href="{}">'.format
+    rows = [
+        (1, "http://one.com/a/b", to("../c")),
+        (2, "http://one.com/c", '<meta http-equiv="refresh" content="0; url=//bad.net/x">'),
+        (3, "http://two.com/", to("https://www.three.com/y/?utm_source=z")),
+        (4, "https://three.com/y", to("/z")),
+        (5, "https://m.three.com/z", to("http://bad.net/")),
+        (6, "http://four.com/", to("/z")),
+    ]
+    assert {k: r.verdict for k, r in judged(rows).items()} == {
+        1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow",
+    }
+
+
 def test_long_chains_of_redirects(judged):
     rows = [(i, f"http://h{i}.com/", "") for i in range(40)] + [(40, "http://bad.net/", "")]
     chain = [(f"http://h{i}.com/", f"http://h{i + 1}.com/") for i in range(39)] + [("http://h39.com/", "http://bad.net/")]
