@@ -15,6 +15,7 @@ from careledger.llm.minhash import near_groups
 from careledger.llm.packing import pack
 from careledger.llm.piece_sampling import sampled_round_trip
 from careledger.llm.shared import table
+from careledger.llm.spelling import spelling_variants
 from careledger.llm.toxicity import toxicity_scores
 from careledger.llm.url_filters import Rule, judge, page_edges
 from careledger.llm.warc import archived
@@ -223,6 +224,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def corpus_queries() -> dict[str, Query]:
     import corpus_pipeline
 
@@ -238,6 +243,7 @@ def corpus_queries() -> dict[str, Query]:
         "op8_masked_lm": op8_masked_lm,
         "op9_chat_format": op9_chat_format,
         "op10_packing": op10_packing,
+        "op13_spelling": op13_spelling,
     }
 
 
