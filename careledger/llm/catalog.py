@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careledger.llm.chat_format import conversation_digests
+from careledger.llm.collocations import collocations
 from careledger.llm.exact_dedup import exact_groups
 from careledger.llm.fingerprints import fingerprints
 from careledger.llm.masked_lm import pseudo_likelihood
@@ -224,6 +225,44 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), lists AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+    SELECT lang, unnest(flatten([[w[i:i + k - 1] for i in range(1, len(w) - k + 2)] for k in range(1, 5)])) AS p
+    FROM lists
+), counts AS (
+    SELECT lang, p, count(*) AS f FROM grams GROUP BY lang, p HAVING count(*) >= 30
+), totals AS (
+    SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM lists GROUP BY lang
+), cuts AS (
+    SELECT c.lang, c.p, c.f AS a, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * c.f // (x.f + y.f) AS BIGINT) AS score,
+           row_number() OVER (PARTITION BY c.lang, c.p ORDER BY 2000000::HUGEINT * c.f // (x.f + y.f), k) AS place
+    FROM counts c JOIN range(1, 4) t(k) ON k < len(c.p)
+    JOIN counts x ON x.lang = c.lang AND x.p = c.p[:k] JOIN counts y ON y.lang = c.lang AND y.p = c.p[k + 1:]
+), inner_phrases AS (
+    SELECT lang, f, unnest(flatten([[p[i:i + k - 1] for i in range(1, len(p) - k + 2)] for k in range(2, len(p))])) AS p
+    FROM counts
+), around AS (
+    SELECT lang, p, max(f) AS f FROM inner_phrases GROUP BY lang, p
+), ranked AS (
+    SELECT c.lang, array_to_string(c.p, ' ') AS phrase, c.a, c.l, c.r, c.score,
+           row_number() OVER (PARTITION BY c.lang ORDER BY c.score DESC, c.a DESC, array_to_string(c.p, ' ')) AS rank
+    FROM cuts c LEFT JOIN around o ON c.lang = o.lang AND c.p = o.p
+    WHERE c.place = 1 AND (o.f IS NULL OR 100 * o.f < 80 * c.a)
+)
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN totals t ON r.lang = t.lang WHERE rank <= 2000
+"""
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -243,6 +282,7 @@ def corpus_queries() -> dict[str, Query]:
         "op8_masked_lm": op8_masked_lm,
         "op9_chat_format": op9_chat_format,
         "op10_packing": op10_packing,
+        "op11_collocations": op11_collocations,
         "op13_spelling": op13_spelling,
     }
 
@@ -254,4 +294,5 @@ def corpus_sql() -> dict[str, str]:
         "op6_exact_dedup": OP6_SQL,
         "op7_minhash": OP7_SQL,
         "op9_chat_format": OP9_SQL,
+        "op11_collocations": OP11_SQL,
     }

@@ -14,7 +14,7 @@ FOLDER = "/root/testdata/sf0.001"
 def test_registered_once_each():
     names = set(corpus_queries())
     assert names <= set(entry.queries()) and set(corpus_sql()) <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(corpus_sql()))
