@@ -1,15 +1,16 @@
 """Phrase collocations by dynamic itemset counting over cyclic shard scans.
 
-The corpus is dealt to shards, which are scanned in turn, again and again. Words are counted
-in the first cycle. A longer phrase becomes active once both phrases it is made of, without
-its last and without its first word, have reached the threshold; from the next shard on it
-is counted, together with all other active phrases of any length, until it has seen each
-shard once. Its count is then exact.
-
-What has reached the threshold goes to the tasks as one bit per hash bucket, a table of
-fixed size. A phrase whose parts share buckets with others becomes active too early, which
-only costs work: the table never loses a bit, so whatever became active stays so for a full cycle.
-Counts never leave Spark; the driver sees the bits alone.
+The corpus is split into words once; its shards are then scanned in turn, again and again. Words
+are counted in the first cycle. A longer phrase becomes active once both phrases it is made of,
+without its last and without its first word, have reached the threshold; from the next shard on
+it is counted, together with all other active phrases of any length, until it has seen each
+shard once.
+
+The scans count 64-bit hashes. What has reached the threshold goes to the tasks as one bit per
+bucket of hashes, a table of fixed size. Phrases that share hashes or buckets are counted too
+much or too early, never too little: the table loses no bit, so whatever became active stays so
+for a full cycle. A last scan counts the words of all phrases that reached the threshold, which makes
+the counts exact. Counts never leave Spark; the driver sees the bits alone.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ SHARDS = 3
 #: Bits of the table of buckets that have reached the threshold; more bits, fewer spare counts.
 BITS = 1 << 25
 #: Tokens and different words that a task holds before it passes counts on.
-_TOKENS, _WORDS = 4_000_000, 400_000
+_TOKENS, _WORDS = 2_000_000, 400_000
 #: Words of a text that are taken at a time.
 _SLICE = 100_000
 #: Bits of a word's number in a phrase's key.
@@ -45,15 +46,114 @@ _WIDTH = 21
 
 # A-Z to lower case; what ends a piece to a byte that UTF-8 never has.
 _SPLIT = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\xff" * 10)
+_END = b"\xff"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BUCKET = 32768  # of Spark's bitmap functions
 
 
+def _words(text: bytes) -> list[bytes]:
+    """The words of a text, and ``_END`` where a piece ends."""
+    return text.translate(_SPLIT).replace(_END, b" \xff ").split()
+
+
+class _Tokens(dict):
+    """A 32-bit hash of each word of a language; 0 is the end of a piece."""
+
+    def __init__(self, lang: str):
+        super().__init__({_END: 0})
+        self._seed = zlib.crc32(lang.encode())
+
+    def __missing__(self, word: bytes) -> int:
+        token = xxhash.xxh32_intdigest(word, self._seed) or 1
+        if len(self) < _WORDS:
+            self[word] = token
+        return token
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """The tokens of each text as unsigned 32-bit numbers, with its shard."""
+    known: dict[str, _Tokens] = {}
+    for batch in batches:
+        blobs, shard = [], []
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            if lang not in known and len(known) > 50:
+                known.clear()
+            words, tokens = _words(text.as_py()), known.setdefault(lang, _Tokens(lang))
+            blobs.append(np.fromiter(map(tokens.__getitem__, words), np.uint32, len(words)).tobytes())
+            shard.append(zlib.crc32(blobs[-1]) % shards)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(blobs, pa.binary()), pa.array(shard, pa.int32())], ["tokens", "shard"]
+        )
+
+
+def _first(token: np.ndarray) -> np.ndarray:
+    """The hash of each word as a phrase of its own."""
+    mixed = token.astype(np.uint64) * _MIX
+    return (mixed ^ (mixed >> np.uint64(31))) * _MIX
+
+
+def _longer(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The hashes of phrases, each with one more word."""
+    return (hashes ^ (hashes >> np.uint64(29))) * _MIX + last
+
+
+def _set(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the buckets of ``hashes`` have their bit in the table."""
+    at = hashes & np.uint64(8 * len(table) - 1)
+    return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+
+
+def _scan(
+    batches: Iterator[pa.RecordBatch],
+    now: np.ndarray | None,
+    earlier: np.ndarray | None,
+    words_too: bool,
+    most_tokens: int,
+) -> Iterator[pa.RecordBatch]:
+    """key and n: counts of the hashes of all active phrases."""
+    held: list[np.ndarray] = []
+    fresh: list[np.ndarray] = []
+    size = 0
+
+    def counted() -> pa.RecordBatch:
+        token, new = np.concatenate(held), np.concatenate(fresh)
+        held.clear()
+        fresh.clear()
+        first, inside = _first(token), token > 0
+        hashes, found = first, [first[inside & new]] if words_too else []
+        for length in range(2, MOST_WORDS + 1 if now is not None else 2):
+            inside = inside[:-1] & inside[1:]
+            at = np.flatnonzero(inside & new[length - 1 :])
+            at = at[_set(now, hashes[at])]
+            at = at[_set(now, hashes[at + 1])]
+            if earlier is not None:
+                at = at[~(_set(earlier, hashes[at]) & _set(earlier, hashes[at + 1]))]
+            hashes = _longer(hashes[:-1], first[length - 1 :])
+            found.append(hashes[at])
+        keys, n = np.unique(np.concatenate(found), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    for batch in batches:
+        for blob in batch.column("tokens"):
+            own = np.frombuffer(blob.as_buffer(), np.uint32)
+            for start in range(0, len(own), most_tokens):
+                before = min(start, MOST_WORDS - 1)
+                part = own[start - before : start + most_tokens]
+                held += [np.zeros(1, np.uint32), part]
+                fresh += [np.zeros(1 + before, bool), np.ones(len(part) - before, bool)]
+                size += len(part)
+                if size > most_tokens:
+                    yield counted()
+                    size = 0
+    if size:
+        yield counted()
+
+
 class _Numbers(dict):
     """Numbers of words in the order they are met; 0 is the end of a piece."""
 
     def __init__(self) -> None:
-        super().__init__({b"\xff": 0})
+        super().__init__({_END: 0})
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -61,7 +161,7 @@ class _Numbers(dict):
 
 
 class _Held:
-    """The tokens of one language that a task holds. ``fresh`` ones end phrases that are not counted yet."""
+    """The words of one language that a task holds. ``fresh`` ones end phrases that are not counted yet."""
 
     def __init__(self) -> None:
         self.numbers = _Numbers()
@@ -74,24 +174,14 @@ class _Held:
         self.fresh += [np.zeros(1 + context, bool), np.ones(len(words) - context, bool)]
 
 
-def _set(bits: np.ndarray | None, at: np.ndarray) -> np.ndarray:
-    """Whether the buckets ``at`` have their bit."""
-    if bits is None:
-        return np.zeros(len(at), bool)
-    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
-
-
-def _counts(
-    lang: str, held: _Held, now: np.ndarray | None, earlier: np.ndarray | None, words_too: bool, bits: int
-) -> Iterator[pa.RecordBatch]:
-    """The counts of all active phrases that end in fresh tokens."""
+def _spelled(lang: str, held: _Held, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The counts of all phrases in the table that end in fresh tokens, and of all words together."""
     words = list(held.numbers)
     token, fresh = np.concatenate(held.tokens), np.concatenate(held.fresh)
-    seed = zlib.crc32(lang.encode())
-    own = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
-    mask = np.uint64(bits - 1)
+    tokens = _Tokens(lang)
+    own = _first(np.fromiter(map(tokens.__missing__, words), np.uint32, len(words)))
 
-    def rows(length: int, places: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(length: int, places: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         """``places``: of one occurrence of each phrase, at its last word."""
         for start in range(0, len(places), 100_000):
             part = slice(start, start + 100_000)
@@ -102,36 +192,31 @@ def _counts(
                     pa.array([lang] * len(phrases)),
                     pa.array(phrases, pa.binary()).cast(pa.string()),
                     pa.array(np.full(len(phrases), length, np.int32)),
-                    pa.array(bucket[part].astype(np.int64)),
                     pa.array(n[part].astype(np.int64)),
                 ],
-                ["lang", "phrase", "words", "bucket", "n"],
+                ["lang", "phrase", "words", "n"],
             )
 
-    if words_too:
-        many = np.bincount(token[fresh], minlength=len(words))
-        many[0] = 0
-        seen = np.zeros(len(words), np.int64)
-        seen[token] = np.arange(len(token))
-        met = np.flatnonzero(many)
-        yield from rows(1, seen[met], own[met] & mask, many[met])
-        yield from rows(0, np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([many.sum()]))
-    if now is None:
-        return
-
-    # Of a phrase of so many words that ends here: its hash, and whether it lies in one piece.
-    first = own[token]
-    hashes, inside = first, token > 0
+    frequent = _set(table, own)
+    frequent[0] = False
+    many = np.bincount(token[fresh], minlength=len(words))
+    many[0] = 0
+    yield from rows(0, np.zeros(1, np.int64), np.array([many.sum()]))
+    seen = np.zeros(len(words), np.int64)
+    seen[token] = np.arange(len(token))
+    met = np.flatnonzero(frequent & (many > 0))
+    yield from rows(1, seen[met], many[met])
+
+    # ``starts``: where the frequent phrases of the last length start.
+    hashes = first = own[token]
+    starts = frequent[token]
     for length in range(2, MOST_WORDS + 1):
-        place = (hashes & mask)[:-1], (hashes & mask)[1:]
-        at = np.flatnonzero(inside[:-1] & inside[1:] & fresh[length - 1 :])
-        active = _set(now, place[0][at]) & _set(now, place[1][at])
-        at = at[active]
-        if earlier is not None:
-            at = at[~(_set(earlier, place[0][at]) & _set(earlier, place[1][at]))]
-        inside = inside[:-1] & inside[1:]
-        hashes = (hashes[:-1] ^ (hashes[:-1] >> np.uint64(29))) * _MIX + first[length - 1 :]
-        end = at + length - 1
+        at = np.flatnonzero(starts[:-1] & starts[1:])
+        longer = _longer(hashes[at], first[at + length - 1])
+        at, longer = (x[_set(table, longer)] for x in (at, longer))
+        hashes, starts = np.zeros(len(hashes) - 1, np.uint64), np.zeros(len(starts) - 1, bool)
+        hashes[at], starts[at] = longer, True
+        end = at[fresh[at + length - 1]] + length - 1
         if not len(end):
             continue
         if length < MOST_WORDS:
@@ -142,52 +227,74 @@ def _counts(
             pairs = np.concatenate([token[end - 3] << _WIDTH | token[end - 2], token[end - 1] << _WIDTH | token[end]])
             _, number = np.unique(pairs, return_inverse=True)
             key = number[: len(end)] << 32 | number[len(end) :]
-        _, one, many = np.unique(key, return_index=True, return_counts=True)
-        yield from rows(length, end[one], (hashes & mask)[at[one]], many)
+        _, one, times = np.unique(key, return_index=True, return_counts=True)
+        yield from rows(length, end[one], times)
 
 
-def _scan(
-    batches: Iterator[pa.RecordBatch],
-    now: np.ndarray | None,
-    earlier: np.ndarray | None,
-    words_too: bool,
-    bits: int,
-    limits: tuple[int, int, int],
+def _spell(
+    batches: Iterator[pa.RecordBatch], table: np.ndarray, limits: tuple[int, int, int]
 ) -> Iterator[pa.RecordBatch]:
     most_tokens, most_words, slice_ = limits
     held: dict[str, _Held] = {}
-    tokens = 0
+    size = 0
 
     def passed() -> Iterator[pa.RecordBatch]:
         for lang, own in held.items():
-            yield from _counts(lang, own, now, earlier, words_too, bits)
+            yield from _spelled(lang, own, table)
         held.clear()
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-            words = text.as_py().translate(_SPLIT).replace(b"\xff", b" \xff ").split()
+            words = _words(text.as_py())
             for start in range(0, len(words), slice_):
                 context = min(start, MOST_WORDS - 1)
-                own = held.setdefault(lang, _Held())
-                own.add(words[start - context : start + slice_], context)
-                tokens += slice_ if start + slice_ < len(words) else len(words) - start
-                if tokens > most_tokens or sum(len(h.numbers) for h in held.values()) > most_words:
+                part = words[start - context : start + slice_]
+                held.setdefault(lang, _Held()).add(part, context)
+                size += len(part)
+                if size > most_tokens or sum(len(h.numbers) for h in held.values()) > most_words:
                     yield from passed()
-                    tokens = 0
+                    size = 0
     yield from passed()
 
 
-def _bits_of(buckets: DataFrame, bits: int) -> np.ndarray:
-    """The table of set bits: as long as ``bits`` at most, whatever the number of buckets."""
-    bit = F.col("bucket") + 1
-    made = buckets.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(
+def _bits_of(keys: DataFrame, bits: int) -> np.ndarray:
+    """The table of the buckets of ``keys``, of ``bits`` bits however many keys there are."""
+    bit = F.expr(f"key & {bits - 1}L") + 1
+    made = keys.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")
     )
     table = np.zeros(max(bits, _BUCKET) // 8, np.uint8)
     for r in made.collect():
         start = (r["part"] - 1) * _BUCKET // 8
         table[start : start + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
-    return table
+    return table[: bits // 8]
+
+
+def reached(docs: DataFrame, shards: int, least: int, bits: int, most_tokens: int = _TOKENS) -> np.ndarray:
+    """The table of all phrases of (lang, text) rows that may stand ``least`` times, by dynamic itemset counting."""
+    spark, path = docs.sparkSession, new_path(docs.sparkSession, "shards")
+    encoded = docs.mapInArrow(partial(_encoded, shards=shards), "tokens binary, shard int")
+    encoded.write.partitionBy("shard").parquet(path)
+    there = spark.read.schema("tokens binary, shard int").parquet(path)
+
+    tables: list[np.ndarray] = []
+    state = None
+    for step in range(MOST_WORDS * shards):
+        now = tables[-1] if tables else None
+        earlier = tables[step - shards - 1] if step > shards else None
+        if earlier is not None and np.array_equal(now, earlier):
+            break  # no phrase has become active in the last cycle
+        scan = partial(_scan, now=now, earlier=earlier, words_too=step < shards, most_tokens=most_tokens)
+        shard = there.filter(F.col("shard") == step % shards).select("tokens")
+        counted = shard.mapInArrow(scan, "key long, n long").withColumn("first", F.lit(step))
+        if state is not None:
+            counted = counted.unionByName(state)
+        merged = counted.groupBy("key").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+        # A phrase first met in some step has been through a full cycle so many steps later at most.
+        running = F.col("first") + shards - 1 > step
+        state = cut(merged.filter((F.col("n") >= least) | running), "phrases")
+        tables.append(_bits_of(state.filter(F.col("n") >= least), bits))
+    return tables[-1]
 
 
 def phrase_counts(
@@ -202,40 +309,13 @@ def phrase_counts(
     The row with no words holds the number of all words of its language. ``limits`` are the tokens
     and different words that a task holds, and the words of a text taken at a time.
     """
-    spark, path = docs.sparkSession, new_path(docs.sparkSession, "shards")
     rows = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), whole().cast("binary").alias("text")
     )
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int"))
-    dealt.write.partitionBy("shard").parquet(path)
-    there = spark.read.schema("lang string, text binary, shard int").parquet(path)
-
-    tables: list[np.ndarray | None] = []
-    state = None
-    for step in range(MOST_WORDS * shards):
-        now = tables[-1] if tables else None
-        earlier = tables[step - shards - 1] if step > shards else None
-        if earlier is not None and np.array_equal(now, earlier):
-            break  # no phrase has become active in the last cycle
-        scan = partial(_scan, now=now, earlier=earlier, words_too=step < shards, bits=bits, limits=limits)
-        counted = (
-            there.filter(F.col("shard") == step % shards)
-            .select("lang", "text")
-            .mapInArrow(scan, "lang string, phrase string, words int, bucket long, n long")
-            .withColumn("first", F.lit(step))
-        )
-        if state is not None:
-            counted = counted.unionByName(state)
-        merged = counted.groupBy("lang", "phrase", "words", "bucket").agg(
-            F.sum("n").alias("n"), F.min("first").alias("first")
-        )
-        # A phrase first met in some step has been through a full cycle so many steps later at most.
-        running = F.col("first") + shards - 1 > step
-        state = cut(merged.filter((F.col("n") >= least) | running | (F.col("words") == 0)), "phrases")
-        reached = state.filter((F.col("n") >= least) & F.col("words").between(1, MOST_WORDS - 1))
-        tables.append(_bits_of(reached.select("bucket"), bits))
-    done = (F.col("n") >= least) | (F.col("words") == 0)
-    return state.filter(done).select("lang", "phrase", "words", "n")
+    spell = partial(_spell, table=reached(rows, shards, least, bits, limits[0]), limits=limits)
+    spelled = rows.mapInArrow(spell, "lang string, phrase string, words int, n long")
+    counts = spelled.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    return cut(counts.filter((F.col("n") >= least) | (F.col("words") == 0)), "counts")
 
 
 def _phrase(words: str, start: int | Column, length: Column) -> Column:
