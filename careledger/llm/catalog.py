@@ -16,6 +16,7 @@ from careledger.llm.minhash import near_groups
 from careledger.llm.packing import pack
 from careledger.llm.piece_sampling import sampled_round_trip
 from careledger.llm.shared import table
+from careledger.llm.signature_trees import jaccard_groups
 from careledger.llm.spelling import spelling_variants
 from careledger.llm.toxicity import toxicity_scores
 from careledger.llm.url_filters import Rule, judge, page_edges
@@ -263,6 +264,33 @@ SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN totals t ON r.
 """
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, [x for x in string_split_regex(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END AS s
+    FROM words
+), shingles AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b
+      ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id
+FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r ON s.doc_id = r.doc_id
+"""
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -283,6 +311,7 @@ def corpus_queries() -> dict[str, Query]:
         "op9_chat_format": op9_chat_format,
         "op10_packing": op10_packing,
         "op11_collocations": op11_collocations,
+        "op12_jaccard_join": op12_jaccard_join,
         "op13_spelling": op13_spelling,
     }
 
@@ -295,4 +324,5 @@ def corpus_sql() -> dict[str, str]:
         "op7_minhash": OP7_SQL,
         "op9_chat_format": OP9_SQL,
         "op11_collocations": OP11_SQL,
+        "op12_jaccard_join": OP12_SQL,
     }
