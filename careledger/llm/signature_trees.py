@@ -8,8 +8,8 @@ is left at the end is compared on the full sets.
 
 Trees stand on groups of sets that Spark deals. Of n shingles, the first n - ceil(n * percent / 100) + 1
 in the order of their hashes hold one that a linked set holds there too, so linked sets meet in the
-group of such a shingle. First every set is in the group of its least shared shingle only; links
-found there make components. Then the trees of all groups that still hold several components
+group of such a shingle. First every set is in the groups of a few of its shared shingles only,
+the least ones in HOMES orders; links found there make components. Then the trees of all groups that still hold several components
 are walked, and pairs of nodes within one component are left out. So a group of
 thousands of near copies is not expanded into its pairs, and no link between components is lost.
 """
@@ -32,8 +32,10 @@ from careledger.llm.shared import cut, documents_of
 
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 80
+#: Orders of shingles in the first step. They change where links are found, not which.
+HOMES = 3
 #: Children of a node, and sets in a part of a group.
-FAN, GROUP = 8, 512
+FAN, GROUP = 8, 2048
 #: Bits of a signature: four for each shingle, rounded up to a power of two between these.
 LEAST_BITS, MOST_BITS = 256, 1 << 16
 #: Words of bitmaps that are compared at a time.
@@ -265,9 +267,15 @@ def _between(rows: pa.Table, percent: int) -> pa.Table:
     digests = rows.column("digest").to_pylist()
     labels = np.unique(np.array([x.hex() for x in rows.column("label").to_pylist()]), return_inverse=True)[1]
     bits = [np.frombuffer(b.as_buffer(), np.uint64) for b in rows.column("bits")]
+    before = [frozenset(x) for x in rows.column("before").to_pylist()]
+    part = rows.column("own").to_numpy()
+    single = len(rows) and rows.column("i")[0] == rows.column("j")[0]
     a, b = [], []
     for i, j in candidates(bits, rows.column("n_shingles").to_numpy(), labels, percent):
-        apart = labels[i] != labels[j]
+        apart = (labels[i] != labels[j]) & (single | (part[i] != part[j]))
+        at = np.flatnonzero(apart)
+        met = [not before[p].isdisjoint(before[q]) for p, q in zip(i[at].tolist(), j[at].tolist(), strict=True)]
+        apart[at[np.array(met, bool)]] = False
         a += [digests[k] for k in i[apart].tolist()]
         b += [digests[k] for k in j[apart].tolist()]
     return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
@@ -285,11 +293,15 @@ def _parts(count: Column) -> Column:
 
 
 def _grouped_links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links among the sets with the same least shared shingle, found in parts of their groups.
+    """(a, b): links among the sets with the same least shared shingle in some order, found in parts of groups.
 
     Each part then sends one set on, until a group is one part.
     """
-    homes = classes.select("digest", F.col("tokens")[0].alias("home"))
+    least = [
+        F.expr(f"array_min(transform(tokens, t -> named_struct('h', xxhash64({seed}, t), 'token', t)))")
+        for seed in range(HOMES)
+    ]
+    homes = classes.select("digest", F.explode(F.array_distinct(F.array(*[x["token"] for x in least]))).alias("home"))
     sizes = homes.groupBy("home").count().filter("count > 1")
     parted = cut(
         homes.join(sizes, "home")
@@ -331,15 +343,29 @@ def _open_pairs(classes: DataFrame, labels: DataFrame, texts: DataFrame, percent
     # Shingles of the same sets make the same group; one of them is enough.
     groups = mixed.groupBy("count", "sum1", "sum2").agg(F.min("token").alias("token"))
     open_ = members.join(groups.select("token", _parts(F.col("count")).alias("parts")), "token")
-    own = F.pmod(F.xxhash64("digest"), F.col("parts"))
-    # Parts of a large group meet two by two.
-    dealt = open_.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
-    placed = dealt.select(
-        "token", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "digest", "label"
+    own = open_.groupBy("digest", "label").agg(F.sort_array(F.collect_set(F.struct("token", "parts"))).alias("all"))
+    rows = (
+        own.join(texts.select("digest", "n_shingles", "bits"), "digest")
+        .select("digest", "label", "n_shingles", "bits", "all.token", F.posexplode("all").alias("place", "group"))
+        # Two sets are compared in the first group that has both.
+        .withColumn("before", F.expr("slice(token, 1, place)"))
+        .withColumn("own", F.pmod(F.xxhash64("digest"), F.col("group.parts")))
+        # Parts of a large group meet two by two.
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("group.parts").cast("int") - 1)))
+        .select(
+            F.col("group.token").alias("token"),
+            F.least("own", "with").alias("i"),
+            F.greatest("own", "with").alias("j"),
+            "own",
+            "digest",
+            "label",
+            "n_shingles",
+            "bits",
+            "before",
+        )
     )
-    rows = placed.join(texts.select("digest", "n_shingles", "bits"), "digest")
     pairs = rows.groupBy("token", "i", "j").applyInArrow(lambda rows: _between(rows, percent), "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
