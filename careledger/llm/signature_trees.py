@@ -23,6 +23,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -215,6 +216,7 @@ def _digest(hashes: np.ndarray) -> bytes:
 
 
 def _summed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    key = TaskContext.get().partitionId() << 40
     for batch in batches:
         found = [shingles(text.as_py()) for text in batch.column("text")]
         heads = [probed(len(s), percent) for s in found]
@@ -225,14 +227,17 @@ def _summed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         )
         yield pa.RecordBatch.from_arrays(
             [
+                pa.array(np.arange(key, key + batch.num_rows)),
                 batch.column("doc_id"),
                 pa.array([_digest(s) for s in found], pa.binary()),
                 pa.array([len(s) for s in found], pa.int64()),
                 pa.array([p for p, _ in heads], pa.int64()),
+                pa.array([q - p + 1 for p, q in heads], pa.int64()),
                 lists,
             ],
-            ["doc_id", "digest", "n_shingles", "head", "tokens"],
+            ["key", "doc_id", "digest", "n_shingles", "head", "enough", "tokens"],
         )
+        key += batch.num_rows
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,28 +389,28 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nothing and have no component. Other columns are not read; an empty table gives no rows.
     """
     rows = documents_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    schema = "doc_id long, digest binary, n_shingles long, head long, tokens array<long>"
+    schema = "key long, doc_id long, digest binary, n_shingles long, head long, enough long, tokens array<long>"
+    # Written, as the numbers of rows must stay the same.
     sets = cut(rows.mapInArrow(partial(_summed, percent=percent), schema), "sets")
-    linkable = sets.filter("doc_id is not null and n_shingles > 0").withColumn("key", F.xxhash64("doc_id", "digest"))
+    linkable = sets.filter("doc_id is not null and n_shingles > 0")
 
-    # Sets with enough shingles in their longer head that another row has there. Rows with equal keys
-    # only let more pass.
-    probes = linkable.select(
-        "key", "head", (F.size("tokens") - F.col("head") + 1).alias("enough"), F.posexplode("tokens").alias("place", "token")
+    # Sets with enough shingles in their longer head that another row has there.
+    probes = linkable.select("key", "head", F.posexplode("tokens").alias("place", "token")).select(
+        "key", "token", (F.col("place") < F.col("head")).alias("front")
     )
     shared = probes.withColumn("rows", F.count("*").over(Window.partitionBy("token"))).filter("rows > 1")
     kept = (
         shared.groupBy("key")
         .agg(
             F.count("*").alias("hits"),
-            F.max("enough").alias("enough"),
-            F.sort_array(F.collect_set(F.when(F.col("place") < F.col("head"), F.col("token")))).alias("tokens"),
+            F.sort_array(F.collect_set(F.when(F.col("front"), F.col("token")))).alias("tokens"),
         )
-        .filter("hits >= enough and size(tokens) > 0")
+        .filter("size(tokens) > 0")
     )
     classes = cut(
-        linkable.select("key", "doc_id", "digest", "n_shingles")
-        .join(kept.select("key", "tokens"), "key")
+        linkable.select("key", "doc_id", "digest", "n_shingles", "enough")
+        .join(kept, "key")
+        .filter("hits >= enough")
         .groupBy("digest")
         .agg(F.min(F.struct("doc_id", "n_shingles", "tokens")).alias("one"))
         .select("digest", "one.doc_id", "one.n_shingles", "one.tokens"),
