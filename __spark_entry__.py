@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from datetime import date
 from functools import reduce
-from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,17 +15,24 @@ from careledger.functions.windows import PaddedWindow, RollingWindow
 from careledger.operators import checks, events, orders
 from careledger.operators.deliveries import delivery_first_leg, delivery_legs
 from careledger.operators.joins import Side, join_order_sides, spread_left_join
+from careledger.operators.selection import exact_percentiles
 from careledger.params import Params
 from careledger.plans.report_a import labelled, market, report_a, stages_a
-from careledger.plans.report_b import report_b, stages_b
+from careledger.plans.report_b import reason_group as reason_group_b
+from careledger.plans.report_b import report_b, stages_b, total_cost
+from careledger.plans.rollup import order_bitmaps, roll_up
 from careledger.plans.sweep import sweep
 from careledger.sources.fixtures import fixture_tables
 from oracle import oracle_queries
 
-# The training-data operators can be left out of an installation.
-HAS_CORPUS = find_spec("careledger.llm") is not None and find_spec("corpus_pipeline") is not None
-if HAS_CORPUS:
+# The training-data operators and what they need can be left out of an installation.
+try:
+    import corpus_pipeline  # noqa: F401
     from careledger.llm.catalog import corpus_queries, corpus_sql
+except ImportError:
+    HAS_CORPUS = False
+else:
+    HAS_CORPUS = True
 
 Tables = Mapping[str, DataFrame]
 
@@ -282,6 +288,21 @@ def checks_b(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def orders_rolled_up(t: Tables) -> DataFrame:
+    """The distinct orders of report B by day, by reason group and by managed flag, from one set of bitmaps."""
+    detail = stages_b(t, PARAMS)["o3"].withColumn("_total", total_cost())
+    rows = detail.withColumn("care_cost_reason_group", reason_group_b())
+    levels = ("date1", "care_cost_reason_group", "ghd_ind")
+    bitmaps = order_bitmaps(rows, levels, parts=8)
+    found = [
+        roll_up(bitmaps, [level]).select(
+            F.lit(level).alias("dimension"), F.col(level).cast("string").alias("value"), "orders"
+        )
+        for level in levels
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 def _detail_a(t: Tables) -> DataFrame:
     return stages_a(t, PARAMS)["o3"]
 
@@ -386,6 +407,13 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "join_audit_b": join_audit_b,
     "check_report_b": checks_b,
     "stage_counts_b": lambda t: checks.stage_counts(stages_b(t, PARAMS), same={"o2": "o"}),
+    "report_b_orders_rolled_up": orders_rolled_up,
+    "check_exact_percentiles": lambda t: exact_percentiles(
+        _detail_a(t),
+        "order_detail_a",
+        ["total_care_cost", "tip", "diner_ty_eta", "cp_care_concession_awarded_amount", "cp_diner_adj"],
+        (0.01, 0.25, 0.5, 0.75, 0.99),
+    ),
     "check_percentiles": lambda t: checks.counted_percentiles(
         _detail_a(t),
         "order_detail_a",

@@ -7,7 +7,7 @@ from careledger.plans.report_a import report_a, stages_a
 from careledger.plans.report_b import report_b, stages_b
 from careledger.plans.sweep import sweep
 from careledger.sources.fixtures import fixture_tables
-from careledger.sources.tables import read_tables, write_report
+from careledger.sources.tables import read_tables, write_days, write_report
 
 __all__ = [
     "PaddedWindow",
@@ -22,5 +22,6 @@ __all__ = [
     "stages_a",
     "stages_b",
     "sweep",
+    "write_days",
     "write_report",
 ]

@@ -6,10 +6,10 @@ check collects a frame, and none puts a group of unknown size into one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from careledger.functions.windows import PaddedWindow, RollingWindow
@@ -17,6 +17,13 @@ from careledger.functions.windows import PaddedWindow, RollingWindow
 _INT_RANGE = (-(2**31), 2**31 - 1)
 
 
+class Recorder:
+    """Stands for a frame in a column check and keeps what the check measures; see ``observed``."""
+
+    def __init__(self) -> None:
+        self.found: list[tuple[str, str, str, Column, Column]] = []
+
+
 def _text(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit("none"))
 
@@ -27,6 +34,9 @@ def _span(low: Column, high: Column) -> Column:
 
 def _long(df: DataFrame, stage: str, check: str, columns: Mapping[str, tuple[Column, Column]]) -> DataFrame:
     """One aggregation for all columns, ``(bad rows, detail)`` each, as one row per column."""
+    if isinstance(df, Recorder):
+        df.found += [(stage, name, check, bad, detail) for name, (bad, detail) in columns.items()]
+        return df
     measured = [F.count("*").alias("rows")]
     for i, (bad, detail) in enumerate(columns.values()):
         measured += [bad.alias(f"bad_{i}"), detail.alias(f"detail_{i}")]
@@ -54,6 +64,40 @@ def _long(df: DataFrame, stage: str, check: str, columns: Mapping[str, tuple[Col
     )
 
 
+class Observed:
+    """The rows of the checks that ran along with a frame, once an action has run it."""
+
+    def __init__(self, observation: Observation, found: list[tuple[str, str, str, Column, Column]]):
+        self._observation, self._found = observation, found
+
+    def rows(self) -> list[tuple[str, str, str, int, int, str]]:
+        """stage, column_name, check, rows, bad_rows and detail; waits for the first action."""
+        got = self._observation.get
+        return [
+            (stage, name, check, got["rows"], got[f"bad_{i}"], got[f"detail_{i}"])
+            for i, (stage, name, check, _, _) in enumerate(self._found)
+        ]
+
+
+def observed(
+    df: DataFrame, stage: str, measure: Iterable[Callable[[Recorder, str], object]]
+) -> tuple[DataFrame, Observed]:
+    """``df`` with column checks that are measured while it is used, and where to read them.
+
+    Each of ``measure`` calls a check of this module with the frame and stage that it gets. The checks cost no
+    scan of their own: their sums come out of the job that writes or reads the frame. Only what the
+    action really computes is measured, so use it below a write of the whole frame.
+    """
+    recorder = Recorder()
+    for check in measure:
+        check(recorder, stage)
+    observation = Observation()
+    sums = [F.count(F.lit(1)).alias("rows")]
+    for i, (_, _, _, bad, detail) in enumerate(recorder.found):
+        sums += [bad.alias(f"bad_{i}"), detail.alias(f"detail_{i}")]
+    return df.observe(observation, *sums), Observed(observation, recorder.found)
+
+
 def numeric_text(
     df: DataFrame, stage: str, columns: Iterable[str], bounds: tuple[int, int] = _INT_RANGE
 ) -> DataFrame:

@@ -164,6 +164,15 @@ def _rows_where(condition: str, name: str) -> str:
     return f"count(*) FILTER (WHERE {condition}) AS {name}"
 
 
+GROUPED_B = f"""(
+        SELECT date1, ghd_ind, order_uuid,
+               CASE WHEN {FIVE_B} = 0 THEN 'orders with no care cost'
+                    WHEN cp_redelivery_cost < 0 THEN 'logistics issues'
+                    ELSE lower(coalesce(nullif(adjustment_group, 'not grouped'),
+                                        nullif(fg_group, 'not grouped'), care_cost_group)) END
+               AS care_cost_reason_group
+        FROM detail_b)"""
+
 REPORT_B = f"""
     SELECT date1, ghd_ind, delivery_ind, cancel_fact_ind, adjustment_group,
            adjustment_and_cancel_reason_combined, ghd_late_ind, ghd_late_ind_incl_cancel_time,
@@ -548,6 +557,30 @@ def oracle_queries(sweep_rows) -> dict[str, str]:
                 ]
             )
         ),
+        "report_b_orders_rolled_up": b(
+            "\nUNION ALL\n".join(
+                f"SELECT '{level}' AS dimension, CAST({level} AS VARCHAR) AS value,"
+                f" count(DISTINCT order_uuid) AS orders FROM {GROUPED_B} GROUP BY {level}"
+                for level in ("date1", "care_cost_reason_group", "ghd_ind")
+            )
+        ),
+        "check_exact_percentiles": a(
+            "\nUNION ALL\n".join(
+                f"""SELECT 'order_detail_a' AS stage, '{c}' AS column_name,
+                       round(count(*) FILTER (WHERE {e} IS NULL) / count(*), 6) AS null_share,
+                       CAST({p} AS DOUBLE) AS percentile,
+                       round(quantile_cont(CAST({e} AS DOUBLE), {p}), 4) AS value
+                FROM detail_a"""
+                for c, e in [
+                    ("total_care_cost", "total"),
+                    ("tip", "tip"),
+                    ("diner_ty_eta", "diner_ty_eta"),
+                    ("cp_care_concession_awarded_amount", "cp_care_concession_awarded_amount"),
+                    ("cp_diner_adj", "cp_diner_adj"),
+                ]
+                for p in (0.01, 0.25, 0.5, 0.75, 0.99)
+            )
+        ),
         "check_percentiles": a(
             "\nUNION ALL\n".join(
                 f"""SELECT 'order_detail_a' AS stage, '{c}' AS column_name,
