@@ -36,9 +36,11 @@ SCALE = 2_000_000
 TOP = 2000
 SHARDS = 3
 #: Bits of the table of buckets that have reached the threshold; more bits, fewer spare counts.
-BITS = 1 << 25
+BITS = 1 << 27
 #: Tokens and different words that a task holds before it passes counts on.
 _TOKENS, _WORDS = 2_000_000, 400_000
+#: Words of a language whose hashes a task remembers.
+_KNOWN = 100_000
 #: Words of a text that are taken at a time.
 _SLICE = 100_000
 #: Bits of a word's number in a phrase's key.
@@ -65,7 +67,7 @@ class _Tokens(dict):
 
     def __missing__(self, word: bytes) -> int:
         token = xxhash.xxh32_intdigest(word, self._seed) or 1
-        if len(self) < _WORDS:
+        if len(self) < _KNOWN:
             self[word] = token
         return token
 
