@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from careledger.llm.components import components
-from careledger.llm.shared import cut, documents_of
+from careledger.llm.shared import cut, documents_of, whole
 
 SHINGLE_WORDS = 5
 #: Links: 100 * intersection >= percent * union; PERCENT unless a caller says otherwise.
@@ -140,16 +140,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _links(signed: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that connect the same documents as all links together."""
-    reps = signed.join(classes, "digest").filter("doc_id = rep").select("rep", "bands").distinct()
+    """(a, b): links of classes that connect the same ones as all links together."""
+    reps = signed.join(classes, ["digest"]).filter("doc_id = least").select("rep", "bands").distinct()
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most"))
     members = cut(buckets.join(shared.filter("least < most"), "bucket").select("bucket", "rep", "least"), "buckets")
-    some = members.select("rep").distinct()
-    texts = cut(
-        rows.join(some, rows["doc_id"] == some["rep"]).select("rep", F.col("text").cast("binary").alias("text")).distinct(),
-        "texts",
-    )
+    some = classes.join(members.select("rep").distinct(), "rep").select("rep", "least", F.col("digest").alias("wanted"))
+    # By id first; where an id repeats with another text, only the class's own text stays.
+    own = rows.join(some, rows["doc_id"] == some["least"]).select("rep", "wanted", F.col("text").cast("binary").alias("text"))
+    texts = cut(own.filter(F.unhex(F.sha2("text", 256)) == F.col("wanted")).select("rep", "text").distinct(), "texts")
 
     stars = members.filter("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     first = cut(_verified(stars, texts, percent), "links")
@@ -214,17 +213,8 @@ def _rare_pairs(open_: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_groups(docs: DataFrame, percent: int = PERCENT, layout: tuple[int, int] = (BANDS, ROWS)) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs``.
-
-    Texts are linked from a resemblance of ``percent`` on; ``layout`` is the number of bands
-    and of rows in each, which must suit that bound.
-    A document's component is the least doc_id that links lead to. Equal texts are one
-    class; only a class's row of least doc_id is compared. A null text counts as empty;
-    texts without words are linked with nothing, also not with their copies. Rows without
-    a doc_id are linked with nothing, have no component and are kept. Each row that repeats a
-    doc_id follows its own text. Other columns are not read; an empty table gives no rows.
-    """
+def _placed(docs: DataFrame, percent: int, layout: tuple[int, int]) -> DataFrame:
+    """What ``near_groups`` returns, with the digest of each text."""
     rows = documents_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(
         rows.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
@@ -232,20 +222,46 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, layout: tuple[int, int]
         ),
         "signatures",
     )
-    classes = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
-    groups = components(_links(signed, classes, rows, percent), "a", "b")
-    own = signed.select("doc_id", "digest", "n_shingles").join(classes, "digest", "left")
-    placed = own.join(groups, own["rep"] == groups["node"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return placed.select(
+    least = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least")).filter("least is not null")
+    # A class is named by its least doc_id. Where another class has the same, by a hash of its text, so that
+    # an id that stands for several texts does not link them.
+    shared = least.groupBy("least").agg(F.count("*").alias("texts"))
+    name = F.when(F.col("texts") == 1, F.col("least")).otherwise(F.xxhash64("digest"))
+    classes = cut(least.join(shared, "least").select("digest", "least", name.alias("rep")), "classes")
+    found = components(_links(signed, classes, rows, percent), "a", "b")
+    placed = classes.join(found, classes["rep"] == found["node"], "left").select(
+        "digest", "least", F.coalesce("component", "rep").alias("name")
+    )
+    groups = placed.join(placed.groupBy("name").agg(F.min("least").alias("component")), "name").select("digest", "component")
+    own = signed.select("doc_id", "digest", "n_shingles").join(groups, "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return own.select(
         "doc_id",
+        "digest",
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
 
 
+def near_groups(docs: DataFrame, percent: int = PERCENT, layout: tuple[int, int] = (BANDS, ROWS)) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``docs``.
+
+    Texts are linked from a resemblance of ``percent`` on; ``layout`` is the number of bands
+    and of rows in each, which must suit that bound.
+    A document's component is the least doc_id that links lead to. Equal texts are one
+    class; only a class's row of least doc_id is compared. A null text counts as empty;
+    texts without words are linked with nothing, also not with their copies. Rows without
+    a doc_id are linked with nothing, have no component and are kept. Each row that repeats a
+    doc_id follows its own text, also where the texts differ. Other columns are not read; an
+    empty table gives no rows.
+    """
+    return _placed(docs, percent, layout).drop("digest")
+
+
 def near_unique(docs: DataFrame, percent: int = PERCENT, layout: tuple[int, int] = (BANDS, ROWS)) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    dropped = near_groups(docs, percent, layout).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    dropped = _placed(docs, percent, layout).filter("not kept").select("doc_id", "digest").distinct()
+    text = F.sha2(whole().cast("binary"), 256)
+    gone = (docs["doc_id"].cast("long") == dropped["doc_id"]) & (F.unhex(text) == dropped["digest"])
+    return docs.join(dropped, gone, "left_anti")

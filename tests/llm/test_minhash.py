@@ -103,6 +103,21 @@ def test_the_pipeline_links_from_four_fifths_on(spark, make_docs):
     assert mh.near_unique(make_docs(rows)).count() == len(rows)
 
 
+def test_an_id_with_different_texts(make_docs):
+    """Rows follow their own text: what is like nothing stays, also under the id of a near copy."""
+    a = " ".join(f"a{i}" for i in range(40))
+    b = " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a), (6, a + " x"), (6, b), (7, b + " y"), (6, b), (6, "c " * 9), (8, a.upper())]
+    docs = make_docs(rows)
+    # No row of b's component has a doc_id below 6; the row of 6 that is like 5 goes.
+    found = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in mh.near_groups(docs).collect())
+    assert found == [
+        (5, 36, 5, True), (6, 1, 6, True), (6, 36, 6, True), (6, 36, 6, True), (6, 37, 5, False), (7, 37, 6, False), (8, 36, 5, False)
+    ]
+    for left in (mh.near_unique(docs), corpus_pipeline.near_dedup(None, docs, "")):
+        assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted([(5, a), (6, b), (6, b), (6, "c " * 9)])
+
+
 def test_unique_keeps_columns(make_docs, odd_rows):
     docs = make_docs(odd_rows)
     left = mh.near_unique(docs)
