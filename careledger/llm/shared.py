@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only a session without one, as in local tests, gets a temporary folder.
+    Only a local session without one, as in tests, gets a temporary folder. On a cluster that would
+    be a folder of each machine's own, so a session there must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master!r} share")
         folder = tempfile.mkdtemp(prefix="careledger-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
