@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careledger.llm.components import components
-from careledger.llm.shared import lowered
+from careledger.llm.shared import cut, lowered
 
 ALLOW, BLOCK = "allow", "block"
 
@@ -76,9 +76,56 @@ def canonical_url(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, plain).otherwise(url)
 
 
+#: Comments and elements whose content is no markup; one that does not end reaches to the end.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)" + "".join(
+    rf"|<{tag}\b.*?(?:</{tag}\b|\z)" for tag in ("script", "style", "textarea", "title", "noscript", "template")
+)
+#: Named character references that URLs need.
+_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
+def decoded(text: Column) -> Column:
+    """A text with its character references replaced, each once; unknown ones stay."""
+
+    def character(number: Column, part: Column) -> Column:
+        sound = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        rest = F.regexp_extract(part, r"(?s)^[^;]*;(.*)$", 1)
+        return F.when(sound, F.concat(char, rest)).otherwise(F.concat(F.lit("&"), part))
+
+    def part_of(part: Column) -> Column:
+        decimal, hexadecimal = r"^#([0-9]{1,7});", r"^#[xX]([0-9a-fA-F]{1,6});"
+        found = F.when(part.rlike(decimal), character(F.regexp_extract(part, decimal, 1).cast("int"), part))
+        number = F.conv(F.regexp_extract(part, hexadecimal, 1), 16, 10).cast("int")
+        found = found.when(part.rlike(hexadecimal), character(number, part))
+        for name, char in _NAMED.items():
+            found = found.when(part.startswith(name + ";"), F.concat(F.lit(char), F.substring(part, len(name) + 2, 2**31 - 1)))
+        return found.otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    later = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), part_of)
+    return F.when(F.instr(text, "&") == 0, text).otherwise(F.concat(parts[0], F.array_join(later, "")))
+
+
 def _attribute(tag: Column, name: str) -> Column:
-    value = F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", 0)
-    return F.regexp_replace(F.regexp_replace(value, r"(?s)^[^=]*=\s*", ""), r"^[\"']|[\"']$", "")
+    """The value of a tag's first attribute of this name as written; empty without one."""
+    value = F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1)
+    return F.regexp_replace(value, r"(?s)^[\"']|[\"']$", "")
+
+
+def _targets(tags: Column, name: str) -> Column:
+    """The attributes of this name of an array of tags, decoded and trimmed, without empty ones."""
+    # One step each, as a value that is used several times is then computed once.
+    values = F.transform(F.transform(tags, lambda t: _attribute(t, name)), decoded)
+    return F.filter(F.transform(values, lambda v: F.trim(v, F.lit(" \t\n\r\f"))), lambda v: v != "")
+
+
+def _refresh_target(value: Column) -> Column:
+    """Of what follows ``url=`` in a refresh, the URL without its quotes."""
+    plain = value
+    for quote in "\"'":
+        plain = F.when(value.startswith(quote), F.regexp_extract(value, f"(?s)^{quote}([^{quote}]*)", 1)).otherwise(plain)
+    return F.trim(plain)
 
 
 def _without_dots(path: Column) -> Column:
@@ -127,27 +174,48 @@ def page_edges(pages: DataFrame) -> DataFrame:
     """(source, target): the redirect and canonical-link edges that pages give.
 
     A page's canonical links, its ``refresh`` redirects, and the server redirects to the
-    canonical forms of its own URL and of those targets. Null URLs give none.
+    canonical forms of its own URL and of those targets. Targets are resolved against the
+    page's first ``<base href>``, if it has one. Comments, scripts and the like hold no links;
+    empty targets name nothing. Null URLs give none.
     """
     url = F.col("url")
-    tags = F.regexp_extract_all("html", F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), 1)
-    linked = F.transform(
-        F.filter(tags, lambda t: t.rlike(r"(?is)^<link\b") & t.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b")),
-        lambda t: _attribute(t, "href"),
+    shown = F.regexp_replace(F.coalesce("html", F.lit("")), HIDDEN, " ")
+    tags = pages.filter(url.isNotNull()).select(
+        url, F.regexp_extract_all(shown, F.lit(r"(?is)(<(?:link|meta|base)\b[^>]*>)"), 1).alias("tags")
+    )
+    linked = F.filter(
+        "tags",
+        lambda t: t.rlike(r"(?i)^<link\b")
+        & F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical"),
+    )
+    moved = F.filter(
+        "tags", lambda t: t.rlike(r"(?i)^<meta\b") & (F.trim(F.lower(_attribute(t, "http-equiv"))) == "refresh")
+    )
+    urls = F.transform(
+        _targets(moved, "content"),
+        lambda v: F.regexp_extract(v, r"(?is)^[0-9.\s]*[;,\s]\s*url\s*=\s*(.*)$", 1),
+    )
+    declared = F.array_union(
+        _targets(linked, "href"), F.filter(F.transform(urls, _refresh_target), lambda v: v != "")
     )
-    moved = F.transform(
-        F.filter(tags, lambda t: t.rlike(r"(?is)^<meta\b") & t.rlike(r"(?is)http-equiv\s*=\s*[\"']?refresh\b")),
-        lambda t: F.regexp_extract(_attribute(t, "content"), r"(?is)url\s*=\s*(.*)$", 1),
+    bases = F.transform(
+        F.slice(_targets(F.filter("tags", lambda t: t.rlike(r"(?i)^<base\b")), "href"), 1, 1),
+        lambda t: absolute_url(t, url),
     )
-    declared = F.array_union(F.coalesce(linked, F.array()), F.coalesce(moved, F.array()))
-    found = F.filter(F.transform(declared, lambda t: absolute_url(F.trim(t), url)), lambda t: t.isNotNull())
+    # Most pages have no such tag.
+    none = F.array().cast("array<string>")
+    some = F.size("tags") > 0
+    read = tags.select(
+        url, F.when(some, bases).otherwise(none).alias("bases"), F.when(some, declared).otherwise(none).alias("declared")
+    ).withColumn("base", F.coalesce(F.get("bases", F.lit(0)), url))
+    found = F.filter(F.transform("declared", lambda t: absolute_url(t, F.col("base"))), lambda t: t.isNotNull())
 
     def edge(source: Column, target: Column) -> Column:
         return F.struct(source.alias("source"), target.alias("target"))
 
     pairs = F.flatten(F.transform(found, lambda t: F.array(edge(url, t), edge(t, canonical_url(t)))))
     edges = F.explode(F.array_append(pairs, edge(url, canonical_url(url)))).alias("edge")
-    return pages.filter(url.isNotNull()).select(edges).select("edge.source", "edge.target").distinct()
+    return read.select(edges).select("edge.source", "edge.target").distinct()
 
 
 def judge(pages: DataFrame, edges: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -158,7 +226,8 @@ def judge(pages: DataFrame, edges: DataFrame, rules: Sequence[Rule]) -> DataFram
     an empty host and path and no rule; they are allowed, unless such a text has aliases.
     Repeated rows are judged alike; other columns are not read.
     """
-    nodes = components(edges, "source", "target").withColumnRenamed("node", "url")
+    # Written, as the components read it several times and pages need parsing once.
+    nodes = components(cut(edges, "edges"), "source", "target").withColumnRenamed("node", "url")
     url = F.col("url")
     ruled = fitting_rule(host_of(url), path_of(url), rules)
     # One row per component. Only its summary is joined back.
@@ -176,7 +245,10 @@ def judge(pages: DataFrame, edges: DataFrame, rules: Sequence[Rule]) -> DataFram
     own = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
     own = own.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
     inherited = F.when(F.col("blocked"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))
-    return own.join(aliases, "url", "left").select(
+    # Null URLs have no alias and are spread by their own key.
+    hole = F.when(url.isNull(), 1 + F.pmod(F.xxhash64("page_id"), F.lit(100_000))).otherwise(F.lit(0).cast("bigint"))
+    own, aliases = own.withColumn("hole", hole), aliases.withColumn("hole", F.lit(0).cast("bigint"))
+    return own.join(aliases, ["url", "hole"], "left").select(
         "page_id",
         "host",
         "path",

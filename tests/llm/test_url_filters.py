@@ -111,3 +111,42 @@ def test_odd_rows(judged, spark):
     assert (found[1].host, found[1].path, found[1].rule, found[1].verdict) == ("", "", None, "allow")
     assert found[3].verdict == "allow" and found[None].verdict == found[5].verdict == "block"
     assert len(judged([])) == 0
+
+
+def edges_of(spark, url, html):
+    pages = spark.createDataFrame([(url, html)], "url string, html string")
+    return {r.target for r in page_edges(pages).collect() if r.source == url} - {canonical(spark, url)}
+
+
+def canonical(spark, url):
+    return spark.createDataFrame([(url,)], "u string").select(canonical_url(F.col("u"))).first()[0]
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("""<meta http-equiv="refresh" content="0; url='http://bad.net/x'">""", {"http://bad.net/x"}),
+        ("""<meta content='5;URL="http://bad.net/x" ' http-equiv=Refresh>""", {"http://bad.net/x"}),
+        ("""<meta http-equiv=refresh content="30">""", set()),
+        ("""<link rel="alternate  canonical" href=http://bad.net/x>""", {"http://bad.net/x"}),
+        ("""<link rel="canonicals" href="http://bad.net/x"><link rel=canonical data-href="http://bad.net/y">""", set()),
+        ("""<base href="http://bad.net/a/"><base href="http://no.net/"><link rel=canonical href="b">""", {"http://bad.net/a/b"}),
+        ("""<base target=_top><link href="b" rel=canonical>""", {"http://one.com/p/b"}),
+        ("""<base href="/q/"><link href="b" rel=canonical>""", {"http://one.com/q/b"}),
+        ("""<!-- <link rel=canonical href="http://bad.net/x"> -->""", set()),
+        ("""<!-- <link rel=canonical href="http://bad.net/x">""", set()),
+        ("""<script>'<link rel=canonical href="http://bad.net/x">'</script><STYLE> <link rel=canonical href=/no>""", set()),
+        ("""<!-- --><link rel=canonical href="http://bad.net/x"><!-- -->""", {"http://bad.net/x"}),
+        ("""<link rel=canonical href=" http://bad.net/x?a=1&amp;b=2&#38;c&#x2F;&nbsp;&amp;lt;&#0; ">""", {"http://bad.net/x?a=1&b=2&c/&nbsp;&lt;&#0;"}),
+        ("""<link rel=canonical href="">""", set()),
+        ("""<link rel=canonical href="/a&#128077;&#xD800;&#9999999;&">""", {"http://one.com/a👍&#xD800;&#9999999;&"}),
+    ],
+)
+def test_links_of_a_page(spark, html, want):
+    assert edges_of(spark, "http://one.com/p/q", html) == want
+
+
+def test_many_null_urls(judged):
+    found = judged([(i, None, "") for i in range(500)] + [(900, "http://bad.net", "")])
+    assert len(found) == 501 and found[900].verdict == "block"
+    assert all(found[i].verdict == "allow" and found[i].alias is None for i in range(500))
