@@ -77,9 +77,10 @@ def canonical_url(url: Column) -> Column:
 
 
 #: Comments and elements whose content is no markup; one that does not end reaches to the end.
-HIDDEN = r"(?is)<!--.*?(?:-->|\z)" + "".join(
-    rf"|<{tag}\b.*?(?:</{tag}\b|\z)" for tag in ("script", "style", "textarea", "title", "noscript", "template")
+HIDDEN = r"(?is)<(?:!--.*?(?:-->|\z)" + "".join(
+    rf"|{tag}\b.*?(?:</{tag}\b|\z)" for tag in ("script", "style", "textarea", "title", "noscript", "template")
 )
+HIDDEN += ")"
 #: Named character references that URLs need.
 _NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
 
