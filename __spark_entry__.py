@@ -16,6 +16,7 @@ from careledger.operators import checks, events, orders
 from careledger.operators.deliveries import delivery_first_leg, delivery_legs
 from careledger.operators.joins import Side, join_order_sides, spread_left_join
 from careledger.operators.selection import exact_percentiles
+from careledger.operators.timeline import order_events, transitions
 from careledger.params import Params
 from careledger.plans.report_a import labelled, market, report_a, stages_a
 from careledger.plans.report_b import reason_group as reason_group_b
@@ -375,6 +376,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
             ("order_created_time_utc", "order_created_time_local"),
         ],
     ),
+    "check_transitions": lambda t: transitions(order_events(t)),
     "check_sign": lambda t: checks.sign_check(
         _detail_a(t),
         "order_detail_a",

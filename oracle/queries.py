@@ -87,6 +87,30 @@ def audit(name: str, left: str, left_key: str, right: str, right_key: str) -> st
                 AS left_join_rows)"""
 
 
+TRANSITIONS = """
+    SELECT * FROM (WITH happened AS (
+        SELECT DISTINCT line, order_uuid, order_created_time_utc AS moment, 1 AS pos, 'created' AS state
+        FROM in_deliveries, (VALUES ('life'), ('care')) AS v(line)
+        UNION ALL SELECT 'life', order_uuid, delivery_created_time_utc, 2, 'assigned' FROM in_deliveries
+        UNION ALL SELECT 'life', order_uuid, dropoff_complete_time_utc, 3, 'delivered' FROM in_deliveries
+        UNION ALL SELECT 'life', order_uuid, cancellation_time_utc, 4, 'cancelled' FROM in_cancellations
+        WHERE order_status_cancel_ind
+        UNION ALL SELECT 'care', order_uuid, created_time, 5, 'contacted' FROM in_tickets
+        UNION ALL SELECT 'care', order_uuid, adjustment_timestamp_utc, 6, 'adjusted' FROM in_adjustments
+        UNION ALL SELECT 'care', order_uuid, issue_timestamp_utc, 7, 'conceded' FROM in_concessions
+    ), steps AS (
+        SELECT line, order_uuid, state AS to_state,
+               coalesce(lag(state) OVER (PARTITION BY line, order_uuid ORDER BY moment, pos), 'start') AS from_state
+        FROM happened WHERE order_uuid IS NOT NULL AND moment IS NOT NULL
+    )
+    SELECT line, from_state, to_state,
+           CASE WHEN from_state = 'start' THEN to_state = 'created'
+                WHEN to_state = 'created' THEN FALSE
+                ELSE from_state || '>' || to_state NOT IN ('cancelled>assigned', 'cancelled>delivered',
+                     'cancelled>cancelled', 'delivered>cancelled') END AS legal,
+           count(DISTINCT order_uuid) AS orders, count(*) AS times
+    FROM steps GROUP BY line, from_state, to_state)"""
+
 AUDITS = [
     ("adjustments-tickets", "in_adjustments", "ticket_id", "in_tickets", "ticket_id"),
     ("concessions-tickets", "in_concessions", "ticket_id", "in_tickets", "ticket_id"),
@@ -427,6 +451,7 @@ def oracle_queries(sweep_rows) -> dict[str, str]:
                 },
             )
         ),
+        "check_transitions": build(TRANSITIONS),
         "check_sign": a(
             long_form(
                 "detail_a",
