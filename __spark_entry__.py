@@ -191,6 +191,14 @@ def early_filter(t: Tables) -> DataFrame:
     return checks.same_rows(early, late)
 
 
+def reason_sources(t: Tables) -> DataFrame:
+    """Tickets whose reason is not their primary one, by comparing the two names of all tickets as bags."""
+    named = reasons(t)
+    preferred = named.select("ticket_id", "order_uuid", F.col("contact_reason").alias("name"))
+    primary = named.select("ticket_id", "order_uuid", F.col("primary_name").alias("name"))
+    return checks.same_rows_by_parts(preferred, primary, ["ticket_id"])
+
+
 def join_audit(t: Tables) -> DataFrame:
     """Every join of the two reports, on the inputs or stages it really reads."""
     c = F.col
@@ -351,6 +359,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "check_money_scale": money_scale,
     "check_filter_coverage": filter_coverage,
     "check_early_filter": early_filter,
+    "check_reason_sources": reason_sources,
     "check_in_window": lambda t: checks.in_window(
         _detail_a(t), "order_detail_a", ["date1", "date2", "start_of_week"], WINDOW_A
     ),

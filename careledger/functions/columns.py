@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 
 def sql_text(text: str) -> str:
@@ -90,3 +91,23 @@ def hours(n: int) -> Column:
 
 def minutes(n: int) -> Column:
     return F.make_dt_interval(mins=F.lit(n))
+
+
+def row_marks(columns: Sequence[str], nested: Sequence[str] = ()) -> list[Column]:
+    """Two independent hashes of a row, as decimals that can be added up without overflow.
+
+    A hash skips NULLs, so where they are is hashed too: (1, NULL) and (NULL, 1) differ.
+    ``nested`` names the columns with NULLs inside, which are hashed as JSON. Sums of both marks
+    over a bag of rows do not depend on their order; different bags share them by chance only.
+    """
+    missing = F.array(*[F.col(name).isNull() for name in columns])
+    inner = set(nested)
+    values = [
+        F.to_json(name, {"ignoreNullFields": "false"}) if name in inner else F.col(name) for name in columns
+    ]
+    return [F.xxhash64(F.lit(seed), missing, *values).cast("decimal(20,0)") for seed in (1, 2)]
+
+
+def nested_columns(df: DataFrame) -> list[str]:
+    """The columns of ``df`` that hold arrays, maps or structs."""
+    return [f.name for f in df.schema if isinstance(f.dataType, (ArrayType, MapType, StructType))]

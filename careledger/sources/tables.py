@@ -8,6 +8,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from careledger.functions.columns import nested_columns, row_marks
+
 # Columns the reports read, as Spark DDL. `adjustment_id` and `concession_id` only
 # break ties between events of the same instant; a table without them still works.
 SCHEMAS = {
@@ -194,7 +196,7 @@ def write_report(report: DataFrame, path: str, by: str | None = None, mode: str
 def _marks(rows: DataFrame, by: str) -> DataFrame:
     """Per day the number of rows and two sums of row hashes, which no order of rows changes."""
     names = [name for name in sorted(rows.columns) if name != by]
-    sums = [F.sum(F.xxhash64(F.lit(seed), *names).cast("decimal(20,0)")) for seed in (1, 2)]
+    sums = [F.sum(mark) for mark in row_marks(names, nested_columns(rows))]
     return rows.groupBy(F.col(by).alias("day")).agg(F.struct(F.count("*"), *sums).alias("mark"))
 
 

@@ -400,6 +400,13 @@ def oracle_queries(sweep_rows) -> dict[str, str]:
             "SELECT count(*) AS left_rows, count(*) AS right_rows,"
             " CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right FROM st_adjustment"
         ),
+        "check_reason_sources": build(
+            """SELECT (SELECT count(*) FROM named_tickets) AS left_rows, (SELECT count(*) FROM named_tickets) AS right_rows,
+                 (SELECT count(*) FROM (SELECT ticket_id, order_uuid, contact_reason FROM named_tickets
+                    EXCEPT ALL SELECT ticket_id, order_uuid, primary_name FROM named_tickets)) AS only_left,
+                 (SELECT count(*) FROM (SELECT ticket_id, order_uuid, primary_name FROM named_tickets
+                    EXCEPT ALL SELECT ticket_id, order_uuid, contact_reason FROM named_tickets)) AS only_right"""
+        ),
         "check_in_window": a(
             long_form(
                 "detail_a",

@@ -149,3 +149,69 @@ def test_observed_checks_of_a_whole_stage(spark, tables, params, tmp_path):
     watched.write.format("noop").mode("overwrite").save()
     alone = [tuple(r) for check in measure for r in check(detail, "o3").collect()]
     assert sorted(map(repr, observed.rows())) == sorted(map(repr, alone))
+
+
+def bags(spark):
+    draw = random.Random(9)
+    rows = [(draw.randrange(300), draw.choice(["a", "b", None]), draw.choice([1, None]), draw.choice([1, None])) for _ in range(4000)]
+    schema = "k int, t string, x int, y int"
+    return rows, spark.createDataFrame(rows, schema), schema
+
+
+@pytest.mark.parametrize("keys", [None, ["k"]])
+def test_same_rows_by_parts_like_same_rows(spark, keys):
+    rows, left, schema = bags(spark)
+    moved = [(k, t, y, x) if i == 7 or i % 500 == 0 else (k, t, x, y) for i, (k, t, x, y) in enumerate(rows)]
+    others = [
+        left.repartition(7),
+        left.limit(0),
+        left.union(left),
+        spark.createDataFrame(rows[:-3] + [rows[0]] * 2, schema),
+        spark.createDataFrame(moved, schema),
+        spark.createDataFrame(moved, schema).select("y", "x", "t", "k"),
+    ]
+    for right in others:
+        for one, two in ((left, right), (right, left)):
+            assert checks.same_rows_by_parts(one, two, keys, parts=64).first() == checks.same_rows(one, two).first()
+    empty = checks.same_rows_by_parts(left.limit(0), left.limit(0)).first()
+    assert tuple(empty) == (0, 0, 0, 0)
+
+
+def test_a_value_that_changes_places_with_a_null_is_seen(spark, tmp_path):
+    """Hashes skip NULLs; the marks do not."""
+    a = spark.createDataFrame([(date(2024, 1, 1), 5, None)], "date1 date, x int, y int")
+    b = spark.createDataFrame([(date(2024, 1, 1), None, 5)], "date1 date, x int, y int")
+    assert tuple(checks.same_rows_by_parts(a, b, ["date1"]).first()) == (1, 1, 1, 1)
+    path, staging, day = str(tmp_path / "report"), str(tmp_path / "next"), date(2024, 1, 1)
+    write_days(a, path, staging, day, day)
+    assert write_days(b, path, staging, day, day) == [day]
+    assert spark.read.parquet(path).first().y == 5
+
+
+def test_nested_columns_are_compared_too(spark):
+    a = spark.createDataFrame([(1, [None, 2], (None, 3))], "k int, l array<int>, s struct<p: int, q: int>")
+    b = spark.createDataFrame([(1, [2, None], (3, None))], "k int, l array<int>, s struct<p: int, q: int>")
+    assert tuple(checks.same_rows_by_parts(a, b, ["k"]).first()) == (1, 1, 1, 1)
+    assert tuple(checks.same_rows_by_parts(a, a, ["k"]).first()) == (1, 1, 0, 0)
+
+
+def test_equal_frames_shuffle_no_rows(spark, tmp_path):
+    """What the exchanges of two equal frames carry are sums per part and task."""
+    path = str(tmp_path / "rows")
+    spark.range(200_000).select("id", (F.col("id") % 7).alias("v")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    context = spark.sparkContext
+    store = context._jsc.sc().statusStore()
+
+    def most_shuffled(frame, group):
+        context.setJobGroup(group, "")
+        try:
+            assert tuple(frame.first())[:2] == (200_000, 200_000)
+        finally:
+            context._jsc.clearJobGroup()
+        tracker = context.statusTracker()
+        stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+        return max(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+    by_parts = most_shuffled(checks.same_rows_by_parts(rows, rows.select("*"), ["id"], parts=16), "parts")
+    assert 0 < by_parts < 1000 < 100_000 < most_shuffled(checks.same_rows(rows, rows.select("*")), "whole")
