@@ -13,13 +13,15 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one order that a task can take: an order with more in any table is hot.
 ROWS_PER_TASK = 1_000_000
-#: Hot orders that a run accepts, as their rows of unique sides are broadcast.
+#: Hot orders that a run accepts and the bytes of their ids, as their table is broadcast.
 MOST_HOT = 100_000
+MOST_HOT_BYTES = 16_000_000
 
 Hot = Mapping[str, int]
 
@@ -56,16 +58,20 @@ def frequent_orders(
     return {r[column]: r["n"] for r in counts.groupBy(column).agg(F.max("n").alias("n")).collect()}
 
 
-def slots_of(hot: Hot, rows_per_task: int = ROWS_PER_TASK) -> Column:
-    """In how many slots each hot order is cut: as its rows need, as a power of two."""
-    classes: dict[int, list[str]] = {}
-    for order, rows in hot.items():
-        needed = max(2, -(-rows // rows_per_task))
-        classes.setdefault(1 << (needed - 1).bit_length(), []).append(order)
-    order = F.col("order_uuid")
-    (first, ids), *others = sorted(classes.items(), reverse=True)
-    chain = F.when(order.isin(*ids), first)
-    return reduce(lambda c, item: c.when(order.isin(*item[1]), item[0]), others, chain).otherwise(2)
+def hot_table(spark: SparkSession, hot: Hot, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """order_uuid and _slots: in how many slots each hot order is cut, as its rows need, as a power of two.
+
+    A local table of a checked size, not literals in the plan; it is the only thing that is broadcast by hint.
+    """
+    size = sum(len(order.encode()) for order in hot)
+    if len(hot) > MOST_HOT or size > MOST_HOT_BYTES:
+        raise ValueError(
+            f"{len(hot)} hot orders of {size} bytes are more than {MOST_HOT} or {MOST_HOT_BYTES}: raise the rows per task"
+        )
+    needed = [max(2, -(-rows // rows_per_task)) for rows in hot.values()]
+    slots = [1 << (n - 1).bit_length() for n in needed]
+    table = pa.table({"order_uuid": pa.array(list(hot), pa.string()), "_slots": pa.array(slots, pa.int64())})
+    return spark.createDataFrame(table, "order_uuid string, _slots bigint")
 
 
 def join_order_sides(
@@ -102,11 +108,11 @@ def join_order_branches(
     order = F.col(keys[0])
     known = base.filter(order.isNotNull())
     if hot:
-        _check_bound(hot)
-        is_hot = order.isin(*hot)
+        table = _named(hot_table(base.sparkSession, hot), keys)
+        usual = [Side(_usual(s.rows, table, keys), s.how, s.unique, s.copies) for s in sides]
         parts = [
-            _chain(known.filter(~is_hot), _only(sides, ~is_hot), keys, counted),
-            _hot_chain(known.filter(is_hot), _only(sides, is_hot), keys, counted, slots_of(hot)),
+            _chain(_usual(known, table, keys), usual, keys, counted),
+            _hot_chain(known, sides, keys, counted, table),
         ]
     else:
         parts = [_chain(known, sides, keys, counted)]
@@ -118,20 +124,13 @@ def join_order_branches(
 def left_join_unique(
     left: DataFrame, right: DataFrame, keys: Sequence[str], hot: Hot | None = None
 ) -> DataFrame:
-    """Left join to a side with one row per key; hot orders stay where they are.
-
-    Their rows of ``right`` are broadcast: at most one per hot id and window. ``left``
-    should have no row without a key.
-    """
+    """Left join to a side with one row per key; hot orders are cut into slots."""
     keys = list(keys)
     if not hot:
         return left.join(right, keys, "left")
-    _check_bound(hot)
-    is_hot = F.col(keys[0]).isin(*hot)
-    spread = left.filter(~is_hot).join(right.filter(~is_hot), keys, "left")
-    return spread.unionByName(
-        left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), keys, "left")
-    )
+    table = _named(hot_table(left.sparkSession, hot), keys)
+    spread = _usual(left, table, keys).join(_usual(right, table, keys), keys, "left")
+    return spread.unionByName(_hot_chain(left, [Side(right)], keys, False, table))
 
 
 def spread_left_join(
@@ -152,13 +151,23 @@ def spread_left_join(
     return left.withColumn("_spread", spread).join(known, [*keys, "_spread"], "left").drop("_spread")
 
 
-def _check_bound(hot: Hot) -> None:
-    if len(hot) > MOST_HOT:
-        raise ValueError(f"{len(hot)} hot orders are more than {MOST_HOT}: raise the rows per task")
+def _named(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return table.withColumnRenamed("order_uuid", keys[0])
+
+
+def _usual(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of orders that are not hot; rows without an order among them."""
+    return df.join(F.broadcast(table.select(keys[0])), keys[0], "left_anti")
+
+
+def _hot(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of hot orders with their ``_slots``."""
+    return df.join(F.broadcast(table), keys[0]).select(*df.columns, "_slots")
 
 
-def _only(sides: Sequence[Side], condition: Column) -> list[Side]:
-    return [Side(s.rows.filter(condition), s.how, s.unique, s.copies) for s in sides]
+def _every_slot(df: DataFrame) -> DataFrame:
+    """Each row once per slot of its order."""
+    return df.withColumn("_slot", F.explode(F.expr("sequence(0, cast(_slots AS int) - 1)"))).drop("_slots")
 
 
 def _counts(sides: Sequence[Side]) -> Column:
@@ -187,18 +196,17 @@ def _unmatched(base: DataFrame, sides: Sequence[Side], keys: list[str], counted:
     return base.withColumns(empty)
 
 
-def _slotted(df: DataFrame, slots: Column, slot: str, copies: str) -> DataFrame:
-    """Equal rows as one with a count, and every row's count dealt out to slots.
+def _slotted(df: DataFrame, slot: str, copies: str) -> DataFrame:
+    """Equal rows as one with a count, and every row's count dealt out to its ``_slots``.
 
     Different rows spread by their hash. Many copies of one row become one row in
     each slot that carries its part of the count.
     """
-    columns = df.columns
+    columns = [name for name in df.columns if name != "_slots"]
     return (
         df.groupBy(*columns)
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_slots", slots)
-        .withColumn("_part", F.explode(F.expr("sequence(0, _slots - 1)")))
+        .agg(F.count("*").alias("_rows"), F.max("_slots").alias("_slots"))
+        .withColumn("_part", F.explode(F.expr("sequence(0L, _slots - 1)")))
         .withColumn(copies, F.expr("cast(floor((_rows + _slots - 1 - _part) / _slots) AS bigint)"))
         .filter(F.col(copies) > 0)
         .withColumn(slot, F.pmod(F.xxhash64(*columns) + F.col("_part"), F.col("_slots")).cast("int"))
@@ -207,28 +215,29 @@ def _slotted(df: DataFrame, slots: Column, slot: str, copies: str) -> DataFrame:
 
 
 def _hot_chain(
-    base: DataFrame, sides: Sequence[Side], keys: list[str], counted: bool, slots: Column
+    base: DataFrame, sides: Sequence[Side], keys: list[str], counted: bool, table: DataFrame
 ) -> DataFrame:
     """The chain for few order ids with very many rows.
 
-    A side with one row per key is at most one row per hot id and window, so it is
-    broadcast. Any other side is cut into slots by its rows, and ``base`` by its
-    own; each base slot meets each side slot once, so a task holds one part of
-    both. Side slots that have no row for a key are left out first, which keeps
-    outer joins exact.
+    ``base`` is cut into slots by its rows. A side with one row per key has that row in every
+    slot. Any other side is cut into slots by its own rows, and each base slot
+    meets each side slot once, so a task holds one part of both. Side slots that have no row
+    for a key are left out first, which keeps outer joins exact.
     """
-    joined = _slotted(base, slots, "_slot", "_n").drop("_slots")
+    joined = _slotted(_hot(base, table, keys), "_slot", "_n").drop("_slots")
     for side in sides:
+        rows = _hot(side.rows, table, keys)
         if side.unique:
-            joined = joined.join(F.broadcast(side.rows), keys, side.how)
+            joined = joined.join(_every_slot(rows), [*keys, "_slot"], side.how)
             continue
-        cut = _slotted(side.rows, slots, "_side_slot", "_side_n")
-        # At most one row per hot id, window and slot; its slots hold a task's rows each.
-        present = cut.select(*keys, "_side_slot").distinct()
-        every = cut.withColumn("_slot", F.explode(F.expr("sequence(0, _slots - 1)"))).drop("_slots")
+        cut = _slotted(rows, "_side_slot", "_side_n")
+        # One row per hot id, window and slot, with as many numbers as the side has slots.
+        present = _every_slot(cut.groupBy(*keys, "_slots").agg(F.collect_set("_side_slot").alias("_side_slots")))
         joined = (
-            joined.join(F.broadcast(present), keys, side.how)
-            .join(every, [*keys, "_side_slot", "_slot"], side.how)
+            joined.join(present, [*keys, "_slot"], side.how)
+            .withColumn("_side_slot", F.explode_outer("_side_slots"))
+            .drop("_side_slots")
+            .join(_every_slot(cut), [*keys, "_side_slot", "_slot"], side.how)
             .withColumn("_n", F.col("_n") * F.coalesce("_side_n", F.lit(1)))
             .drop("_side_slot", "_side_n")
         )

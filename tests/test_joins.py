@@ -7,10 +7,10 @@ from careledger.operators import joins
 from careledger.operators.joins import (
     Side,
     frequent_orders,
+    hot_table,
     join_order_branches,
     join_order_sides,
     left_join_unique,
-    slots_of,
     spread_left_join,
 )
 
@@ -83,14 +83,13 @@ def test_copies_count_the_rows(frames, bag, hot):
 
 def test_copies_of_one_row_are_dealt_out_to_all_slots(spark):
     df = spark.range(1000).select(F.lit("hot").alias("order_uuid"), F.lit(1).alias("v"))
-    cut = joins._slotted(df, F.lit(8), "slot", "n").collect()
+    cut = joins._slotted(df.withColumn("_slots", F.lit(8).cast("bigint")), "slot", "n").collect()
     assert sorted(r.slot for r in cut) == list(range(8)) and {r.n for r in cut} == {125}
 
 
 def test_slots_follow_the_rows(spark):
     hot = {"a": 1_000_001, "b": 5_000_000, "c": 10**9, "d": 3}
-    df = spark.createDataFrame([(k,) for k in hot], "order_uuid string")
-    found = {r.order_uuid: r.n for r in df.select("order_uuid", slots_of(hot).alias("n")).collect()}
+    found = {r.order_uuid: r._slots for r in hot_table(spark, hot).collect()}
     assert found == {"a": 2, "b": 8, "c": 1024, "d": 2}
 
 
@@ -113,6 +112,45 @@ def test_too_many_hot_orders_are_refused(frames, monkeypatch):
         left_join_unique(base, unique, KEYS, {"hot": 1, "o3": 1})
 
 
+def test_hot_ids_of_too_many_bytes_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(joins, "MOST_HOT_BYTES", 10)
+    assert hot_table(spark, {"a" * 10: 1}).count() == 1
+    with pytest.raises(ValueError, match="11 bytes"):
+        hot_table(spark, {"a" * 11: 1})
+
+
+def test_hot_orders_are_a_table_not_literals(spark, frames):
+    """The plan does not grow with the ids, and only their table is broadcast by hint."""
+    base, legs, cancels, unique = frames
+    sides = [Side(legs, "inner", unique=False), Side(cancels, unique=False), Side(unique)]
+
+    def plan(n):
+        joined = join_order_sides(base, sides, KEYS, {"hot": 5_000_000} | {f"h{i}": 2_000_000 for i in range(n)})
+        return joined._jdf.queryExecution().optimizedPlan().toString()
+
+    small, large = plan(5), plan(5000)
+    assert "h4999" not in large and len(large) < 1.2 * len(small)
+    hinted = [line for line in large.splitlines() if "Join" in line and "strategy=broadcast" in line]
+    assert hinted and not any("_slot#" in line for line in hinted)
+
+
+def test_a_hot_order_is_not_gathered(spark):
+    """Without broadcasts of its sides, no task of the join sees more than some slots of the order."""
+    base = spark.range(40_000).select(F.lit("hot").alias("order_uuid"), "id")
+    unique = spark.createDataFrame([("hot", 1)], "order_uuid string, u int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        joined = left_join_unique(base, unique, KEYS, {"hot": 64_000_000})
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(sizes) == 40_000 and max(sizes) < 10_000
+
+
 def test_left_join_unique(frames, bag):
     base, _, _, unique = frames
     known = base.filter("order_uuid is not null")
