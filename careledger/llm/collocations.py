@@ -7,10 +7,11 @@ it is counted, together with all other active phrases of any length, until it ha
 shard once.
 
 The scans count 64-bit hashes. What has reached the threshold goes to the tasks as one bit per
-bucket of hashes, a table of fixed size. Phrases that share hashes or buckets are counted too
-much or too early, never too little: the table loses no bit, so whatever became active stays so
-for a full cycle. A last scan counts the words of all phrases that reached the threshold, which makes
-the counts exact. Counts never leave Spark; the driver sees the bits alone.
+bucket of hashes, a table of a bit per word of the corpus and of bounded size, broadcast once
+and given up when no scan needs it. Phrases that share hashes or buckets are counted too much or
+too early, never too little: the table loses no bit, so whatever became active stays so for a
+full cycle. A last scan counts the words of all phrases that reached the threshold, which makes the counts
+exact. Counts never leave Spark; the driver sees the bits alone.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +37,10 @@ SCALE = 2_000_000
 #: Phrases reported of each language.
 TOP = 2000
 SHARDS = 3
-#: Bits of the table of buckets that have reached the threshold; more bits, fewer spare counts.
+#: Most bits of the table of buckets that have reached the threshold; more bits, fewer spare counts.
 BITS = 1 << 27
+#: Least bits of it.
+_FEW_BITS = 1 << 16
 #: Tokens and different words that a task holds before it passes counts on.
 _TOKENS, _WORDS = 2_000_000, 400_000
 #: Words of a language whose hashes a task remembers.
@@ -73,18 +77,20 @@ class _Tokens(dict):
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """The tokens of each text as unsigned 32-bit numbers, with its shard."""
+    """The tokens of each text as unsigned 32-bit numbers, how many there are, and its shard."""
     known: dict[str, _Tokens] = {}
     for batch in batches:
-        blobs, shard = [], []
+        blobs, sizes, shard = [], [], []
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
             if lang not in known and len(known) > 50:
                 known.clear()
             words, tokens = _words(text.as_py()), known.setdefault(lang, _Tokens(lang))
             blobs.append(np.fromiter(map(tokens.__getitem__, words), np.uint32, len(words)).tobytes())
+            sizes.append(len(words))
             shard.append(zlib.crc32(blobs[-1]) % shards)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(blobs, pa.binary()), pa.array(shard, pa.int32())], ["tokens", "shard"]
+            [pa.array(blobs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(shard, pa.int32())],
+            ["tokens", "size", "shard"],
         )
 
 
@@ -107,12 +113,13 @@ def _set(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def _scan(
     batches: Iterator[pa.RecordBatch],
-    now: np.ndarray | None,
-    earlier: np.ndarray | None,
+    now: Broadcast | None,
+    earlier: Broadcast | None,
     words_too: bool,
     most_tokens: int,
 ) -> Iterator[pa.RecordBatch]:
     """key and n: counts of the hashes of all active phrases."""
+    now, earlier = (table and table.value for table in (now, earlier))
     held: list[np.ndarray] = []
     fresh: list[np.ndarray] = []
     size = 0
@@ -234,7 +241,7 @@ def _spelled(lang: str, held: _Held, table: np.ndarray) -> Iterator[pa.RecordBat
 
 
 def _spell(
-    batches: Iterator[pa.RecordBatch], table: np.ndarray, limits: tuple[int, int, int]
+    batches: Iterator[pa.RecordBatch], table: Broadcast, limits: tuple[int, int, int]
 ) -> Iterator[pa.RecordBatch]:
     most_tokens, most_words, slice_ = limits
     held: dict[str, _Held] = {}
@@ -242,7 +249,7 @@ def _spell(
 
     def passed() -> Iterator[pa.RecordBatch]:
         for lang, own in held.items():
-            yield from _spelled(lang, own, table)
+            yield from _spelled(lang, own, table.value)
         held.clear()
 
     for batch in batches:
@@ -272,20 +279,27 @@ def _bits_of(keys: DataFrame, bits: int) -> np.ndarray:
     return table[: bits // 8]
 
 
-def reached(docs: DataFrame, shards: int, least: int, bits: int, most_tokens: int = _TOKENS) -> np.ndarray:
-    """The table of all phrases of (lang, text) rows that may stand ``least`` times, by dynamic itemset counting."""
+def reached(docs: DataFrame, shards: int, least: int, bits: int, most_tokens: int = _TOKENS) -> Broadcast:
+    """The table of all phrases of (lang, text) rows that may stand ``least`` times, by dynamic itemset counting.
+
+    It has a bit per word, ``bits`` at most. All scans use one size, as a bit that is set must stay set.
+    A table is broadcast once for all scans that use it, and the older ones are given up.
+    """
     spark, path = docs.sparkSession, new_path(docs.sparkSession, "shards")
-    encoded = docs.mapInArrow(partial(_encoded, shards=shards), "tokens binary, shard int")
-    encoded.write.partitionBy("shard").parquet(path)
-    there = spark.read.schema("tokens binary, shard int").parquet(path)
+    schema = "tokens binary, size long, shard int"
+    docs.mapInArrow(partial(_encoded, shards=shards), schema).write.partitionBy("shard").parquet(path)
+    there = spark.read.schema(schema).parquet(path)
+    size = there.agg(F.sum("size")).first()[0] or 0
+    bits = min(bits, max(_FEW_BITS, 1 << (size - 1).bit_length()))
 
     tables: list[np.ndarray] = []
+    sent: list[Broadcast] = []
     state = None
     for step in range(MOST_WORDS * shards):
-        now = tables[-1] if tables else None
-        earlier = tables[step - shards - 1] if step > shards else None
-        if earlier is not None and np.array_equal(now, earlier):
+        old = step - shards - 1
+        if old >= 0 and np.array_equal(tables[-1], tables[old]):
             break  # no phrase has become active in the last cycle
+        now, earlier = sent[-1] if sent else None, sent[old] if old >= 0 else None
         scan = partial(_scan, now=now, earlier=earlier, words_too=step < shards, most_tokens=most_tokens)
         shard = there.filter(F.col("shard") == step % shards).select("tokens")
         counted = shard.mapInArrow(scan, "key long, n long").withColumn("first", F.lit(step))
@@ -296,7 +310,12 @@ def reached(docs: DataFrame, shards: int, least: int, bits: int, most_tokens: in
         running = F.col("first") + shards - 1 > step
         state = cut(merged.filter((F.col("n") >= least) | running), "phrases")
         tables.append(_bits_of(state.filter(F.col("n") >= least), bits))
-    return tables[-1]
+        sent.append(spark.sparkContext.broadcast(tables[-1]))
+        if earlier is not None:
+            earlier.destroy(blocking=True)
+    for table in sent[max(0, len(sent) - 1 - shards) : -1]:
+        table.destroy(blocking=True)
+    return sent[-1]
 
 
 def phrase_counts(
@@ -314,10 +333,13 @@ def phrase_counts(
     rows = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), whole().cast("binary").alias("text")
     )
-    spell = partial(_spell, table=reached(rows, shards, least, bits, limits[0]), limits=limits)
+    table = reached(rows, shards, least, bits, limits[0])
+    spell = partial(_spell, table=table, limits=limits)
     spelled = rows.mapInArrow(spell, "lang string, phrase string, words int, n long")
     counts = spelled.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    return cut(counts.filter((F.col("n") >= least) | (F.col("words") == 0)), "counts")
+    counted = cut(counts.filter((F.col("n") >= least) | (F.col("words") == 0)), "counts")
+    table.destroy(blocking=True)
+    return counted
 
 
 def _phrase(words: str, start: int | Column, length: Column) -> Column:

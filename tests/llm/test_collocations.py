@@ -95,3 +95,21 @@ def test_overlaps_and_long_texts(spark):
 def test_empty_table(spark):
     assert co.collocations(make(spark, [])).count() == 0
     assert co.collocations(make(spark, [("en", None)])).count() == 0
+
+
+def test_tables_of_bits_are_given_up(spark, monkeypatch):
+    """Each is broadcast once, and none stay."""
+    passed, context = [], type(spark.sparkContext)
+    send = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: passed.append(send(self, value)) or passed[-1])
+    rows = prose(3)
+    assert result(co.collocations(make(spark, rows))) == brute(rows)
+    assert passed and len(passed) <= co.MOST_WORDS * co.SHARDS
+    assert all(not x._jbroadcast.isValid() for x in passed)
+
+
+def test_most_and_least_bits_of_the_table(spark):
+    rows = [("en", "a b c d " * 40_000)]
+    docs = make(spark, rows).selectExpr("lang", "cast(text as binary) as text")
+    sizes = [co.reached(docs, 3, 30, bits).value.nbytes * 8 for bits in (co.BITS, 1 << 17, 64)]
+    assert sizes == [1 << 18, 1 << 17, 64]
