@@ -28,6 +28,8 @@ from careledger.llm.shared import cut, documents_of
 from careledger.llm.tokens import word_tokenizer
 
 Run = tuple[int, int]  # a length, how often it stands in the sequence
+#: Texts that a task holds with their ids at a time, of the batch that Spark hands it.
+_SLICE = 500
 
 
 class _Lengths:
@@ -155,7 +157,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) ->
         part = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         end, wide = np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for batch in batches:
+        for batch in (b.slice(at, _SLICE) for b in batches for at in range(0, b.num_rows, _SLICE)):
             rows = []
             for doc_id, ids in zip(
                 batch.column(0).to_pylist(), tokenizer.encode(batch.column(1).to_pylist()), strict=True

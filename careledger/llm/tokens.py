@@ -61,7 +61,7 @@ class WordTokenizer:
         new = list(set(words).difference(known))
         codes = tokenizer.encode_batch_fast([w.decode(encoding) for w in new], add_special_tokens=False)
         ids = {word: np.array(code.ids, "<u4").tobytes() for word, code in zip(new, codes, strict=True)}
-        if len(known) < self._keep:
+        if len(self._known_words) + len(self._known_parts) + len(ids) <= self._keep:
             known |= ids
             return b"".join(map(known.__getitem__, words))
         return b"".join([known[w] if w in known else ids[w] for w in words])

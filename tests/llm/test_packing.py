@@ -92,3 +92,13 @@ def test_words_give_the_ids_of_texts():
     own, plain = WordTokenizer(PATH, keep=500), Tokenizer.from_file(PATH)
     for text, ids in zip(texts, own.encode([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_remembered_words_are_bounded():
+    """In sum over Latin and other texts, also where one text has more words than may be kept."""
+    own, plain = WordTokenizer(PATH, keep=500), Tokenizer.from_file(PATH)
+    texts = [" ".join(f"{sign}{k}q{i}" for i in range(n)) for k, n in enumerate([40, 90, 700, 200, 5]) for sign in ("x", "日")]
+    for _ in range(2):
+        for text, ids in zip(texts, own.encode([t.encode() for t in texts]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert 0 < len(own._known_words) + len(own._known_parts) <= 500
