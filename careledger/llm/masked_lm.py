@@ -52,6 +52,8 @@ PRIOR = 1.0
 #: Bound on all inputs of a softmax below which their exponentials need no shift.
 _SAFE = 40.0
 _LEAST = np.finfo(np.float32).tiny
+#: Rows whose windows a task holds at a time, and groups that windows are dealt to by their hash.
+_SLICE, _GROUPS = 1000, 1024
 #: Different words that a task counts before it passes its counts on.
 _COUNTED = 400_000
 
@@ -293,14 +295,15 @@ def _as_table(like: DataFrame, words: list[bytes]) -> DataFrame:
 
 #: A word between its window: hashes of window and word, its log-share or log-probability,
 #: and the word itself if its share is still to be joined.
-_HIT = pa.struct(
-    [("window", pa.int64()), ("middle", pa.int32()), ("log_prob", pa.float32()), ("word", pa.binary())]
-)
 _HITS = "hits array<struct<window long, middle int, log_prob float, word binary>>"
+#: The same without the word: ``place`` is that in the text, doubled, plus one if the share is known.
+_PACKED = np.dtype([("window", "<i8"), ("middle", "<i4"), ("place", "<i4"), ("log_prob", "<f4")])
 
 
-def _lists(values: pa.Array, lengths: list[int]) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), values)
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, _SLICE):
+            yield batch.slice(start, _SLICE)
 
 
 def encoded(
@@ -310,11 +313,12 @@ def encoded(
     rounds: int = ROUNDS,
     windows: int = 0,
 ) -> DataFrame:
-    """doc_id, line, share, others, hits, their places ``at`` and turn of every row of ``docs``, and a number.
+    """doc_id, line, share, others, hits, their words and turn of every row of ``docs``, and a number.
 
     line holds the tokens, share sums the log-shares of ``known`` words, others has the words
     without token or known share, turn is the round of training. hits are the windows whose
-    hash ``windows`` divides, none if that is 0. Written, as the numbers must stay the same.
+    hash ``windows`` divides, none if that is 0, packed as an array of numbers and the words
+    whose shares are not known. Written, as the numbers must stay the same.
     """
     common = [w for w, _ in known]
     log_shares = np.concatenate([np.zeros(TOKENS), [share for _, share in known]])
@@ -322,9 +326,8 @@ def encoded(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes_of, row = _codes(words, common), TaskContext.get().partitionId() << 40
-        for batch in batches:
-            lines, share, others, sizes = [], [], [], []
-            at, window, middle, log_prob, word = [], [], [], [], []
+        for batch in _sliced(batches):
+            lines, share, others, packed, met = [], [], [], [], []
             for text in batch.column("text"):
                 own = text.as_py().lower().split()
                 codes = np.fromiter(map(codes_of.__getitem__, own), np.int64, len(own))
@@ -336,19 +339,15 @@ def encoded(
                 others.append([own[k] for k in np.flatnonzero(unknown)])
                 if windows:
                     hashes = _windows(codes)
-                    hits = np.flatnonzero(hashes % np.uint64(windows) == 0)
-                    at.append(hits.astype(np.int32))
-                    window.append(hashes[hits].view(np.int64))
-                    middle.append(codes[hits] >> 32)
-                    log_prob.append(shares[hits])
-                    word += [own[k] if unknown[k] else None for k in hits]
-                    sizes.append(len(hits))
-            if windows and lines:
-                columns = [np.concatenate(x) for x in (window, middle, log_prob)] + [word]
-                flat = [pa.array(x, field.type) for x, field in zip(columns, _HIT, strict=True)]
-            else:
-                flat, sizes = [pa.array([], field.type) for field in _HIT], [0] * batch.num_rows
-                at = [np.zeros(0, np.int32)]
+                    at = np.flatnonzero(hashes % np.uint64(windows) == 0)
+                    hits = np.empty(len(at), _PACKED)
+                    hits["window"], hits["middle"] = hashes[at].view(np.int64), codes[at] >> 32
+                    hits["place"], hits["log_prob"] = at << 1 | ~unknown[at], shares[at]
+                    packed.append(hits.tobytes())
+                    met.append(b" ".join([own[k] for k in at[unknown[at]]]))
+                else:
+                    packed.append(b"")
+                    met.append(b"")
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(row, row + batch.num_rows)),
@@ -357,10 +356,10 @@ def encoded(
                     pa.array(lines, pa.binary()),
                     pa.array(share, pa.float64()),
                     pa.array(others, pa.list_(pa.binary())),
-                    _lists(pa.StructArray.from_arrays(flat, fields=list(_HIT)), sizes),
-                    _lists(pa.array(np.concatenate(at)), sizes),
+                    pa.array(packed, pa.binary()),
+                    pa.array(met, pa.binary()),
                 ],
-                ["row", "doc_id", "turn", "line", "share", "others", "hits", "at"],
+                ["row", "doc_id", "turn", "line", "share", "others", "hits", "words"],
             )
             row += batch.num_rows
 
@@ -369,7 +368,7 @@ def encoded(
         F.pmod(F.xxhash64("text"), F.lit(rounds)).cast("int").alias("turn"),
         F.col("text").cast("binary").alias("text"),
     )
-    schema = f"row long, doc_id long, turn int, line binary, share double, others array<binary>, {_HITS}, at array<int>"
+    schema = "row long, doc_id long, turn int, line binary, share double, others array<binary>, hits binary, words binary"
     return cut(texts.mapInArrow(encode, schema), "encoded")
 
 
@@ -415,25 +414,117 @@ def train_encoded(lines: DataFrame, rounds: int = ROUNDS) -> Weights:
     return weights
 
 
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packed hits of some rows at a time, by group of their windows; ``row`` is a difference to ``first``."""
+    for batch in _sliced(batches):
+        rows, blobs = batch.column("row").to_numpy(), batch.column("hits").to_pylist()
+        hits = np.frombuffer(b"".join(blobs), _PACKED)
+        if not len(hits):
+            continue
+        words = np.array([w for x in batch.column("words").to_pylist() if x for w in x.split(b" ")], object)
+        known = (hits["place"] & 1).astype(bool)
+        word = np.cumsum(~known) - 1
+        row = np.repeat((rows - rows.min()).astype(np.uint64), [len(x) // _PACKED.itemsize for x in blobs])
+        group = (hits["window"].view(np.uint64) % np.uint64(_GROUPS)).astype(np.uint16)
+        order = np.argsort(group, kind="stable")
+        ends = np.cumsum(np.bincount(group, minlength=_GROUPS))
+        group, row, hits, known, word = (x[order] for x in (group, row, hits, known, word))
+        columns = []
+        for start, end in zip([0, *ends[:-1]], ends, strict=True):
+            if start < end:
+                own = slice(start, end)
+                others = words[word[own][~known[own]]]
+                columns.append((group[start], rows.min(), row[own].tobytes(), hits[own].tobytes(), b" ".join(others)))
+        kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 3
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(x), kind) for x, kind in zip(zip(*columns, strict=True), kinds, strict=True)],
+            ["group", "first", "row", "hits", "words"],
+        )
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        blobs, words = [], []
+        for own in batch.column("hits").to_pylist():
+            fields = [(h["window"], h["middle"], int(h["word"] is None), h["log_prob"]) for h in own]
+            blobs.append(np.array(fields, _PACKED).tobytes())
+            words.append(b" ".join([h["word"] for h in own if h["word"] is not None]))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row"), pa.array(blobs, pa.binary()), pa.array(words, pa.binary())], ["row", "hits", "words"]
+        )
+
+
+def _joined(table: pa.Table, name: str, kind: str | np.dtype) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
+
+
+def _runs(starts: np.ndarray) -> np.ndarray:
+    """How long the run is that each place is in; ``starts`` marks their first places."""
+    run = np.cumsum(starts) - 1
+    return np.bincount(run)[run]
+
+
+def _group_gains(table: pa.Table) -> pa.Table:
+    """The gains of all windows of a group, summed by ``first`` and row; those that need a word's share one by one."""
+    hits, row = _joined(table, "hits", _PACKED), _joined(table, "row", "<i8")
+    sizes = [len(x.as_py()) // 8 for x in table.column("row")]
+    row = row + np.repeat(table.column("first").to_numpy(), sizes)
+    window, middle = hits["window"].copy(), hits["middle"].copy()
+    log_prob, known = hits["log_prob"].astype(np.float64), (hits["place"] & 1).astype(bool)
+    words = [w for x in table.column("words").to_pylist() if x for w in x.split(b" ")]
+    order = np.lexsort((middle, window))
+    by_window, by_middle = window[order], middle[order]
+    new = np.r_[True, by_window[1:] != by_window[:-1]]
+    total, n = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    total[order] = _runs(new) - 1
+    n[order] = _runs(new | np.r_[True, by_middle[1:] != by_middle[:-1]]) - 1
+    # What only the window has in common does not need the word's own share.
+    rare = ~known & (n > 0)
+    plain = np.flatnonzero((total > 0) & ~rare)
+    # As a factor of p, so that a p of nearly zero is no log of zero where n is 0.
+    gain = np.log((n[plain] * np.exp(-log_prob[plain]) + PRIOR) / (total[plain] + PRIOR))
+    own, at = np.unique(row[plain], return_inverse=True)
+    rare, other = np.flatnonzero(rare), np.cumsum(~known) - 1
+    some, none = len(own), [None] * len(own)
+    return pa.table(
+        {
+            "row": pa.array(np.r_[own, row[rare]], pa.int64()),
+            "gain": pa.array(np.r_[np.bincount(at, gain, some), np.zeros(len(rare))], pa.float64()),
+            "n": pa.array(np.r_[np.zeros(some, np.int64), n[rare]], pa.int64()),
+            "total": pa.array(np.r_[np.zeros(some, np.int64), total[rare]], pa.int64()),
+            "log_prob": pa.array(np.r_[np.zeros(some), log_prob[rare]], pa.float64()),
+            "word": pa.array(none + [words[other[k]] for k in rare], pa.binary()),
+        }
+    )
+
+
 def window_gains(scored: DataFrame, shares: DataFrame) -> DataFrame:
     """row and gain: what counts of the windows in ``hits`` add to the log-probabilities.
 
     A window that also stands elsewhere, ``total`` times, and there ``n`` times around the same
-    word, gives this word (n + PRIOR * p) / (total + PRIOR) in place of the network's p.
+    word, gives this word (n + PRIOR * p) / (total + PRIOR) in place of the network's p. All hits
+    of a window meet in one of a fixed number of groups, as arrays; Spark deals and adds up.
     """
-    hits = scored.select("row", F.explode("hits").alias("h")).select("row", "h.window", "h.middle", "h.log_prob", "h.word")
-    totals = hits.groupBy("window").agg((F.count(F.lit(1)) - 1).alias("total")).filter("total > 0")
-    met = cut(hits.join(totals, "window"), "windows")
-    met = met.join(met.groupBy("window", "middle").agg((F.count(F.lit(1)) - 1).alias("n")), ["window", "middle"])
-    # What only the window has in common does not need the word's own share.
-    rare = F.col("word").isNotNull() & (F.col("n") > 0)
-    shared = met.filter(rare).join(shares.select("word", "log_share"), "word")
-    both = met.filter(~rare).select("row", "n", "total", "log_prob").unionByName(
-        shared.select("row", "n", "total", (F.col("log_prob") + F.col("log_share")).cast("float").alias("log_prob"))
+    return _gains(scored.select("row", "hits").mapInArrow(_packed, _LINES), shares)
+
+
+#: Packed hits of a row.
+_LINES = "row long, hits binary, words binary"
+
+
+def _gains(packed: DataFrame, shares: DataFrame) -> DataFrame:
+    """``window_gains`` of hits that are packed already."""
+    schema = "group int, first long, row binary, hits binary, words binary"
+    dealt = packed.select("row", "hits", "words").mapInArrow(_dealt, schema)
+    met = dealt.groupBy("group").applyInArrow(
+        _group_gains, "row long, gain double, n long, total long, log_prob double, word binary"
     )
-    # As a factor of p, so that a p of nearly zero is no log of zero where n is 0.
-    factor = F.log((F.col("n") * F.exp(-F.col("log_prob").cast("double")) + PRIOR) / (F.col("total") + PRIOR))
-    return both.groupBy("row").agg(F.sum(factor).alias("gain"))
+    met = cut(met, "windows")
+    log_prob = F.col("log_prob") + F.col("log_share")
+    factor = F.log((F.col("n") * F.exp(-log_prob) + PRIOR) / (F.col("total") + PRIOR))
+    rare = met.filter(F.col("word").isNotNull()).join(shares.select("word", "log_share"), "word")
+    both = met.filter(F.col("word").isNull()).select("row", "gain").unionByName(rare.select("row", factor.alias("gain")))
+    return both.groupBy("row").agg(F.sum("gain").alias("gain"))
 
 
 def pseudo_likelihood(docs: DataFrame, common_share: float = COMMON_SHARE, windows: int = 0) -> DataFrame:
@@ -458,16 +549,16 @@ def pseudo_likelihood(docs: DataFrame, common_share: float = COMMON_SHARE, windo
     weights = train_encoded(lines)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             parts = [(p.row, log_likelihood(weights, p.around, p.target)) for p in _stretches(batch.column("line"))]
             row = np.concatenate([np.zeros(0, np.int64), *(r for r, _ in parts)])
             logs = np.concatenate([np.zeros(0), *(x for _, x in parts)])
             tokens = np.bincount(row, minlength=batch.num_rows)
-            lists = batch.column("hits")
-            sizes, hits = lists.value_lengths().to_numpy(), lists.flatten()
-            fields = dict(zip(_HIT.names, hits.flatten(), strict=True))
-            at = np.repeat(np.cumsum(tokens) - tokens, sizes) + batch.column("at").flatten().to_numpy()
-            fields["log_prob"] = pa.array((fields["log_prob"].to_numpy() + logs[at]).astype(np.float32))
+            blobs = batch.column("hits").to_pylist()
+            sizes = [len(x) // _PACKED.itemsize for x in blobs]
+            hits = np.frombuffer(bytearray().join(blobs), _PACKED)
+            hits["log_prob"] += logs[np.repeat(np.cumsum(tokens) - tokens, sizes) + (hits["place"] >> 1)]
+            ends = np.cumsum(sizes)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("row"),
@@ -475,14 +566,15 @@ def pseudo_likelihood(docs: DataFrame, common_share: float = COMMON_SHARE, windo
                     pa.array(tokens),
                     pa.array(np.bincount(row, logs, batch.num_rows)),
                     batch.column("share"),
-                    _lists(pa.StructArray.from_arrays(list(fields.values()), fields=list(_HIT)), sizes),
+                    pa.array([hits[end - n : end].tobytes() for n, end in zip(sizes, ends, strict=True)], pa.binary()),
+                    batch.column("words"),
                 ],
-                ["row", "doc_id", "tokens", "log_prob", "share", "hits"],
+                ["row", "doc_id", "tokens", "log_prob", "share", "hits", "words"],
             )
 
     scored = cut(
         lines.drop("turn", "others").mapInArrow(
-            score, f"row long, doc_id long, tokens long, log_prob double, share double, {_HITS}"
+            score, "row long, doc_id long, tokens long, log_prob double, share double, hits binary, words binary"
         ),
         "scored",
     )
@@ -490,10 +582,10 @@ def pseudo_likelihood(docs: DataFrame, common_share: float = COMMON_SHARE, windo
     rare = lines.select("row", F.explode("others").alias("word")).join(rare_shares, "word").select("row", "log_share")
     added = rare.groupBy("row").agg(F.sum("log_share").alias("rare")).withColumn("gain", F.lit(0.0))
     if windows:
-        gains = window_gains(scored, rare_shares).withColumn("rare", F.lit(0.0))
+        gains = _gains(scored, rare_shares).withColumn("rare", F.lit(0.0))
         added = added.unionByName(gains).groupBy("row").agg(F.sum("rare").alias("rare"), F.sum("gain").alias("gain"))
     word_log_prob = F.col("log_prob") + F.col("share") + F.coalesce("rare", F.lit(0.0))
-    found = scored.drop("hits").join(added, "row", "left").select(
+    found = scored.drop("hits", "words").join(added, "row", "left").select(
         "doc_id",
         "tokens",
         "log_prob",
