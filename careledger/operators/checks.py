@@ -381,10 +381,11 @@ def same_rows_by_parts(
     )
     differ = both.filter("left_rows <> right_rows OR _mark0 <> 0 OR _mark1 <> 0").select("_part")
     only = same_rows(*[df.join(F.broadcast(differ), "_part", "left_semi").drop("_part") for df in sides])
-    totals = both.agg(*[F.coalesce(F.sum(name), zero).alias(name) for name in ("left_rows", "right_rows")])
-    # One row each.
-    named = [df.withColumn("_one", F.lit(1)) for df in (totals, only.select("only_left", "only_right"))]
-    return named[0].join(named[1], "_one").drop("_one")
+    sizes, found = ("left_rows", "right_rows"), ("only_left", "only_right")
+    totals = both.agg(*[F.sum(name).alias(name) for name in sizes]).select(*sizes, *[zero.alias(name) for name in found])
+    # One row each, added up, as a join of them would be a nested loop.
+    added = totals.unionByName(only.select(*[zero.alias(name) for name in sizes], *found))
+    return added.agg(*[F.coalesce(F.sum(name), zero).alias(name) for name in (*sizes, *found)])
 
 
 Audit = tuple[str, DataFrame, DataFrame, Column, Column]
