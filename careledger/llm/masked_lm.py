@@ -14,14 +14,15 @@ counted for that token, so the probabilities of all words sum to one. Tasks know
 of common words; those of the others are joined in. The driver sees the common words, at
 most 1 / COMMON_SHARE, and the parameters, whose number is fixed here.
 
-Texts are split once: a table of token numbers in the shared folder is what training and
-scoring read. On demand the network is the prior of counts that grow with the corpus: how
-often the words on both sides occur elsewhere in it, and how often around the same word.
+Texts are split once: slices of word numbers in the shared folder are what training, counting
+and scoring read. On demand the network is the prior of counts that grow with the corpus: how
+often the words on both sides occur elsewhere in it, and how often around the same word. For
+these, a slice sends a sorted hash of every window and the word in it to groups of hashes, and
+gets two counts for each back. The windows themselves are never written; they follow from the slice.
 """
 
 from __future__ import annotations
 
-import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,8 +54,15 @@ PRIOR = 1.0
 #: Bound on all inputs of a softmax below which their exponentials need no shift.
 _SAFE = 40.0
 _LEAST = np.finfo(np.float32).tiny
-#: Rows whose windows a task holds at a time, and groups that windows are dealt to by their hash.
-_SLICE, _GROUPS = 1000, 1024
+#: Bits of the place of a window in the part of a slice that is dealt at once; tokens of a slice.
+_PLACE = 20
+_SLICE = 1 << _PLACE
+#: Bits of a window's hash that it is sorted by, and those that follow; more are not sent.
+_SORTED, _LOW = 64 - _PLACE, 8
+#: Windows of a group at least, as a power of two, and bits of the number of groups at most.
+_GROUP, _MOST_BITS = 17, 11
+#: From here on a word's number in a window is a hash.
+_RARE = 1 << 23
 #: Different words that a task counts before it passes its counts on.
 _COUNTED = 400_000
 
@@ -170,35 +179,17 @@ class Trainer:
         self.tokens += len(target)
 
 
-def _shared_token(word: bytes) -> int:
-    return FREQUENT + zlib.crc32(word) % SHARED
-
-
 def _code(word: bytes, place: int) -> int:
     """A place below, 31 bits of the word's hash above."""
     return zlib.crc32(word) >> 1 << 32 | place
 
 
-class _Codes(dict):
-    """Code by word. The first other words that are met are remembered too."""
+class _Numbers(dict):
+    """Numbers of words: those known to all tasks come first, then a slice's others as they are met."""
 
     def __missing__(self, word: bytes) -> int:
-        code = _code(word, _shared_token(word))
-        if len(self) < 1_000_000:
-            self[word] = code
-        return code
-
-
-def _codes(words: list[bytes], common: list[bytes]) -> _Codes:
-    """One table per worker process and vocabulary, kept with its main module.
-
-    ``common`` words have places from TOKENS on in place of their shared tokens.
-    """
-    kept, key = vars(sys.modules["__main__"]), hash((tuple(words), tuple(common)))
-    if kept.get("_lm_codes", (None, None))[0] != key:
-        places = {w: TOKENS + i for i, w in enumerate(common)} | {w: i for i, w in enumerate(words)}
-        kept["_lm_codes"] = (key, _Codes({w: _code(w, i) for w, i in places.items()}))
-    return kept["_lm_codes"][1]
+        self[word] = n = len(self)
+        return n
 
 
 #: Odd multipliers of the hash of a window, by place in it.
@@ -209,14 +200,86 @@ def _windows(codes: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the words on both sides of each word."""
     line = np.zeros(len(codes) + 4, np.uint64)
     line[2:-2] = codes >> 32
-    mixed = np.zeros(len(codes), np.uint64)
+    return _mixed(line, np.arange(2, len(codes) + 2))
+
+
+def _mixed(line: np.ndarray, places: np.ndarray) -> np.ndarray:
+    mixed = np.zeros(len(line) - 4, np.uint64)
     for d, by in zip(WINDOW, _MIX, strict=True):
-        mixed += line[2 + d : 2 + d + len(codes)] * by
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= _MIX[0]
+        mixed += line[2 + d : 2 + d + len(mixed)] * by
+    return _finished(mixed[places - 2])
+
+
+def _finished(mixed: np.ndarray) -> np.ndarray:
+    mixed = (mixed ^ mixed >> np.uint64(29)) * _MIX[0]
     return mixed ^ mixed >> np.uint64(32)
 
 
+def _squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _loose(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def _planes(numbers: np.ndarray, some: slice = slice(None)) -> np.ndarray:
+    """Some bytes of all numbers, the lowest of each first; those that are mostly zero take little when squeezed."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.strides[0]).T[some])
+
+
+def _from_planes(planes: np.ndarray, kind: type) -> np.ndarray:
+    full = np.zeros((planes.shape[1], np.dtype(kind).itemsize), np.uint8)
+    full[:, : len(planes)] = planes.T
+    return full.view(kind)[:, 0]
+
+
+class _Vocabulary:
+    """The words that all tasks know, those with a token first: their tokens, hashes and log-shares."""
+
+    def __init__(self, words: list[bytes], known: list[tuple[bytes, float]] = ()):
+        self.words = words + [w for w, _ in known]
+        self.log_shares = np.concatenate([np.zeros(len(words)), [share for _, share in known]])
+        self.hashes = np.array([zlib.crc32(w) for w in self.words], np.uint32)
+        self.tokens = FREQUENT + self.hashes % SHARED
+        self.tokens[: len(words)] = np.arange(len(words))
+
+
+class _Slice:
+    """The words of some texts: their numbers, tokens, and places in a line with two edges around each text."""
+
+    def __init__(self, known: _Vocabulary, sizes: list[int], codes: bytes, rare: bytes):
+        self.number = _from_planes(np.frombuffer(_loose(codes), np.uint8).reshape(4, -1), np.uint32)
+        self.sizes = np.array(sizes, np.int64)
+        self.known, self.rare = known, _loose(rare).split()
+        self.hashes = np.concatenate([known.hashes, np.array([zlib.crc32(w) for w in self.rare], np.uint32)])
+        self.row = np.repeat(np.arange(len(sizes)), self.sizes)
+        self.places = np.arange(len(self.row)) + 4 * self.row + 2
+
+    def line(self, values: np.ndarray, edge: int, kind: type) -> np.ndarray:
+        full = np.full(len(self.row) + 4 * len(self.sizes), edge, kind)
+        full[self.places] = values
+        return full
+
+    def stretches(self) -> Iterator[_Stretch]:
+        """All tokens, STEP_TOKENS at a time; ``row`` is the index of their text."""
+        tokens = np.concatenate([self.known.tokens, FREQUENT + self.hashes[len(self.known.words) :] % SHARED])
+        line = self.line(tokens[self.number], EDGE, np.int64)
+        for start in range(0, len(self.row), STEP_TOKENS):
+            at = self.places[start : start + STEP_TOKENS]
+            around = np.stack([line[at + d] for d in WINDOW], axis=1)
+            yield _Stretch(around, line[at], self.row[start : start + STEP_TOKENS])
+
+    def windows(self, windows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, number of the word inside and index of the windows whose hash ``windows`` divides."""
+        hashes = _mixed(self.line(self.hashes[self.number] >> 1, 0, np.uint64), self.places)
+        at = np.flatnonzero(hashes % np.uint64(windows) == 0) if windows > 1 else np.arange(len(hashes))
+        middles = np.arange(len(self.hashes), dtype=np.uint32)
+        own = len(self.known.words)
+        middles[own:] = _RARE | self.hashes[own:] >> 1 & _RARE - 1
+        return hashes[at], middles[self.number[at]], at
+
+
 @dataclass
 class _Stretch:
     """Tokens of some documents, or of a part of a long one, with their surroundings."""
@@ -226,30 +289,6 @@ class _Stretch:
     row: np.ndarray
 
 
-def _stretches(texts: pa.Array) -> Iterator[_Stretch]:
-    """All tokens of encoded ``texts``, STEP_TOKENS at a time; ``row`` is the index of their text."""
-    lines, rows, size = [], [], 0
-    edge = np.full(2, EDGE, np.uint16)
-
-    def flush() -> Iterator[_Stretch]:
-        line, row = np.concatenate(lines).astype(np.int64), np.concatenate(rows)
-        places = np.flatnonzero(row >= 0)
-        for start in range(0, len(places), STEP_TOKENS):
-            at = places[start : start + STEP_TOKENS]
-            yield _Stretch(np.stack([line[at + d] for d in WINDOW], axis=1), line[at], row[at])
-
-    for i, text in enumerate(texts):
-        tokens = np.frombuffer(text.as_py(), "<u2")
-        lines += [edge, tokens, edge]
-        rows += [np.full(2, -1), np.full(len(tokens), i), np.full(2, -1)]
-        size += len(tokens)
-        if size >= 32 * STEP_TOKENS:
-            yield from flush()
-            lines, rows, size = [], [], 0
-    if size:
-        yield from flush()
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """word and n of every word of all documents."""
 
@@ -296,88 +335,78 @@ def _as_table(like: DataFrame, words: list[bytes]) -> DataFrame:
 #: A word between its window: hashes of window and word, its log-share or log-probability,
 #: and the word itself if its share is still to be joined.
 _HITS = "hits array<struct<window long, middle int, log_prob float, word binary>>"
-#: The same without the word: ``place`` is that in the text, doubled, plus one if the share is known.
-_PACKED = np.dtype([("window", "<i8"), ("middle", "<i4"), ("place", "<i4"), ("log_prob", "<f4")])
-
+_LINES = "slice long, turn int, docs array<long>, sizes array<int>, codes binary, rare binary"
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, _SLICE):
-            yield batch.slice(start, _SLICE)
 
+def encoded(docs: DataFrame, known: _Vocabulary, rounds: int = ROUNDS) -> DataFrame:
+    """All rows of ``docs`` in slices of about _SLICE words: slice, turn, docs, sizes, codes and rare.
 
-def encoded(
-    docs: DataFrame,
-    words: list[bytes],
-    known: list[tuple[bytes, float]] = (),
-    rounds: int = ROUNDS,
-    windows: int = 0,
-) -> DataFrame:
-    """doc_id, line, share, others, hits, their words and turn of every row of ``docs``, and a number.
-
-    line holds the tokens, share sums the log-shares of ``known`` words, others has the words
-    without token or known share, turn is the round of training. hits are the windows whose
-    hash ``windows`` divides, none if that is 0, packed as an array of numbers and the words
-    whose shares are not known. Written, as the numbers must stay the same.
+    docs holds the rows' doc_ids, sizes their numbers of words, codes the numbers of these words,
+    rare the words that ``known`` has not. turn, the round of training, is the same for a slice.
+    Written, as the slices must stay the same.
     """
-    common = [w for w, _ in known]
-    log_shares = np.concatenate([np.zeros(TOKENS), [share for _, share in known]])
-    token_of = np.concatenate([np.arange(TOKENS), [_shared_token(w) for w in common]]).astype("<u2")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes_of, row = _codes(words, common), TaskContext.get().partitionId() << 40
-        for batch in _sliced(batches):
-            lines, share, others, packed, met = [], [], [], [], []
-            for text in batch.column("text"):
-                own = text.as_py().lower().split()
-                codes = np.fromiter(map(codes_of.__getitem__, own), np.int64, len(own))
-                places = codes & 0xFFFFFFFF
-                lines.append(token_of[places].tobytes())
-                shares = log_shares[places]
-                share.append(shares.sum())
-                unknown = (places >= FREQUENT) & (places < TOKENS)
-                others.append([own[k] for k in np.flatnonzero(unknown)])
-                if windows:
-                    hashes = _windows(codes)
-                    at = np.flatnonzero(hashes % np.uint64(windows) == 0)
-                    hits = np.empty(len(at), _PACKED)
-                    hits["window"], hits["middle"] = hashes[at].view(np.int64), codes[at] >> 32
-                    hits["place"], hits["log_prob"] = at << 1 | ~unknown[at], shares[at]
-                    packed.append(hits.tobytes())
-                    met.append(b" ".join([own[k] for k in at[unknown[at]]]))
-                else:
-                    packed.append(b"")
-                    met.append(b"")
-            yield pa.RecordBatch.from_arrays(
+        first = _Numbers({w: i for i, w in enumerate(known.words)})
+        begun, ends = {}, TaskContext.get().partitionId() << 32
+
+        def passed(turn: int) -> pa.RecordBatch:
+            nonlocal ends
+            numbers, ids, lines = begun.pop(turn)
+            codes = _squeezed(_planes(np.concatenate(lines)).tobytes())
+            rare = _squeezed(b" ".join(list(numbers)[len(first) :]))
+            ends += 1
+            return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(row, row + batch.num_rows)),
-                    batch.column("doc_id"),
-                    batch.column("turn"),
-                    pa.array(lines, pa.binary()),
-                    pa.array(share, pa.float64()),
-                    pa.array(others, pa.list_(pa.binary())),
-                    pa.array(packed, pa.binary()),
-                    pa.array(met, pa.binary()),
+                    pa.array([ends], pa.int64()),
+                    pa.array([turn], pa.int32()),
+                    pa.array([ids], pa.list_(pa.int64())),
+                    pa.array([[len(x) for x in lines]], pa.list_(pa.int32())),
+                    pa.array([codes], pa.binary()),
+                    pa.array([rare], pa.binary()),
                 ],
-                ["row", "doc_id", "turn", "line", "share", "others", "hits", "words"],
+                ["slice", "turn", "docs", "sizes", "codes", "rare"],
             )
-            row += batch.num_rows
+
+        size = Counter()
+        for batch in batches:
+            columns = (batch.column("doc_id").to_pylist(), batch.column("turn").to_pylist(), batch.column("text"))
+            for doc_id, turn, text in zip(*columns, strict=True):
+                own = text.as_py().lower().split()
+                if turn in begun and size[turn] + len(own) > _SLICE:
+                    yield passed(turn)
+                if turn not in begun:
+                    begun[turn], size[turn] = (_Numbers(first), [], []), 0
+                numbers, ids, lines = begun[turn]
+                ids.append(doc_id)
+                lines.append(np.fromiter(map(numbers.__getitem__, own), np.uint32, len(own)))
+                # Texts without words take room too.
+                size[turn] += len(own) + 8
+        for turn in list(begun):
+            yield passed(turn)
 
     texts = docs.select(
         "doc_id",
         F.pmod(F.xxhash64("text"), F.lit(rounds)).cast("int").alias("turn"),
         F.col("text").cast("binary").alias("text"),
     )
-    schema = "row long, doc_id long, turn int, line binary, share double, others array<binary>, hits binary, words binary"
-    return cut(texts.mapInArrow(encode, schema), "encoded")
+    return cut(texts.mapInArrow(encode, _LINES), "encoded")
+
+
+def _slices(batch: pa.RecordBatch | pa.Table, known: _Vocabulary) -> Iterator[_Slice]:
+    columns = [batch.column(c).to_pylist() for c in ("sizes", "codes", "rare")]
+    for sizes, codes, rare in zip(*columns, strict=True):
+        yield _Slice(known, sizes, codes, rare)
 
 
 def train(docs: DataFrame, words: list[bytes], rounds: int = ROUNDS) -> Weights:
     """Weights from one pass over all documents, in ``rounds`` parts by a hash of the text."""
-    return train_encoded(encoded(docs.select(F.lit(None).cast("long").alias("doc_id"), "text"), words, rounds=rounds), rounds)
+    known = _Vocabulary(words)
+    lines = encoded(docs.select(F.lit(None).cast("long").alias("doc_id"), "text"), known, rounds)
+    return train_encoded(lines, known, rounds)
 
 
-def train_encoded(lines: DataFrame, rounds: int = ROUNDS) -> Weights:
+def train_encoded(lines: DataFrame, known: _Vocabulary, rounds: int = ROUNDS) -> Weights:
     """Like ``train``, of texts that are encoded."""
     weights = first_weights()
 
@@ -387,8 +416,9 @@ def train_encoded(lines: DataFrame, rounds: int = ROUNDS) -> Weights:
         def learn(batches: Iterator[pa.RecordBatch], start: Weights = start) -> Iterator[pa.RecordBatch]:
             trainer = Trainer(start)
             for batch in batches:
-                for part in _stretches(batch.column("line")):
-                    trainer.step(part.around, part.target)
+                for own in _slices(batch, known):
+                    for part in own.stretches():
+                        trainer.step(part.around, part.target)
             if trainer.tokens:
                 flat = np.concatenate([trainer.weights[k].ravel() for k in SHAPES]).astype(np.float64)
                 yield pa.RecordBatch.from_arrays(
@@ -400,9 +430,8 @@ def train_encoded(lines: DataFrame, rounds: int = ROUNDS) -> Weights:
                     ["place", "total", "tokens"],
                 )
 
-        parts = lines.filter(F.col("turn") == turn).select("line").mapInArrow(
-            learn, "place long, total double, tokens long"
-        )
+        own = lines.filter(F.col("turn") == turn).select("sizes", "codes", "rare")
+        parts = own.mapInArrow(learn, "place long, total double, tokens long")
         mean = parts.groupBy("place").agg((F.sum("total") / F.sum("tokens")).alias("mean")).collect()
         if mean:
             # Rounded, as the order of the sums is not fixed.
@@ -414,90 +443,121 @@ def train_encoded(lines: DataFrame, rounds: int = ROUNDS) -> Weights:
     return weights
 
 
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The packed hits of some rows at a time, by group of their windows; ``row`` is a difference to ``first``."""
-    for batch in _sliced(batches):
-        rows, blobs = batch.column("row").to_numpy(), batch.column("hits").to_pylist()
-        hits = np.frombuffer(b"".join(blobs), _PACKED)
-        if not len(hits):
-            continue
-        words = np.array([w for x in batch.column("words").to_pylist() if x for w in x.split(b" ")], object)
-        known = (hits["place"] & 1).astype(bool)
-        word = np.cumsum(~known) - 1
-        row = np.repeat((rows - rows.min()).astype(np.uint64), [len(x) // _PACKED.itemsize for x in blobs])
-        group = (hits["window"].view(np.uint64) % np.uint64(_GROUPS)).astype(np.uint16)
-        order = np.argsort(group, kind="stable")
-        ends = np.cumsum(np.bincount(group, minlength=_GROUPS))
-        group, row, hits, known, word = (x[order] for x in (group, row, hits, known, word))
-        columns = []
-        for start, end in zip([0, *ends[:-1]], ends, strict=True):
-            if start < end:
-                own = slice(start, end)
-                others = words[word[own][~known[own]]]
-                columns.append((group[start], rows.min(), row[own].tobytes(), hits[own].tobytes(), b" ".join(others)))
-        kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 3
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(x), kind) for x, kind in zip(zip(*columns, strict=True), kinds, strict=True)],
-            ["group", "first", "row", "hits", "words"],
-        )
+def _sorted(hashes: np.ndarray) -> np.ndarray:
+    """The hashes of a part of a slice in order, with their places in the lowest bits."""
+    return np.sort(hashes >> np.uint64(_PLACE) << np.uint64(_PLACE) | np.arange(len(hashes), dtype=np.uint64))
+
+
+def _places(ordered: np.ndarray) -> np.ndarray:
+    return (ordered & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+
+
+_DEALT = "slice long, part int, group int, hits binary"
+
 
+def _dealt(own: int, hashes: np.ndarray, middles: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """The windows of a slice and the words inside, by the highest ``bits`` of their hashes.
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        blobs, words = [], []
-        for own in batch.column("hits").to_pylist():
-            fields = [(h["window"], h["middle"], int(h["word"] is None), h["log_prob"]) for h in own]
-            blobs.append(np.array(fields, _PACKED).tobytes())
-            words.append(b" ".join([h["word"] for h in own if h["word"] is not None]))
+    In order, so that the differences of hashes are small numbers.
+    """
+    for part, start in enumerate(range(0, len(hashes), _SLICE)):
+        some = slice(start, start + _SLICE)
+        ordered = _sorted(hashes[some])
+        at = _places(ordered) + start
+        top = ordered >> np.uint64(_PLACE)
+        width = np.uint64(_SORTED - bits)
+        bounds = np.searchsorted(top, np.arange(1 << bits, dtype=np.uint64) << width).tolist() + [len(top)]
+        begun = [b for b, e in zip(bounds, bounds[1:], strict=False) if b < e]
+        gaps = np.diff(top, prepend=np.uint64(0))
+        gaps[begun] = top[begun] & (np.uint64(1) << width) - np.uint64(1)
+        low = (hashes[at] >> np.uint64(_PLACE - _LOW)).astype(np.uint8)
+        gaps, middle = _planes(gaps, slice(0, 6)), _planes(middles[at], slice(0, 3))
+        full = np.concatenate([gaps[:3], low[None], middle[:1]])
+        rest = np.concatenate([gaps[3:], middle[1:]])
+        groups, blobs = [], []
+        for group, (b, e) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            if b < e:
+                groups.append(group)
+                blobs.append(_squeezed(rest[:, b:e].tobytes()) + full[:, b:e].tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), pa.array(blobs, pa.binary()), pa.array(words, pa.binary())], ["row", "hits", "words"]
+            [
+                pa.array(np.full(len(groups), own), pa.int64()),
+                pa.array(np.full(len(groups), part), pa.int32()),
+                pa.array(groups, pa.int32()),
+                pa.array(blobs, pa.binary()),
+            ],
+            ["slice", "part", "group", "hits"],
         )
 
 
-def _joined(table: pa.Table, name: str, kind: str | np.dtype) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
-
-
-def _runs(starts: np.ndarray) -> np.ndarray:
-    """How long the run is that each place is in; ``starts`` marks their first places."""
-    run = np.cumsum(starts) - 1
-    return np.bincount(run)[run]
-
-
-def _group_gains(table: pa.Table) -> pa.Table:
-    """The gains of all windows of a group, summed by ``first`` and row; those that need a word's share one by one."""
-    hits, row = _joined(table, "hits", _PACKED), _joined(table, "row", "<i8")
-    sizes = [len(x.as_py()) // 8 for x in table.column("row")]
-    row = row + np.repeat(table.column("first").to_numpy(), sizes)
-    window, middle = hits["window"].copy(), hits["middle"].copy()
-    log_prob, known = hits["log_prob"].astype(np.float64), (hits["place"] & 1).astype(bool)
-    words = [w for x in table.column("words").to_pylist() if x for w in x.split(b" ")]
-    order = np.lexsort((middle, window))
-    by_window, by_middle = window[order], middle[order]
-    new = np.r_[True, by_window[1:] != by_window[:-1]]
-    total, n = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-    total[order] = _runs(new) - 1
-    n[order] = _runs(new | np.r_[True, by_middle[1:] != by_middle[:-1]]) - 1
-    # What only the window has in common does not need the word's own share.
-    rare = ~known & (n > 0)
-    plain = np.flatnonzero((total > 0) & ~rare)
-    # As a factor of p, so that a p of nearly zero is no log of zero where n is 0.
-    gain = np.log((n[plain] * np.exp(-log_prob[plain]) + PRIOR) / (total[plain] + PRIOR))
-    own, at = np.unique(row[plain], return_inverse=True)
-    rare, other = np.flatnonzero(rare), np.cumsum(~known) - 1
-    some, none = len(own), [None] * len(own)
+def _hits(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and words of the windows of a part in one group."""
+    size = int.from_bytes(blob[:8], "little") // 5
+    full = np.frombuffer(blob, np.uint8)[len(blob) - 5 * size :].reshape(5, size)
+    rest = np.frombuffer(_loose(blob[: len(blob) - 5 * size]), np.uint8).reshape(5, size)
+    top = np.cumsum(_from_planes(np.concatenate([full[:3], rest[:3]]), np.uint64))
+    return top << np.uint64(_LOW) | full[3], _from_planes(np.concatenate([full[4:], rest[3:]]), np.uint32)
+
+
+def _others(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each value stands elsewhere, and the number of each."""
+    order = np.argsort(values)
+    ordered = values[order]
+    run = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
+    others, number = np.empty(len(values), np.int64), np.empty(len(values), np.int64)
+    others[order], number[order] = np.bincount(run)[run] - 1, run
+    return others, number
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """Of each window of a group, how often it stands elsewhere, and there around other words."""
+    parts = [_hits(x.as_py()) for x in table.column("hits")]
+    window, middle = (np.concatenate(x) for x in zip(*parts, strict=True))
+    total, number = _others(window)
+    some = np.flatnonzero(total)
+    different = np.zeros(len(total), np.int64)
+    different[some] = total[some] - _others(number[some] << 24 | middle[some])[0] if len(some) else 0
+    both = np.stack([total, different], axis=1).astype(np.uint32)
+    ends = np.cumsum([len(w) for w, _ in parts])
+    answers = [_squeezed(_planes(x).tobytes()) for x in np.split(both, ends[:-1])]
     return pa.table(
-        {
-            "row": pa.array(np.r_[own, row[rare]], pa.int64()),
-            "gain": pa.array(np.r_[np.bincount(at, gain, some), np.zeros(len(rare))], pa.float64()),
-            "n": pa.array(np.r_[np.zeros(some, np.int64), n[rare]], pa.int64()),
-            "total": pa.array(np.r_[np.zeros(some, np.int64), total[rare]], pa.int64()),
-            "log_prob": pa.array(np.r_[np.zeros(some), log_prob[rare]], pa.float64()),
-            "word": pa.array(none + [words[other[k]] for k in rare], pa.binary()),
-        }
+        {c: table.column(c) for c in ("slice", "part", "group")} | {"answer": pa.array(answers, pa.binary())}
     )
 
 
+_ANSWERS = "slice long, part int, group int, answer binary"
+
+
+def _gains(hashes: np.ndarray, log_prob: np.ndarray, answers: dict[int, list[bytes]]) -> np.ndarray:
+    """What the counts of its window add to the log-probability of each word; 0 for windows that stand once.
+
+    ``answers``: by part, of its groups in order.
+    """
+    total, different = np.zeros(len(hashes)), np.zeros(len(hashes))
+    for part, start in enumerate(range(0, len(hashes), _SLICE)):
+        at = _places(_sorted(hashes[start : start + _SLICE])) + start
+        found = [_from_planes(np.frombuffer(_loose(x), np.uint8).reshape(8, -1), np.uint64) for x in answers[part]]
+        both = np.concatenate(found).view(np.uint32).reshape(-1, 2)
+        total[at], different[at] = both[:, 0], both[:, 1]
+    gain, some = np.zeros(len(hashes)), np.flatnonzero(total)
+    n = total[some] - different[some]
+    # As a factor of p, so that a p of nearly zero is no log of zero where n is 0.
+    gain[some] = np.log((n * np.exp(-log_prob[some]) + PRIOR) / (total[some] + PRIOR))
+    return gain
+
+
+def _answers(table: pa.Table) -> dict[int, list[bytes]]:
+    """By part, in the order of their groups."""
+    found: dict[int, list[tuple[int, bytes]]] = {}
+    for part, group, answer in zip(*(table.column(c).to_pylist() for c in ("part", "group", "answer")), strict=True):
+        found.setdefault(part, []).append((group, answer))
+    return {part: [x for _, x in sorted(own)] for part, own in found.items()}
+
+
+def _counts(dealt: DataFrame) -> DataFrame:
+    return dealt.groupBy("group").applyInArrow(_counted, _ANSWERS)
+
+
 def window_gains(scored: DataFrame, shares: DataFrame) -> DataFrame:
     """row and gain: what counts of the windows in ``hits`` add to the log-probabilities.
 
@@ -505,26 +565,70 @@ def window_gains(scored: DataFrame, shares: DataFrame) -> DataFrame:
     word, gives this word (n + PRIOR * p) / (total + PRIOR) in place of the network's p. All hits
     of a window meet in one of a fixed number of groups, as arrays; Spark deals and adds up.
     """
-    return _gains(scored.select("row", "hits").mapInArrow(_packed, _LINES), shares)
+    hits = scored.select("row", F.posexplode("hits").alias("place", "hit")).select("row", "place", "hit.*")
+    joined = hits.join(shares.select("word", "log_share"), "word", "left")
+    log_prob = F.col("log_prob") + F.coalesce("log_share", F.lit(0.0))
+    rows = joined.groupBy("row").agg(
+        F.array_sort(F.collect_list(F.struct("place", "window", "middle", log_prob.alias("log_prob")))).alias("hits")
+    )
 
+    def arrays(own: list[dict]) -> list[np.ndarray]:
+        window = _finished(np.array([h["window"] for h in own], np.int64).view(np.uint64))
+        return [window, np.array([h["middle"] for h in own], np.uint32), np.array([h["log_prob"] for h in own])]
 
-#: Packed hits of a row.
-_LINES = "row long, hits binary, words binary"
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, own in zip(batch.column("row").to_pylist(), batch.column("hits").to_pylist(), strict=True):
+                hashes, middles, _ = arrays(own)
+                yield from _dealt(row, hashes, middles % (1 << 24), _MOST_BITS)
 
+    def gains(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        hashes, _, log_prob = arrays(rows.column("hits")[0].as_py())
+        gain = _gains(hashes, log_prob, _answers(answers))
+        some = [gain.sum()] if gain.any() else []
+        return pa.table({"row": rows.column("row")[: len(some)], "gain": pa.array(some, pa.float64())})
 
-def _gains(packed: DataFrame, shares: DataFrame) -> DataFrame:
-    """``window_gains`` of hits that are packed already."""
-    schema = "group int, first long, row binary, hits binary, words binary"
-    dealt = packed.select("row", "hits", "words").mapInArrow(_dealt, schema)
-    met = dealt.groupBy("group").applyInArrow(
-        _group_gains, "row long, gain double, n long, total long, log_prob double, word binary"
-    )
-    met = cut(met, "windows")
-    log_prob = F.col("log_prob") + F.col("log_share")
-    factor = F.log((F.col("n") * F.exp(-log_prob) + PRIOR) / (F.col("total") + PRIOR))
-    rare = met.filter(F.col("word").isNotNull()).join(shares.select("word", "log_share"), "word")
-    both = met.filter(F.col("word").isNull()).select("row", "gain").unionByName(rare.select("row", factor.alias("gain")))
-    return both.groupBy("row").agg(F.sum("gain").alias("gain"))
+    counts = _counts(rows.mapInArrow(deal, _DEALT)).withColumnRenamed("slice", "row")
+    return rows.groupBy("row").cogroup(counts.groupBy("row")).applyInArrow(gains, "row long, gain double")
+
+
+def _rare_shares(lines: DataFrame, shares: DataFrame, groups: int) -> DataFrame:
+    """The log-shares of the ``rare`` words of all slices, in part -1, by group of their hash."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, rare in zip(batch.column("slice").to_pylist(), batch.column("rare").to_pylist(), strict=True):
+                dealt: dict[int, list[bytes]] = {}
+                for word in _loose(rare).split():
+                    dealt.setdefault(zlib.crc32(word) % groups, []).append(word)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([own] * len(dealt), pa.int64()),
+                        pa.array(list(dealt), pa.int32()),
+                        pa.array([_squeezed(b" ".join(x)) for x in dealt.values()], pa.binary()),
+                    ],
+                    ["slice", "group", "words"],
+                )
+
+    def look_up(dealt: pa.Table, shares: pa.Table) -> pa.Table:
+        words = [_loose(x.as_py()).split() for x in dealt.column("words")]
+        every = pa.array([w for own in words for w in own], pa.binary())
+        found = pc.index_in(every, shares.column("word").combine_chunks()).to_numpy(zero_copy_only=False)
+        log_shares = shares.column("log_share").to_numpy()[found.astype(np.int64)] if len(every) else np.zeros(0)
+        ends = np.cumsum([len(own) for own in words])
+        answers = [x.tobytes() for x in np.split(log_shares, ends[:-1])] if words else []
+        return pa.table(
+            {
+                "slice": dealt.column("slice"),
+                "part": pa.array(np.full(len(words), -1), pa.int32()),
+                "group": dealt.column("group"),
+                "answer": pa.array(answers, pa.binary()),
+            }
+        )
+
+    dealt = lines.select("slice", "rare").mapInArrow(deal, "slice long, group int, words binary")
+    own = shares.select("word", "log_share", (F.crc32("word") % groups).cast("int").alias("group"))
+    return dealt.groupBy("group").cogroup(own.groupBy("group")).applyInArrow(look_up, _ANSWERS)
 
 
 def pseudo_likelihood(docs: DataFrame, common_share: float = COMMON_SHARE, windows: int = 0) -> DataFrame:
@@ -542,56 +646,49 @@ def pseudo_likelihood(docs: DataFrame, common_share: float = COMMON_SHARE, windo
     texts = documents_of(docs).select(F.col("doc_id").cast("long"), "text")
     counts = cut(word_counts(texts), "words")
     words = _most_frequent(counts, FREQUENT)
-    shares = cut(word_shares(counts, words), "shares")
-    least = common_share * (counts.agg(F.sum("n")).first()[0] or 0)
-    known = shares.filter(F.col("n") >= least).select("word", "log_share").collect()
-    lines = encoded(texts, words, [(bytes(r["word"]), r["log_share"]) for r in known], windows=windows)
-    weights = train_encoded(lines)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
-            parts = [(p.row, log_likelihood(weights, p.around, p.target)) for p in _stretches(batch.column("line"))]
-            row = np.concatenate([np.zeros(0, np.int64), *(r for r, _ in parts)])
-            logs = np.concatenate([np.zeros(0), *(x for _, x in parts)])
-            tokens = np.bincount(row, minlength=batch.num_rows)
-            blobs = batch.column("hits").to_pylist()
-            sizes = [len(x) // _PACKED.itemsize for x in blobs]
-            hits = np.frombuffer(bytearray().join(blobs), _PACKED)
-            hits["log_prob"] += logs[np.repeat(np.cumsum(tokens) - tokens, sizes) + (hits["place"] >> 1)]
-            ends = np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row"),
-                    batch.column("doc_id"),
-                    pa.array(tokens),
-                    pa.array(np.bincount(row, logs, batch.num_rows)),
-                    batch.column("share"),
-                    pa.array([hits[end - n : end].tobytes() for n, end in zip(sizes, ends, strict=True)], pa.binary()),
-                    batch.column("words"),
-                ],
-                ["row", "doc_id", "tokens", "log_prob", "share", "hits", "words"],
-            )
-
-    scored = cut(
-        lines.drop("turn", "others").mapInArrow(
-            score, "row long, doc_id long, tokens long, log_prob double, share double, hits binary, words binary"
-        ),
-        "scored",
-    )
-    rare_shares = shares.filter(F.col("n") < least)
-    rare = lines.select("row", F.explode("others").alias("word")).join(rare_shares, "word").select("row", "log_share")
-    added = rare.groupBy("row").agg(F.sum("log_share").alias("rare")).withColumn("gain", F.lit(0.0))
+    shares = word_shares(counts, words)
+    size = counts.agg(F.sum("n")).first()[0] or 0
+    least = common_share * size
+    common = shares.filter(F.col("n") >= least).collect()
+    # The most frequent ones have the least numbers, which take least when squeezed.
+    common.sort(key=lambda r: (-r["n"], bytes(r["word"])))
+    known = _Vocabulary(words, [(bytes(r["word"]), r["log_share"]) for r in common])
+    lines = encoded(texts, known)
+    weights = train_encoded(lines, known)
+    bits = min(max((size >> _GROUP).bit_length(), 4), _MOST_BITS)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, own in zip(batch.column("slice").to_pylist(), _slices(batch, known), strict=True):
+                hashes, middles, _ = own.windows(windows)
+                yield from _dealt(number, hashes, middles, bits)
+
+    def score(slices: pa.Table, answers: pa.Table) -> pa.Table:
+        own, by_part = next(_slices(slices, known)), _answers(answers)
+        rows, words_known = len(own.sizes), len(known.words)
+        log_prob = np.concatenate([np.zeros(0), *(log_likelihood(weights, p.around, p.target) for p in own.stretches())])
+        # Groups have the rare words in the order of the slice.
+        group = own.hashes[words_known:] % groups
+        rare = np.zeros(len(group))
+        rare[np.argsort(group, kind="stable")] = np.frombuffer(b"".join(by_part.get(-1, [])), np.float64)
+        word_log_prob = log_prob + np.concatenate([known.log_shares, rare])[own.number]
+        gain = np.zeros(len(log_prob))
+        if windows:
+            hashes, _, at = own.windows(windows)
+            gain[at] = _gains(hashes, word_log_prob[at], by_part)
+        sums = [np.bincount(own.row, x, rows).astype(float) for x in (log_prob, word_log_prob, gain)]
+        docs = slices.column("docs").combine_chunks().flatten()
+        return pa.table([docs, *map(pa.array, (own.sizes, *sums))], names=names)
+
+    groups = 1 << bits - 2
+    answers = _rare_shares(lines, shares.filter(F.col("n") < least), groups)
     if windows:
-        gains = _gains(scored, rare_shares).withColumn("rare", F.lit(0.0))
-        added = added.unionByName(gains).groupBy("row").agg(F.sum("rare").alias("rare"), F.sum("gain").alias("gain"))
-    word_log_prob = F.col("log_prob") + F.col("share") + F.coalesce("rare", F.lit(0.0))
-    found = scored.drop("hits", "words").join(added, "row", "left").select(
-        "doc_id",
-        "tokens",
-        "log_prob",
-        word_log_prob.alias("word_log_prob"),
-        F.coalesce("gain", F.lit(0.0)).alias("window_gain"),
-    )
+        dealt = lines.select("slice", "sizes", "codes", "rare").mapInArrow(deal, _DEALT)
+        answers = answers.unionByName(_counts(dealt))
+    names = ["doc_id", "tokens", "log_prob", "word_log_prob", "window_gain"]
+    schema = "doc_id long, tokens long, log_prob double, word_log_prob double, window_gain double"
+    # A slice has no row without its texts, but may have no answers.
+    found = lines.drop("turn").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, schema)
     total = F.col("word_log_prob") + F.col("window_gain")
     found = found.withColumn("score", F.when(F.col("tokens") > 0, total / F.col("tokens")))
     return found if windows else found.drop("window_gain")

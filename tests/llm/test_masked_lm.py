@@ -1,10 +1,12 @@
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from careledger.llm import masked_lm as lm
 from careledger.llm.catalog import op8_masked_lm
+from careledger.llm.shared import shared_folder
 
 
 @pytest.fixture(scope="module")
@@ -147,3 +149,40 @@ def test_the_query_counts_every_window(make_docs, spark, tmp_path):
     make_docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.doc_id: r.window_gain for r in op8_masked_lm(spark, str(tmp_path)).collect()}
     assert sorted(i for i, gain in found.items() if gain != 0) == list(range(80))
+
+
+def test_windows_are_not_written(make_docs, spark):
+    """What the shared folder holds of a word is its number; a window and its word take few bytes in a shuffle."""
+    draw = np.random.default_rng(9)
+    words = np.array([f"w{i}" for i in range(4000)])
+    rows = [(i, " ".join(words[draw.zipf(1.3, 400) % 4000])) for i in range(500)]
+    docs = make_docs(rows)
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    there = set(folder.iterdir())
+    assert lm.pseudo_likelihood(docs, windows=1).count() == 500
+    assert sum(p.stat().st_size for new in set(folder.iterdir()) - there for p in new.rglob("*.parquet")) < 4 * 500 * 400
+    hashes, middles = draw.integers(0, 1 << 63, 1 << 18, np.uint64) << np.uint64(1), draw.zipf(1.3, 1 << 18) % 4000
+    blobs = [x for b in lm._dealt(1, hashes, middles.astype(np.uint32), 8) for x in b.column("hits")]
+    assert sum(len(x.as_py()) for x in blobs) < 7 * len(hashes)
+
+
+def test_windows_in_parts(monkeypatch):
+    """Slices that are dealt in several parts: the counts of a window come back to each of its places."""
+    monkeypatch.setattr(lm, "_SLICE", 100)
+    draw = np.random.default_rng(4)
+    some = draw.integers(0, 1 << 63, 60, np.uint64) * np.uint64(2) + np.uint64(1)
+    slices = {k: (some[draw.integers(0, 60, n)], draw.integers(0, 3, n).astype(np.uint32)) for k, n in ((5, 250), (9, 1), (12, 100))}
+    dealt = lm.pa.Table.from_batches([b for k, (hashes, middles) in slices.items() for b in lm._dealt(k, hashes, middles, 4)])
+    answers = lm.pa.concat_tables(
+        [lm._counted(dealt.filter(lm.pc.equal(dealt["group"], g))) for g in set(dealt["group"].to_pylist())]
+    )
+    total = Counter(h for hashes, _ in slices.values() for h in hashes)
+    same = Counter(x for own in slices.values() for x in zip(*own, strict=True))
+    for k, (hashes, middles) in slices.items():
+        p = draw.uniform(0.01, 0.9, len(hashes))
+        found = lm._gains(hashes, np.log(p), lm._answers(answers.filter(lm.pc.equal(answers["slice"], k))))
+        want = [
+            np.log((same[h, m] - 1 + lm.PRIOR * q) / (total[h] - 1 + lm.PRIOR) / q) if total[h] > 1 else 0
+            for h, m, q in zip(hashes, middles, p, strict=True)
+        ]
+        assert found == pytest.approx(np.array(want))
