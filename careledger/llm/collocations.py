@@ -11,23 +11,26 @@ bucket of hashes, a table of a bit per word of the corpus and of bounded size, b
 and given up when no scan needs it. Phrases that share hashes or buckets are counted too much or
 too early, never too little: the table loses no bit, so whatever became active stays so for a
 full cycle. A last scan counts the words of all phrases that reached the threshold, which makes the counts
-exact. Counts never leave Spark; the driver sees the bits alone.
+exact. In it, a task adds up what it has met and deals it as packed phrases to groups of their hashes,
+where the counts of all tasks are added up. Counts never leave Spark; the driver sees the bits alone.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from careledger.llm.shared import cut, new_path, whole
+from careledger.llm.shared import cut, loose_bytes, new_path, squeezed_bytes, whole
 
 #: Phrases have so many words at most and stand so often at least.
 MOST_WORDS, LEAST_COUNT = 4, 30
@@ -42,13 +45,17 @@ BITS = 1 << 27
 #: Least bits of it.
 _FEW_BITS = 1 << 16
 #: Tokens and different words that a task holds before it passes counts on.
-_TOKENS, _WORDS = 2_000_000, 400_000
+_TOKENS, _WORDS = 2_000_000, 150_000
 #: Words of a language whose hashes a task remembers.
 _KNOWN = 100_000
 #: Words of a text that are taken at a time.
 _SLICE = 100_000
 #: Bits of a word's number in a phrase's key.
 _WIDTH = 21
+#: Phrases that a task of the last scan adds up before it passes them on.
+_PHRASES = 300_000
+#: Bits of the table for each group that phrases are dealt to.
+_GROUP_BITS = 1 << 18
 
 # A-Z to lower case; what ends a piece to a byte that UTF-8 never has.
 _SPLIT = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\xff" * 10)
@@ -183,38 +190,30 @@ class _Held:
         self.fresh += [np.zeros(1 + context, bool), np.ones(len(words) - context, bool)]
 
 
-def _spelled(lang: str, held: _Held, table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The counts of all phrases in the table that end in fresh tokens, and of all words together."""
+def _spelled(lang: str, held: _Held, table: np.ndarray) -> Iterator[pa.Table]:
+    """The counts of all phrases in the table that end in fresh tokens, and of all words together, with their hashes."""
     words = list(held.numbers)
     token, fresh = np.concatenate(held.tokens), np.concatenate(held.fresh)
     tokens = _Tokens(lang)
     own = _first(np.fromiter(map(tokens.__missing__, words), np.uint32, len(words)))
 
-    def rows(length: int, places: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(length: int, places: np.ndarray, n: np.ndarray, keys: np.ndarray) -> Iterator[pa.Table]:
         """``places``: of one occurrence of each phrase, at its last word."""
         for start in range(0, len(places), 100_000):
             part = slice(start, start + 100_000)
             ids = [token[places[part] - back].tolist() for back in range(length - 1, -1, -1)]
             phrases = [b" ".join([words[i] for i in phrase]) for phrase in zip(*ids, strict=True)] if length else [b""]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang] * len(phrases)),
-                    pa.array(phrases, pa.binary()).cast(pa.string()),
-                    pa.array(np.full(len(phrases), length, np.int32)),
-                    pa.array(n[part].astype(np.int64)),
-                ],
-                ["lang", "phrase", "words", "n"],
-            )
+            yield pa.table({"phrase": pa.array(phrases, pa.binary()), "n": n[part].astype(np.int64), "key": keys[part]})
 
     frequent = _set(table, own)
     frequent[0] = False
     many = np.bincount(token[fresh], minlength=len(words))
     many[0] = 0
-    yield from rows(0, np.zeros(1, np.int64), np.array([many.sum()]))
+    yield from rows(0, np.zeros(1, np.int64), np.array([many.sum()]), np.zeros(1, np.uint64))
     seen = np.zeros(len(words), np.int64)
     seen[token] = np.arange(len(token))
     met = np.flatnonzero(frequent & (many > 0))
-    yield from rows(1, seen[met], many[met])
+    yield from rows(1, seen[met], many[met], own[met])
 
     # ``starts``: where the frequent phrases of the last length start.
     hashes = first = own[token]
@@ -225,7 +224,8 @@ def _spelled(lang: str, held: _Held, table: np.ndarray) -> Iterator[pa.RecordBat
         at, longer = (x[_set(table, longer)] for x in (at, longer))
         hashes, starts = np.zeros(len(hashes) - 1, np.uint64), np.zeros(len(starts) - 1, bool)
         hashes[at], starts[at] = longer, True
-        end = at[fresh[at + length - 1]] + length - 1
+        start = at[fresh[at + length - 1]]
+        end = start + length - 1
         if not len(end):
             continue
         if length < MOST_WORDS:
@@ -237,20 +237,49 @@ def _spelled(lang: str, held: _Held, table: np.ndarray) -> Iterator[pa.RecordBat
             _, number = np.unique(pairs, return_inverse=True)
             key = number[: len(end)] << 32 | number[len(end) :]
         _, one, times = np.unique(key, return_index=True, return_counts=True)
-        yield from rows(length, end[one], times)
+        yield from rows(length, end[one], times, hashes[start[one]])
+
+
+def _dealt(lang: str, met: list[pa.Table], groups: int) -> pa.RecordBatch:
+    """The phrases of a task by group of their hashes, packed, each once with its count."""
+    found = pa.concat_tables(met).group_by(["phrase", "key"]).aggregate([("n", "sum")])
+    group = (_longer(found["key"].to_numpy(), np.uint64(0)) >> np.uint64(32)) % np.uint64(groups)
+    order = np.argsort(group.astype(np.uint16), kind="stable")
+    many = np.bincount(group.astype(np.int64), minlength=groups)
+    own = np.flatnonzero(many)
+    ends = np.cumsum(many[own])
+    lists = pa.LargeListArray.from_arrays(np.r_[0, ends], found["phrase"].take(order).combine_chunks())
+    n = np.split(found["n_sum"].to_numpy()[order], ends[:-1])
+    joined = pc.binary_join(lists, b"\n")  # which ends pieces, so no phrase has it
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([lang] * len(own)),
+            pa.array(own, pa.int32()),
+            pa.array([squeezed_bytes(x.as_py()) for x in joined], pa.binary()),
+            pa.array([squeezed_bytes(x.tobytes()) for x in n], pa.binary()),
+        ],
+        ["lang", "group", "phrases", "n"],
+    )
 
 
 def _spell(
-    batches: Iterator[pa.RecordBatch], table: Broadcast, limits: tuple[int, int, int]
+    batches: Iterator[pa.RecordBatch], table: Broadcast, limits: tuple[int, int, int], groups: int
 ) -> Iterator[pa.RecordBatch]:
     most_tokens, most_words, slice_ = limits
     held: dict[str, _Held] = {}
+    met: dict[str, list[pa.Table]] = {}
     size = 0
 
-    def passed() -> Iterator[pa.RecordBatch]:
+    def spelled() -> Iterator[pa.RecordBatch]:
         for lang, own in held.items():
-            yield from _spelled(lang, own, table.value)
+            met.setdefault(lang, []).extend(_spelled(lang, own, table.value))
         held.clear()
+        if sum(len(t) for own in met.values() for t in own) > _PHRASES:
+            yield from dealt()
+
+    def dealt() -> Iterator[pa.RecordBatch]:
+        for lang in list(met):
+            yield _dealt(lang, met.pop(lang), groups)
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
@@ -261,9 +290,36 @@ def _spell(
                 held.setdefault(lang, _Held()).add(part, context)
                 size += len(part)
                 if size > most_tokens or sum(len(h.numbers) for h in held.values()) > most_words:
-                    yield from passed()
+                    yield from spelled()
                     size = 0
-    yield from passed()
+    yield from spelled()
+    yield from dealt()
+
+
+def _added(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The counts of a group's phrases of one language, added up."""
+    lang, sums = None, pa.table({"phrase": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
+    for batch in batches:
+        for first in range(0, batch.num_rows, 100):
+            some = batch.slice(first, 100)
+            lang = some.column("lang")[0]
+            phrases = pa.array([loose_bytes(x.as_py()) for x in some.column("phrases")], pa.binary())
+            n = np.concatenate([np.frombuffer(loose_bytes(x.as_py()), np.int64) for x in some.column("n")])
+            more = pa.table({"phrase": pc.split_pattern(phrases, b"\n").flatten(), "n": n})
+            added = pa.concat_tables([sums, more]).group_by("phrase").aggregate([("n", "sum")])
+            sums = added.select(["phrase", "n_sum"]).rename_columns(["phrase", "n"])
+    spaces = pc.count_substring(sums["phrase"], b" ")
+    words = pc.if_else(pc.equal(pc.binary_length(sums["phrase"]), 0), 0, pc.add(spaces, 1)).cast(pa.int32())
+    found = sums.append_column("words", words).filter(pc.or_(pc.greater_equal(sums["n"], least), pc.equal(words, 0)))
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array([lang and lang.as_py()] * len(found), pa.string()),
+            found["phrase"].combine_chunks().cast(pa.string()),
+            found["words"].combine_chunks(),
+            found["n"].combine_chunks(),
+        ],
+        ["lang", "phrase", "words", "n"],
+    )
 
 
 def _bits_of(keys: DataFrame, bits: int) -> np.ndarray:
@@ -292,12 +348,12 @@ def reached(docs: DataFrame, shards: int, least: int, bits: int, most_tokens: in
     size = there.agg(F.sum("size")).first()[0] or 0
     bits = min(bits, max(_FEW_BITS, 1 << (size - 1).bit_length()))
 
-    tables: list[np.ndarray] = []
+    marks: list[bytes] = []  # in place of the tables, which would fill the driver
     sent: list[Broadcast] = []
     state = None
     for step in range(MOST_WORDS * shards):
         old = step - shards - 1
-        if old >= 0 and np.array_equal(tables[-1], tables[old]):
+        if old >= 0 and marks[-1] == marks[old]:
             break  # no phrase has become active in the last cycle
         now, earlier = sent[-1] if sent else None, sent[old] if old >= 0 else None
         scan = partial(_scan, now=now, earlier=earlier, words_too=step < shards, most_tokens=most_tokens)
@@ -309,12 +365,13 @@ def reached(docs: DataFrame, shards: int, least: int, bits: int, most_tokens: in
         # A phrase first met in some step has been through a full cycle so many steps later at most.
         running = F.col("first") + shards - 1 > step
         state = cut(merged.filter((F.col("n") >= least) | running), "phrases")
-        tables.append(_bits_of(state.filter(F.col("n") >= least), bits))
-        sent.append(spark.sparkContext.broadcast(tables[-1]))
+        table = _bits_of(state.filter(F.col("n") >= least), bits)
+        marks.append(hashlib.sha256(table).digest())
+        sent.append(spark.sparkContext.broadcast(table))
         if earlier is not None:
             earlier.destroy(blocking=True)
-    for table in sent[max(0, len(sent) - 1 - shards) : -1]:
-        table.destroy(blocking=True)
+    for older in sent[max(0, len(sent) - 1 - shards) : -1]:
+        older.destroy(blocking=True)
     return sent[-1]
 
 
@@ -334,10 +391,15 @@ def phrase_counts(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), whole().cast("binary").alias("text")
     )
     table = reached(rows, shards, least, bits, limits[0])
-    spell = partial(_spell, table=table, limits=limits)
-    spelled = rows.mapInArrow(spell, "lang string, phrase string, words int, n long")
-    counts = spelled.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    counted = cut(counts.filter((F.col("n") >= least) | (F.col("words") == 0)), "counts")
+    groups = max(4, 8 * table.value.nbytes // _GROUP_BITS)
+    spell = partial(_spell, table=table, limits=limits, groups=groups)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _added(batches, least)
+
+    spelled = rows.mapInArrow(spell, "lang string, group int, phrases binary, n binary")
+    counts = spelled.groupBy("lang", "group").applyInArrow(add, "lang string, phrase string, words int, n long")
+    counted = cut(counts, "counts")
     table.destroy(blocking=True)
     return counted
 

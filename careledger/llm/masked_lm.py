@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from careledger.llm.shared import cut, documents_of
+from careledger.llm.shared import cut, documents_of, loose_bytes, squeezed_bytes
 
 #: Words with a token of their own, and tokens that all other words share by hash.
 FREQUENT, SHARED = 768, 256
@@ -215,14 +215,6 @@ def _finished(mixed: np.ndarray) -> np.ndarray:
     return mixed ^ mixed >> np.uint64(32)
 
 
-def _squeezed(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
-
-
-def _loose(data: bytes) -> bytes:
-    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
-
-
 def _planes(numbers: np.ndarray, some: slice = slice(None)) -> np.ndarray:
     """Some bytes of all numbers, the lowest of each first; those that are mostly zero take little when squeezed."""
     return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.strides[0]).T[some])
@@ -249,9 +241,9 @@ class _Slice:
     """The words of some texts: their numbers, tokens, and places in a line with two edges around each text."""
 
     def __init__(self, known: _Vocabulary, sizes: list[int], codes: bytes, rare: bytes):
-        self.number = _from_planes(np.frombuffer(_loose(codes), np.uint8).reshape(4, -1), np.uint32)
+        self.number = _from_planes(np.frombuffer(loose_bytes(codes), np.uint8).reshape(4, -1), np.uint32)
         self.sizes = np.array(sizes, np.int64)
-        self.known, self.rare = known, _loose(rare).split()
+        self.known, self.rare = known, loose_bytes(rare).split()
         self.hashes = np.concatenate([known.hashes, np.array([zlib.crc32(w) for w in self.rare], np.uint32)])
         self.row = np.repeat(np.arange(len(sizes)), self.sizes)
         self.places = np.arange(len(self.row)) + 4 * self.row + 2
@@ -353,8 +345,8 @@ def encoded(docs: DataFrame, known: _Vocabulary, rounds: int = ROUNDS) -> DataFr
         def passed(turn: int) -> pa.RecordBatch:
             nonlocal ends
             numbers, ids, lines = begun.pop(turn)
-            codes = _squeezed(_planes(np.concatenate(lines)).tobytes())
-            rare = _squeezed(b" ".join(list(numbers)[len(first) :]))
+            codes = squeezed_bytes(_planes(np.concatenate(lines)).tobytes())
+            rare = squeezed_bytes(b" ".join(list(numbers)[len(first) :]))
             ends += 1
             return pa.RecordBatch.from_arrays(
                 [
@@ -478,7 +470,7 @@ def _dealt(own: int, hashes: np.ndarray, middles: np.ndarray, bits: int) -> Iter
         for group, (b, e) in enumerate(zip(bounds, bounds[1:], strict=False)):
             if b < e:
                 groups.append(group)
-                blobs.append(_squeezed(rest[:, b:e].tobytes()) + full[:, b:e].tobytes())
+                blobs.append(squeezed_bytes(rest[:, b:e].tobytes()) + full[:, b:e].tobytes())
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(len(groups), own), pa.int64()),
@@ -494,7 +486,7 @@ def _hits(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and words of the windows of a part in one group."""
     size = int.from_bytes(blob[:8], "little") // 5
     full = np.frombuffer(blob, np.uint8)[len(blob) - 5 * size :].reshape(5, size)
-    rest = np.frombuffer(_loose(blob[: len(blob) - 5 * size]), np.uint8).reshape(5, size)
+    rest = np.frombuffer(loose_bytes(blob[: len(blob) - 5 * size]), np.uint8).reshape(5, size)
     top = np.cumsum(_from_planes(np.concatenate([full[:3], rest[:3]]), np.uint64))
     return top << np.uint64(_LOW) | full[3], _from_planes(np.concatenate([full[4:], rest[3:]]), np.uint32)
 
@@ -519,7 +511,7 @@ def _counted(table: pa.Table) -> pa.Table:
     different[some] = total[some] - _others(number[some] << 24 | middle[some])[0] if len(some) else 0
     both = np.stack([total, different], axis=1).astype(np.uint32)
     ends = np.cumsum([len(w) for w, _ in parts])
-    answers = [_squeezed(_planes(x).tobytes()) for x in np.split(both, ends[:-1])]
+    answers = [squeezed_bytes(_planes(x).tobytes()) for x in np.split(both, ends[:-1])]
     return pa.table(
         {c: table.column(c) for c in ("slice", "part", "group")} | {"answer": pa.array(answers, pa.binary())}
     )
@@ -536,7 +528,7 @@ def _gains(hashes: np.ndarray, log_prob: np.ndarray, answers: dict[int, list[byt
     total, different = np.zeros(len(hashes)), np.zeros(len(hashes))
     for part, start in enumerate(range(0, len(hashes), _SLICE)):
         at = _places(_sorted(hashes[start : start + _SLICE])) + start
-        found = [_from_planes(np.frombuffer(_loose(x), np.uint8).reshape(8, -1), np.uint64) for x in answers[part]]
+        found = [_from_planes(np.frombuffer(loose_bytes(x), np.uint8).reshape(8, -1), np.uint64) for x in answers[part]]
         both = np.concatenate(found).view(np.uint32).reshape(-1, 2)
         total[at], different[at] = both[:, 0], both[:, 1]
     gain, some = np.zeros(len(hashes)), np.flatnonzero(total)
@@ -599,19 +591,19 @@ def _rare_shares(lines: DataFrame, shares: DataFrame, groups: int) -> DataFrame:
         for batch in batches:
             for own, rare in zip(batch.column("slice").to_pylist(), batch.column("rare").to_pylist(), strict=True):
                 dealt: dict[int, list[bytes]] = {}
-                for word in _loose(rare).split():
+                for word in loose_bytes(rare).split():
                     dealt.setdefault(zlib.crc32(word) % groups, []).append(word)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([own] * len(dealt), pa.int64()),
                         pa.array(list(dealt), pa.int32()),
-                        pa.array([_squeezed(b" ".join(x)) for x in dealt.values()], pa.binary()),
+                        pa.array([squeezed_bytes(b" ".join(x)) for x in dealt.values()], pa.binary()),
                     ],
                     ["slice", "group", "words"],
                 )
 
     def look_up(dealt: pa.Table, shares: pa.Table) -> pa.Table:
-        words = [_loose(x.as_py()).split() for x in dealt.column("words")]
+        words = [loose_bytes(x.as_py()).split() for x in dealt.column("words")]
         every = pa.array([w for own in words for w in own], pa.binary())
         found = pc.index_in(every, shares.column("word").combine_chunks()).to_numpy(zero_copy_only=False)
         log_shares = shares.column("log_share").to_numpy()[found.astype(np.int64)] if len(every) else np.zeros(0)

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def squeezed_bytes(data: bytes) -> bytes:
+    """Bytes of less size, with the size they had."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def loose_bytes(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def whole(text: str = "text") -> Column:
     """A text column, null read as empty."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

@@ -1,6 +1,13 @@
+import gc
 import random
 import re
+import weakref
+from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from careledger.llm import collocations as co
@@ -113,3 +120,44 @@ def test_most_and_least_bits_of_the_table(spark):
     docs = make(spark, rows).selectExpr("lang", "cast(text as binary) as text")
     sizes = [co.reached(docs, 3, 30, bits).value.nbytes * 8 for bits in (co.BITS, 1 << 17, 64)]
     assert sizes == [1 << 18, 1 << 17, 64]
+
+
+def test_the_driver_keeps_no_tables(spark, monkeypatch):
+    """The table of a step goes once it is broadcast and the next one is made."""
+    made, most, bits_of = [], [], co._bits_of
+
+    def watched(keys, bits):
+        gc.collect()
+        most.append(sum(x() is not None for x in made))
+        table = bits_of(keys, bits)
+        made.append(weakref.ref(table))
+        return table
+
+    monkeypatch.setattr(co, "_bits_of", watched)
+    rows = prose(4)
+    assert result(co.collocations(make(spark, rows))) == brute(rows)
+    assert len(most) > co.SHARDS and max(most) <= 1
+
+
+def test_rows_of_the_last_scan():
+    """A task passes a row for each group that it has phrases of, however many these are and however often it has met them."""
+    every = SimpleNamespace(value=np.full(1 << 10, 255, np.uint8))
+    draw = random.Random(6)
+    texts = [(draw.choice(["en", "de"]), " ".join(draw.choices([f"w{i}" for i in range(30)], k=40)) + ".") for _ in range(200)]
+    batch = pa.table({"lang": [x for x, _ in texts], "text": [t.encode() for _, t in texts]}).to_batches()[0]
+    dealt = [b for b in co._spell(iter([batch, batch]), table=every, limits=(3000, 1000, 25), groups=4)]
+    assert sum(b.num_rows for b in dealt) <= 4 * 2
+    found = {}
+    rows = pa.Table.from_batches(dealt)
+    for lang in ("en", "de"):
+        for group in range(4):
+            own = rows.filter(pc.and_(pc.equal(rows["lang"], lang), pc.equal(rows["group"], group)))
+            for b in co._added(iter(own.combine_chunks().to_batches()), 30):
+                found |= {(r["lang"], r["phrase"], r["words"]): r["n"] for r in b.to_pylist()}
+    want = Counter()
+    for lang, text in texts * 2:
+        words = text[:-1].split()
+        want[lang, "", 0] += len(words)
+        for k in range(1, 5):
+            want.update((lang, " ".join(words[i : i + k]), k) for i in range(len(words) - k + 1))
+    assert found == {key: n for key, n in want.items() if n >= 30}
