@@ -18,7 +18,8 @@ from bisect import bisect_right
 from collections.abc import Iterator, Sequence, Set
 from functools import partial
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ PREFIXES = range(4, 9)
 #: Families of toxic rows that must have a pattern; a family shares its least shingle.
 LEAST_FAMILIES = 4
 LEAST_SHARE = 0.6
+#: Texts whose features a task holds at a time, of the batch that Spark hands it.
+_SLICE = 200
 
 # Letters that look like others, and signs that stand for letters.
 LOOKALIKES = {
@@ -93,6 +96,25 @@ def _family(words: list[str]) -> int:
     return min(map(zlib.crc32, grams))
 
 
+def _by_text(
+    batches: Iterator[pa.RecordBatch], excepted: re.Pattern[str] | None, known: Set[str] | None
+) -> Iterator[pa.RecordBatch]:
+    """(feature, family) rows of texts, those of ``_SLICE`` texts in a batch, only ``known`` features if given."""
+    for batch in (b.slice(at, _SLICE) for b in batches for at in range(0, b.num_rows, _SLICE)):
+        features, families, counts = [], [], []
+        for text in batch.column("text"):
+            plain = folded(text.as_py())
+            words = (excepted.sub(" ", plain) if excepted else plain).split()
+            found = _features(set(words)) | {""}
+            if known is not None:
+                found &= known
+            features += found
+            families.append(_family(words))
+            counts.append(len(found))
+        family = np.repeat(np.array(families, np.int64), counts)
+        yield pa.RecordBatch.from_arrays([pa.array(features, pa.string()), pa.array(family)], ["feature", "family"])
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether the row's label must not be learned from: crc32 of the id as text, mod 4, is 2."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
@@ -120,20 +142,10 @@ def learn(rows: DataFrame, exceptions: Sequence[str] = EXCEPTIONS) -> dict[str,
     phrases = "|".join(re.escape(folded(p).strip()) for p in sorted(exceptions, key=len, reverse=True))
     excepted = re.compile(f" (?:{phrases})(?= )") if phrases else None
 
-    def features(batches: Iterator[pd.DataFrame], known: Set[str] | None = None) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                plain = folded(text)
-                words = (excepted.sub(" ", plain) if excepted else plain).split()
-                found = _features(set(words)) | {""}
-                family = _family(words)
-                out += [(f, family) for f in (found if known is None else found & known)]
-            yield pd.DataFrame(out, columns=["feature", "family"])
-
     def by_family(toxic: int, known: Set[str] | None = None) -> DataFrame:
         found = rows.filter(F.col("toxic") == toxic).select("text")
-        pairs = found.mapInPandas(partial(features, known=known), "feature string, family long")
+        by_text = partial(_by_text, excepted=excepted, known=known)
+        pairs = found.mapInArrow(by_text, "feature string, family long")
         return pairs.groupBy("feature", "family").agg(F.count("*").alias("rows"))
 
     sums = by_family(1).groupBy("feature").agg(F.count("*").alias("n"), F.sum(1 + F.log2("rows")).alias("weight"))
@@ -213,11 +225,14 @@ def scored(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = EXCEP
     """
     weights = learn(training_rows(docs, labels), exceptions)
 
-    @F.pandas_udf("score double, hits long")
-    def toxicity(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("score double, hits long")
+    def toxicity(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score = _matcher(weights, exceptions)
-        for texts in series:
-            yield pd.DataFrame([score(t) for t in texts], columns=["score", "hits"])
+        for texts in batches:
+            scores, hits = np.empty(len(texts)), np.empty(len(texts), np.int64)
+            for i, text in enumerate(texts):
+                scores[i], hits[i] = score(text.as_py())
+            yield pa.StructArray.from_arrays([pa.array(scores), pa.array(hits)], ["score", "hits"])
 
     return docs.withColumn("_toxicity", toxicity(whole()))
 

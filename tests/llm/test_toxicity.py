@@ -1,6 +1,9 @@
 import random
+import tracemalloc
 import zlib
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +99,25 @@ def test_labels_of_the_test_tables(spark):
     rows = found.filter("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
     right = sum(r.predicted == r.toxic for r in rows)
     assert right / len(rows) > 0.97
+
+
+def test_a_task_holds_the_features_of_few_texts(corpus):
+    """However many texts Spark hands over at once, and all features of all texts come."""
+    texts = [text for _, text in corpus[0]] * 10
+    batch = pa.record_batch({"text": pa.array(texts)})
+    known = {"word", "worda", "wordak ", "moron ", ""}
+    for some in (None, known):
+        tracemalloc.start()
+        rows = Counter()
+        for out in tx._by_text(iter([batch]), None, some):
+            rows.update(zip(out["feature"].to_pylist(), out["family"].to_pylist(), strict=True))
+            assert len(set(out["family"].to_pylist())) <= 200
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        want = Counter()
+        for text in texts:
+            words = tx.folded(text).split()
+            found = tx._features(set(words)) | {""}
+            family = tx._family(words)
+            want.update((f, family) for f in (found if some is None else found & some))
+        assert rows == want and peak < 60e6
