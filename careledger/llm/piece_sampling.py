@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +86,7 @@ class PieceSampler:
         self._bytes = [names[i].replace(SPACE, " ").encode() for i in range(size)]
         for i in byte_ids:
             self._bytes[i] = bytes([i - self._bytes_from])
+        self._pieces = pa.array(self._bytes, pa.binary())
         # Pieces that a merge never made, such as runs of spaces, count as the rarest.
         rank = np.array([-model.get_score(i) for i in own])
         rank[rank >= 1e6] = size
@@ -126,6 +128,26 @@ class PieceSampler:
         """The UTF-8 text of ids, exactly as it was encoded."""
         return b"".join(map(self._bytes.__getitem__, ids))[1:]
 
+    def decode_all(self, lists: pa.ListArray) -> pa.Array:
+        """The texts of lists of ids, whole lists at a time; an error if one is no valid UTF-8."""
+        texts = []
+        for part in _slices(pc.list_value_length(lists).to_pylist()):
+            some = lists.slice(part.start, part.stop - part.start)
+            pieces = self._pieces.take(some.flatten())
+            if pieces.null_count:
+                raise ValueError("an id is null")
+            if not len(pieces):
+                texts.append(pa.array([""] * len(some), pa.string()))
+                continue
+            # The bytes of a text's pieces lie side by side; the first of them is the space before it.
+            _, at, data = (x and np.frombuffer(x, t) for x, t in zip(pieces.buffers(), ("u1", "i4", "u1"), strict=True))
+            ends = at[some.offsets.to_numpy() - some.offsets[0].as_py()]
+            spaces = np.r_[0, np.cumsum(ends[1:] > ends[:-1])]
+            data = np.delete(data[: ends[-1]], ends[:-1][ends[1:] > ends[:-1]])
+            buffers = [None, pa.py_buffer((ends - spaces).astype(np.int32)), pa.py_buffer(data)]
+            texts.append(pa.Array.from_buffers(pa.binary(), len(some), buffers).cast(pa.string()))
+        return pa.concat_arrays(texts) if texts else pa.array([], pa.string())
+
 
 def _key(text: str) -> int:
     key = 0
@@ -176,33 +198,37 @@ class _Lattice:
         code_count = np.concatenate([np.ones(len(piece), np.int64), sizes])
         code_start = np.cumsum(code_count) - code_count
 
-        source, target = node[at], node[at] + length
+        # In order of target, then length. Edges of a length are in order already, and so is what a stable
+        # sort finds; no two edges are alike.
+        target = node[at] + length
+        order = np.argsort((target << 8) | length, kind="stable")
+        at, target, length, weight = at[order], target[order], length[order], weight[order]
+        source = target - length
         depth = target - self._first[word[at]]  # how far into its word an edge ends
-        order = np.argsort((depth << 44) | (target << 8) | length)  # no two edges are alike
-        source, target, depth, weight = source[order], target[order], depth[order], weight[order]
-        length = length[order]
-        code_count, code_start = code_count[order], code_start[order]
 
+        # By depth, all words side by side. Small numbers are sorted in one pass over them.
+        by_depth = np.argsort(depth.astype(np.min_scalar_type(depth.max())), kind="stable")
+        depth, from_, to = depth[by_depth], source[by_depth], target[by_depth]
         total = np.zeros(int(self._last[-1]) + 1)
-        score = np.empty(len(source))
+        upto = weight[by_depth]
+        heads = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
         steps = np.flatnonzero(np.r_[True, depth[1:] != depth[:-1], True])
-        for a, b in zip(steps[:-1], steps[1:], strict=True):
-            score[a:b] = total[source[a:b]] + weight[a:b]
-            heads = np.flatnonzero(np.r_[True, target[a + 1 : b] != target[a : b - 1]])
-            total[target[a:b][heads]] = np.logaddexp.reduceat(score[a:b], heads)
+        cuts = np.searchsorted(heads, steps)
+        for a, b, c, d in zip(steps[:-1], steps[1:], cuts[:-1], cuts[1:], strict=True):
+            upto[a:b] += total[from_[a:b]]
+            total[to[heads[c:d]]] = np.logaddexp.reduceat(upto[a:b], heads[c:d] - a)
+        score = np.empty(len(source))
+        score[by_depth] = upto
 
-        order = np.argsort((target << 8) | length)
-        target = target[order]
         # Shares as whole numbers, whose sums are the same in any company of words.
-        share = (np.exp(score[order] - total[target]) * 2.0**32).astype(np.int64)
+        share = (np.exp(score - total[target]) * 2.0**32).astype(np.int64)
         ends = np.flatnonzero(np.r_[target[1:] != target[:-1], True])
         run = np.cumsum(share)
         before = np.r_[0, run[ends[:-1]]]
-        upto = run - np.repeat(before, np.diff(np.r_[-1, ends]))
-        bound = np.minimum(upto, 2**32 - 1).astype(np.uint64)
+        bound = np.minimum(run - np.repeat(before, np.diff(np.r_[-1, ends])), 2**32 - 1).astype(np.uint64)
         bound[ends] = np.uint64(2**32 - 1)
         self._bounds = (target.astype(np.uint64) << np.uint64(32)) | bound
-        self._source = source[order]
+        self._source = source
         self._code_count, self._code_start = code_count[order], code_start[order]
 
     def sample(self, words: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +266,7 @@ def _sampler(path: str) -> PieceSampler:
 
 
 def _slices(sizes: list[int]) -> Iterator[slice]:
-    """Ranges of rows with about BATCH_CHARS characters."""
+    """Ranges of rows with about BATCH_CHARS characters (or ids)."""
     start, total = 0, 0
     for i, size in enumerate(sizes):
         if total and total + size > BATCH_CHARS:
@@ -279,12 +305,9 @@ def sampled(docs: DataFrame, model_path: str, seed: int = 0) -> DataFrame:
 def decoded(df: DataFrame, model_path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """``df`` with the text of its ids; ids that are no valid UTF-8 raise an error."""
 
-    @F.pandas_udf("string")
-    def decode(series):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        sampler = _sampler(model_path)
-        return pd.Series([sampler.decode(x).decode() for x in series], dtype=object)
+    @F.arrow_udf("string")
+    def decode(lists: pa.Array) -> pa.Array:
+        return _sampler(model_path).decode_all(lists)
 
     return df.withColumn(text, decode(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 

@@ -1,7 +1,10 @@
 import math
+import time
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 
@@ -68,3 +71,43 @@ def test_odd_rows(make_docs, odd_rows, sha):
 
 def test_empty_table(make_docs):
     assert ps.sampled_round_trip(make_docs([]), PATH).count() == 0
+
+
+def test_all_lists_of_a_batch_are_decoded_at_once(sampler, monkeypatch):
+    """As one by one, in any slices; bytes that are no UTF-8 raise an error."""
+    texts = TEXTS + ["some words, here and there"] * 50
+    ids = [x.tolist() for x in sampler.encode(list(range(len(texts))), texts)]
+    lists = pa.array([[1], *ids], pa.list_(pa.int32())).slice(1)
+    for size in (1, 40, 500_000):
+        monkeypatch.setattr(ps, "BATCH_CHARS", size)
+        assert sampler.decode_all(lists).to_pylist() == texts
+    assert sampler.decode_all(lists.slice(0, 0)).to_pylist() == []
+    space, high = (sampler._bytes.index(x) for x in (b" ", b"\xff"))
+    with pytest.raises(pa.ArrowInvalid):
+        sampler.decode_all(pa.array([[space, high]], pa.list_(pa.int32())))
+    with pytest.raises(ValueError):
+        sampler.decode_all(pa.array([[space, None]], pa.list_(pa.int32())))
+
+
+def test_decoding_makes_no_object_for_an_id(sampler):
+    ids = sampler.encode(list(range(500)), ["some words, here and there " * 40] * 500)
+    lists = pa.array(ids, pa.list_(pa.int32()))
+
+    def seconds(do):
+        found = []
+        for _ in range(3):
+            start = time.process_time()
+            do()
+            found.append(time.process_time() - start)
+        return min(found)
+
+    assert seconds(lambda: sampler.decode_all(lists)) < seconds(lambda: [sampler.decode(x) for x in ids]) / 2
+
+
+def test_words_of_any_length_side_by_side(sampler):
+    """Depths past 16 bits are sorted too, and long words change nothing for short ones."""
+    texts = ["a", "x" * 70_000, "there " * 30, "日" * 300]
+    together = sampler.encode([1, 2, 3, 4], texts)
+    assert [sampler.decode(x.tolist()).decode() for x in together] == texts
+    for key, text, ids in zip((1, 2, 3, 4), texts, together, strict=True):
+        assert np.array_equal(ids, sampler.encode([key], [text])[0])
