@@ -2,9 +2,13 @@
 
 Every order has two lines: ``life`` (created, assigned, delivered, cancelled) and ``care``
 (created, contacted, adjusted, conceded). An order id that holds a large share of all events does
-not meet in one task: neighbours are first looked up inside an hour, where equal events are one
-row with a count, then only between the first and last event of the hours. So a task holds at most
-the different times of an hour, or the hours of the calendar, of one order.
+not meet in one task: neighbours are first looked up inside a day, then only between the last state
+of a day and the first one of the next. So a task holds at most the different events of a day, or
+the days of the calendar, of one order.
+
+All events are dealt once, and packed: a task sends, of an order and day, the different places as
+numbers and how many events there were of each state. What is dealt after that is a row for each
+order, line and day.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from pyspark.sql import functions as F
 #: Order among events of the same instant.
 STATES = ("created", "assigned", "delivered", "cancelled", "contacted", "adjusted", "conceded")
 START = "start"
+#: Microseconds of a day.
+DAY = 86_400_000_000
 
 
 def order_events(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -41,22 +47,33 @@ def order_events(tables: Mapping[str, DataFrame]) -> DataFrame:
         """All events of one input from one scan of it."""
         found = F.array(
             *[
-                F.struct(F.lit(line).alias("line"), F.col(time).alias("at"), F.lit(state).alias("state"))
+                F.struct(F.lit(line).alias("line"), "order_uuid", F.col(time).alias("at"), F.lit(state).alias("state"))
                 for source, time, state, lines in sources
                 if source is df
                 for line in lines
             ]
         )
-        return df.filter("order_uuid IS NOT NULL").select("order_uuid", F.inline(found))
+        return df.select(F.inline(found))
 
+    # Only above the inputs, so that those of the same tables still read and deal the same rows once.
     inputs = list({id(source): source for source, *_ in sources}.values())
-    return reduce(DataFrame.unionByName, map(events, inputs)).filter("at IS NOT NULL").select(
-        "line", "order_uuid", "at", "state"
-    )
+    return reduce(DataFrame.unionByName, map(events, inputs)).filter("order_uuid IS NOT NULL AND at IS NOT NULL")
+
 
+def _rank(state: Column) -> Column:
+    """From 1 on, so that 0 can stand for ``start``."""
+    rank = F.array_position(F.array(*map(F.lit, STATES)), state)
+    unknown = F.concat(F.lit("not a state of a timeline: "), F.coalesce(state, F.lit("NULL")))
+    return F.when(rank > 0, rank).otherwise(F.raise_error(unknown).cast("bigint"))
 
-def _rank(state: str) -> Column:
-    return F.array_position(F.array(*map(F.lit, STATES)), F.col(state))
+
+def _micros(events: DataFrame) -> Column:
+    """Microseconds of ``at``, by its own clock if it has no time zone."""
+    if dict(events.dtypes)["at"] == "timestamp":
+        return F.unix_micros("at")
+    at = F.col("at").cast("timestamp_ntz")
+    seconds = (F.unix_date(at.cast("date")).cast("bigint") * 24 + F.hour(at)) * 3600 + F.minute(at) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("bigint")
 
 
 def legal(before: Column, state: Column) -> Column:
@@ -73,36 +90,71 @@ def transitions(events: DataFrame) -> DataFrame:
     The first event of an order follows ``start``. Events of one instant follow each other in the
     order of ``STATES``; equal ones follow each other, but for equal creations, which are one.
     """
-    order = ["line", "order_uuid"]
-    hour = [*order, "_day", "_hour"]
-    copies = F.when(F.col("state") == "created", 1).otherwise(F.count("*")).cast("bigint")
-    single = events.groupBy(*order, "at", "state").agg(copies.alias("_n"))
-    placed = single.select(
-        "*", F.col("at").cast("date").alias("_day"), F.hour("at").alias("_hour"), _rank("state").alias("_rank")
+    c = F.col
+    order = ["order_uuid", "line"]
+    micros = events.select(*order, _micros(events).alias("_micros"), _rank(c("state")).alias("_rank"))
+    # Whole days from 1970 on, rounded towards it; an event without a time comes first.
+    placed = micros.select(
+        *order,
+        F.expr(f"_micros div {DAY}").alias("_day"),
+        (F.coalesce(c("_micros") % DAY, F.lit(0)) * 8 + c("_rank")).alias("_place"),
+        "_rank",
+    )
+    repeatable = [rank for rank, state in enumerate(STATES, 1) if state != "created"]
+    days = placed.groupBy(*order, "_day").agg(
+        F.sort_array(F.collect_set("_place")).alias("_places"),
+        F.array(*[F.count_if(c("_rank") == rank) for rank in repeatable]).alias("_events"),
     )
-    within = Window.partitionBy(*hour).orderBy("at", "_rank")
-    seen = placed.withColumns(
-        {"_before": F.lag("state").over(within), "_after": F.lead("state").over(within)}
+    states = days.select(
+        *order, "_day", "_events", F.transform("_places", lambda place: place.bitwiseAND(F.lit(7))).alias("_states")
     )
-    inside = seen.select(
+    # A step is the rank before, times 8, and the rank; as an entry it has its number of times on top, times 64.
+    follows = "zip_with(slice(_states, 1, size(_states) - 1), slice(_states, 2, size(_states) - 1), (x, y) -> x * 8 + y)"
+    again = [
+        F.expr(f"(_events[{i}] - size(filter(_states, x -> x = {rank}))) * 64 + {rank * 9}")
+        for i, rank in enumerate(repeatable)
+    ]
+    copies = F.filter(F.array(*again), lambda entry: entry >= 64)
+    inside = states.select(
         *order,
-        F.inline(
-            F.array(
-                F.struct(F.col("_before").alias("from_state"), F.col("state").alias("to_state"), F.lit(1).cast("bigint").alias("n")),
-                F.struct(F.col("state").alias("from_state"), F.col("state").alias("to_state"), (F.col("_n") - 1).alias("n")),
-            )
+        "_day",
+        (F.element_at("_states", 1) * 8 + F.element_at("_states", -1)).cast("byte").alias("_ends"),
+        F.expr(follows).alias("_follows"),
+        copies.alias("_copies"),
+    ).withColumn(
+        "_entries",
+        F.concat(
+            F.transform(
+                F.array_distinct("_follows"),
+                lambda step: F.size(F.filter("_follows", lambda other: other == step)).cast("bigint") * 64 + step,
+            ),
+            "_copies",
         ),
-    ).filter("from_state IS NOT NULL AND n > 0")
-    # Of each hour the first and the last event: at most two rows per order and hour.
-    across = Window.partitionBy(*order).orderBy("at", "_rank")
-    edges = (
-        seen.filter("_before IS NULL OR _after IS NULL")
-        .withColumn("from_state", F.coalesce(F.lag("state").over(across), F.lit(START)))
-        .filter("_before IS NULL")
-        .select(*order, "from_state", F.col("state").alias("to_state"), F.lit(1).cast("bigint").alias("n"))
     )
-    steps = ["line", "from_state", "to_state"]
-    per_order = inside.unionByName(edges).groupBy(*steps, "order_uuid").agg(F.sum("n").alias("n"))
-    return per_order.groupBy(*steps).agg(
-        F.count("*").alias("orders"), F.sum("n").alias("times")
-    ).select(*steps, legal(F.col("from_state"), F.col("to_state")).alias("legal"), "orders", "times")
+    # Nearly all entries are small, and dealt in two bytes each.
+    dealt = inside.select(
+        *order,
+        "_day",
+        "_ends",
+        F.filter("_entries", lambda entry: entry < 1 << 15).cast("array<smallint>").alias("_small"),
+        F.filter("_entries", lambda entry: entry >= 1 << 15).alias("_large"),
+    )
+    across = Window.partitionBy(*order).orderBy("_day")
+    before = F.coalesce(F.lag("_ends").over(across) % 8, F.lit(0)).cast("bigint")
+    edge = before * 8 + F.expr("_ends div 8") + 64
+    entries = dealt.select(*order, F.concat(F.array(edge), c("_small").cast("array<bigint>"), "_large").alias("_entries"))
+    steps = entries.select(*order, F.explode("_entries").alias("_entry")).select(
+        *order, c("_entry").bitwiseAND(F.lit(63)).cast("int").alias("_step"), F.shiftright("_entry", 6).alias("n")
+    )
+    per_order = steps.groupBy(*order, "_step").agg(F.sum("n").alias("n"))
+    found = per_order.groupBy("line", "_step").agg(F.count("*").alias("orders"), F.sum("n").alias("times"))
+    names = F.array(*map(F.lit, (START, *STATES)))
+    named = found.select(
+        "line",
+        F.element_at(names, F.expr("_step div 8 + 1").cast("int")).alias("from_state"),
+        F.element_at(names, F.expr("_step % 8 + 1").cast("int")).alias("to_state"),
+        "orders",
+        "times",
+    )
+    ordered = legal(c("from_state"), c("to_state")).alias("legal")
+    return named.select("line", "from_state", "to_state", ordered, "orders", "times")

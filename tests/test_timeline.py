@@ -1,9 +1,11 @@
 """Timelines of orders: neighbours across hours, equal events, and an order with most of the events."""
 
 import random
+import re
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from careledger.operators import timeline
@@ -79,3 +81,45 @@ def test_a_hot_order_meets_by_hours(spark):
         F.lit("contacted").alias("state"),
     )
     assert found(events) == {("care", "start", "contacted"): (1, 1), ("care", "contacted", "contacted"): (1, 99_999)}
+
+
+def test_events_are_made_and_dealt_once(spark, tables):
+    """One plan of the events, one exchange of them and one of an order's days; orders are dealt once for all inputs."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = timeline.transitions(timeline.order_events(tables))
+        rows = df.collect()
+        text = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    final = text[: text.index("== Initial Plan ==")]
+    assert len(rows) > 10
+    # Refunds and concessions.
+    assert len(re.findall(r"Scan parquet[^\n]*\[l_orderkey#", final)) == 2
+    dealt = re.findall(r"- Exchange hashpartitioning\(([^)]*)\)", final)
+    assert len([keys for keys in dealt if "order_uuid" in keys]) == 2
+    assert len([keys for keys in dealt if keys.startswith("o_orderkey")]) == 1
+
+
+def test_equal_events_edges_of_days_and_missing_times(spark):
+    """Many copies of one event, microseconds before and after midnight and 1970, and events without a time."""
+    noon, night = datetime(2024, 3, 31, 12), datetime(2024, 4, 1)
+    rows = [("care", "many", noon, "contacted")] * 70_000 + [("life", "many", noon, "created")] * 3
+    rows += [("care", "many", noon + timedelta(seconds=1), "adjusted")] * 600
+    for at in (datetime(1969, 12, 31), datetime(1970, 1, 1), night, datetime(1, 1, 2), datetime(9999, 1, 1)):
+        for i, state in enumerate(("delivered", "created", "cancelled", "assigned", "assigned")):
+            rows.append(("life", "edges", at + timedelta(microseconds=i - 2), state))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert found(df) == by_hand(rows)
+    zoned = df.withColumn("at", F.col("at").cast("timestamp"))
+    assert found(zoned) == by_hand(rows)
+    # Without a time an event comes first.
+    odd = spark.createDataFrame([*rows, ("life", "edges", None, "assigned"), ("care", None, noon, "created")], SCHEMA)
+    first = [*rows, ("life", "edges", datetime.min, "assigned"), ("care", "unnamed", noon, "created")]
+    assert found(odd) == by_hand(first)
+
+
+def test_a_state_without_a_place_is_refused(spark):
+    df = spark.createDataFrame([("life", "a", datetime(2024, 1, 1), "lost")], SCHEMA)
+    with pytest.raises(Exception, match="not a state of a timeline: lost"):
+        timeline.transitions(df).collect()
