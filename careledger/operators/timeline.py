@@ -114,35 +114,37 @@ def transitions(events: DataFrame) -> DataFrame:
         F.expr(f"(_events[{i}] - size(filter(_states, x -> x = {rank}))) * 64 + {rank * 9}")
         for i, rank in enumerate(repeatable)
     ]
-    copies = F.filter(F.array(*again), lambda entry: entry >= 64)
+    different = F.size(F.filter("_states", lambda state: state != 1))
+    repeated = reduce(Column.__add__, [c("_events")[i] for i in range(len(again))]) > different
     inside = states.select(
         *order,
         "_day",
         (F.element_at("_states", 1) * 8 + F.element_at("_states", -1)).cast("byte").alias("_ends"),
-        F.expr(follows).alias("_follows"),
-        copies.alias("_copies"),
-    ).withColumn(
-        "_entries",
-        F.concat(
-            F.transform(
-                F.array_distinct("_follows"),
-                lambda step: F.size(F.filter("_follows", lambda other: other == step)).cast("bigint") * 64 + step,
-            ),
-            "_copies",
-        ),
+        F.when(F.size("_states") > 1, F.expr(follows)).alias("_follows"),
+        F.when(repeated, F.filter(F.array(*again), lambda entry: entry >= 64)).alias("_copies"),
+    )
+    counted = F.transform(
+        F.array_distinct("_follows"),
+        lambda step: F.size(F.filter("_follows", lambda other: other == step)).cast("bigint") * 64 + step,
+    )
+    none = F.array().cast("array<bigint>")
+    numbered = inside.select(
+        *order, "_day", "_ends", F.concat(F.coalesce(counted, none), F.coalesce("_copies", none)).alias("_entries")
     )
     # Nearly all entries are small, and dealt in two bytes each.
-    dealt = inside.select(
+    small = F.coalesce(F.array_max("_entries"), F.lit(0)) < 1 << 15
+    dealt = numbered.select(
         *order,
         "_day",
         "_ends",
-        F.filter("_entries", lambda entry: entry < 1 << 15).cast("array<smallint>").alias("_small"),
-        F.filter("_entries", lambda entry: entry >= 1 << 15).alias("_large"),
+        F.when(small, c("_entries").cast("array<smallint>")).alias("_small"),
+        F.when(~small, c("_entries")).alias("_large"),
     )
     across = Window.partitionBy(*order).orderBy("_day")
     before = F.coalesce(F.lag("_ends").over(across) % 8, F.lit(0)).cast("bigint")
     edge = before * 8 + F.expr("_ends div 8") + 64
-    entries = dealt.select(*order, F.concat(F.array(edge), c("_small").cast("array<bigint>"), "_large").alias("_entries"))
+    found_inside = F.coalesce(c("_small").cast("array<bigint>"), "_large")
+    entries = dealt.select(*order, F.concat(F.array(edge), found_inside).alias("_entries"))
     steps = entries.select(*order, F.explode("_entries").alias("_entry")).select(
         *order, c("_entry").bitwiseAND(F.lit(63)).cast("int").alias("_step"), F.shiftright("_entry", 6).alias("n")
     )
