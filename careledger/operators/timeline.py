@@ -119,7 +119,7 @@ def transitions(events: DataFrame) -> DataFrame:
     inside = states.select(
         *order,
         "_day",
-        (F.element_at("_states", 1) * 8 + F.element_at("_states", -1)).cast("byte").alias("_ends"),
+        (F.element_at("_states", 1) * 8 + F.element_at("_states", -1)).alias("_ends"),
         F.when(F.size("_states") > 1, F.expr(follows)).alias("_follows"),
         F.when(repeated, F.filter(F.array(*again), lambda entry: entry >= 64)).alias("_copies"),
     )
@@ -131,20 +131,26 @@ def transitions(events: DataFrame) -> DataFrame:
     numbered = inside.select(
         *order, "_day", "_ends", F.concat(F.coalesce(counted, none), F.coalesce("_copies", none)).alias("_entries")
     )
-    # Nearly all entries are small, and dealt in two bytes each.
-    small = F.coalesce(F.array_max("_entries"), F.lit(0)) < 1 << 15
-    dealt = numbered.select(
+    # Day, ends and entries go in one list, of two bytes each if all are small, as nearly always.
+    # A day is two numbers there, and the least one where there is no time.
+    high = F.coalesce(F.shiftright("_day", 15), F.lit(-(1 << 15)).cast("bigint"))
+    low = F.coalesce(c("_day").bitwiseAND(F.lit((1 << 15) - 1)), F.lit(0).cast("bigint"))
+    listed = numbered.select(*order, F.concat(F.array(high, low, c("_ends")), "_entries").alias("_list"))
+    small = F.array_max("_list") < 1 << 15
+    dealt = listed.select(
         *order,
-        "_day",
-        "_ends",
-        F.when(small, c("_entries").cast("array<smallint>")).alias("_small"),
-        F.when(~small, c("_entries")).alias("_large"),
+        F.when(small, c("_list").cast("array<smallint>")).alias("_small"),
+        F.when(~small, c("_list")).alias("_large"),
+    ).repartition(*order)
+    taken = dealt.select(*order, F.coalesce(c("_small").cast("array<bigint>"), "_large").alias("_list")).select(
+        *order,
+        (F.get("_list", 0) * (1 << 15) + F.get("_list", 1)).alias("_day"),
+        F.get("_list", 2).alias("_ends"),
+        F.expr("slice(_list, 4, size(_list) - 3)").alias("_entries"),
     )
     across = Window.partitionBy(*order).orderBy("_day")
-    before = F.coalesce(F.lag("_ends").over(across) % 8, F.lit(0)).cast("bigint")
-    edge = before * 8 + F.expr("_ends div 8") + 64
-    found_inside = F.coalesce(c("_small").cast("array<bigint>"), "_large")
-    entries = dealt.select(*order, F.concat(F.array(edge), found_inside).alias("_entries"))
+    edge = F.coalesce(F.lag("_ends").over(across) % 8, F.lit(0)) * 8 + F.expr("_ends div 8") + 64
+    entries = taken.select(*order, F.concat(F.array(edge), "_entries").alias("_entries"))
     steps = entries.select(*order, F.explode("_entries").alias("_entry")).select(
         *order, c("_entry").bitwiseAND(F.lit(63)).cast("int").alias("_step"), F.shiftright("_entry", 6).alias("n")
     )
